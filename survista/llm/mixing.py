@@ -138,7 +138,7 @@ listed AS (
          lead(source_size, 1) OVER (ORDER BY source NULLS LAST) IS NULL AS is_last FROM aimed),
 edges AS (SELECT *, CASE WHEN is_last THEN 1e300 ELSE low + target END AS high FROM listed),
 slots AS (
-  SELECT i AS slot, CAST(list_sum(list_transform(range(0, {BITS}), x -> ((i >> x) & 1) * (1::BIGINT << ({BITS - 1} - x)))) AS DOUBLE)
+  SELECT i AS slot, CAST(list_sum(list_transform(range(0, {BITS}), lambda x: ((i >> x) & 1) * (1::BIGINT << ({BITS - 1} - x)))) AS DOUBLE)
                     / {float(2**BITS)} * (SELECT sum(target) FROM aimed) AS point
   FROM (SELECT unnest(range(0, (SELECT -((-words) // b) FROM total))) AS i)),
 ranked AS (
