@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from survista.llm import mixing
+from survista.llm import mixing, quality
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE = {
+    "op1_quality_rules": quality.oracle(),
     "op10_mixing": mixing.ORACLE,
 }
