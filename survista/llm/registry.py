@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from survista.llm import mixing, quality
+from survista.llm import mixing, packing, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op7_packing": packing.op7_packing,
     "op10_mixing": mixing.op10_mixing,
 }
 
