@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from survista.llm import mixing, packing, quality
+from survista.llm import chat, mixing, packing, quality, secrets
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_chat_format": chat.op5_chat_format,
     "op7_packing": packing.op7_packing,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE = {
     "op1_quality_rules": quality.oracle(),
+    "op5_chat_format": chat.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
