@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from survista.llm import chat, html, mixing, packing, quality, secrets, topk
+from survista.llm import chat, html, mixing, packing, pii, quality, secrets, topk
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_top_k": topk.op2_top_k,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_chat_format": chat.op5_chat_format,
+    "op6_pii_surrogates": pii.op6_pii_surrogates,
     "op7_packing": packing.op7_packing,
     "op9_html_extraction": html.op9_html_extraction,
     "op10_mixing": mixing.op10_mixing,
