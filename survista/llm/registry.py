@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from survista.llm import chat, html, mixing, packing, pii, quality, secrets, topk
+from survista.llm import chat, html, mixing, neardup, packing, pii, quality, secrets, topk
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_top_k": topk.op2_top_k,
+    "op3_jaccard_join": neardup.op3_jaccard_join,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_chat_format": chat.op5_chat_format,
     "op6_pii_surrogates": pii.op6_pii_surrogates,
