@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from survista.llm import chat, html, mixing, neardup, packing, pii, quality, secrets, topk
+from survista.llm import chat, html, mixing, neardup, packing, pii, quality, secrets, substrings, topk
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_chat_format": chat.op5_chat_format,
     "op6_pii_surrogates": pii.op6_pii_surrogates,
     "op7_packing": packing.op7_packing,
+    "op8_repeated_substrings": substrings.op8_repeated_substrings,
     "op9_html_extraction": html.op9_html_extraction,
     "op10_mixing": mixing.op10_mixing,
 }
