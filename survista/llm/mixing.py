@@ -99,16 +99,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = "mix
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:
-    """The documents as the mix takes them: each as often as its words are taken, rounded up to whole
-    documents where a block ends inside; those never taken go. All columns of docs are kept; copies
-    carry the doc_id of their document."""
+    """The documents as the mix takes them: each as often as its words are taken, to the nearest whole
+    document where a block ends inside; those never taken go, wordless ones too. All columns of docs are
+    kept; copies carry the doc_id of their document."""
     m = mix(docs, weights, epochs, seed)
-    copies = F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    m = m.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), copies.alias("_copies"))
-    m = m.groupBy("_id", "_size").agg(F.max("_copies").alias("_copies"))
-    d = docs.withColumn("_n", n_words(F.col("text")))
-    j = d.join(m, (F.col("doc_id") == F.col("_id")) & (F.col("_n") == F.col("_size")))
-    return j.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
+    m = m.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), copies.alias("_copies"))
+    m = m.groupBy("_id", "_size").agg(F.max("_copies").alias("_copies")).where("_copies > 0")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), n_words(F.col("text")).alias("_n"))
+    j = d.join(m, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
+    return j.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
