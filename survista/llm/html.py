@@ -132,11 +132,13 @@ def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
     # an interval of the suffix array: suffixes of a host with equal leading tokens, on two pages at least
     repeated = suffix.groupBy("host", "lead").agg(F.min("page_no").alias("a"), F.max("page_no").alias("b")).where("a < b").select("host", "lead")
     covered = suffix.join(repeated, ["host", "lead"], "left_semi").groupBy("page_no").agg(F.sort_array(F.collect_list("at")).alias("starts"))
-    left = parsed.join(covered, "page_no", "left")
-    # tokens under no repeated run, in order
+    # tokens under no repeated run, in order; pages with main text are not shuffled
+    left = parsed.where("open IS NOT NULL").join(covered, "page_no", "left")
     marks = F.expr(f"coalesce(array_distinct(flatten(transform(starts, s -> sequence(s, s + {run - 1})))), array())")
-    unique = F.expr("array_join(filter(open, (w, i) -> NOT array_contains(marks, i)), ' ')")
-    return left.withColumn("marks", marks).select("page_id", "url", F.coalesce("text", unique, F.lit("")).alias("text"))
+    kept = "array_except(IF(size(open) > 0, sequence(0, size(open) - 1), array()), marks)"
+    unique = F.expr(f"array_join(transform({kept}, i -> get(open, i)), ' ')")
+    left = left.withColumn("marks", marks).select("page_id", "url", unique.alias("text"))
+    return parsed.where("open IS NULL").select("page_id", "url", "text").unionByName(left)
 
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:
