@@ -173,7 +173,7 @@ def exp_data(df: DataFrame, exp_start, exp_end, on_unreadable: str = "error", ve
         "E2R_died": keep & F.col("E2R_died"),
     }
     df = df.withColumns(new).where(F.col("E2R_start") < F.col("E2R_end"))
-    return ExpData(df, kinds, start, end)
+    return ExpData(as_times(df, ["E2R_start", "E2R_end"]), kinds, start, end)
 
 
 def val_data(df: DataFrame, as_at, on_unreadable: str = "error", verify: bool = True) -> ValData:
