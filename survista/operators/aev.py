@@ -318,8 +318,9 @@ def elements_of(include, breakdown) -> list[Include]:
 def labelled(spark: SparkSession, sums: DataFrame, elements: list[Include], omega: float) -> Aev:
     """Every element once, those without exposure with zeros."""
     rows = [(k + 1, e.group_name, e.name) for k, e in enumerate(elements)]
-    labels = F.broadcast(spark.createDataFrame(rows, "ord bigint, group string, name string"))
-    out = labels.join(sums, "ord", "left")
+    labels = spark.createDataFrame(rows, "ord bigint, group string, name string")
+    # sums have a row an element at most
+    out = labels.join(F.broadcast(sums), "ord", "left")
     zero = ieee.lit(0.0)
     return Aev(out.select("ord", "group", "name", F.coalesce("A", zero).alias("A"), F.coalesce("E", zero).alias("E"), (F.coalesce("V", zero) * ieee.lit(omega)).alias("V")))
 

@@ -108,7 +108,8 @@ def _compare(op: str, n: Node, vs: list[Typed]) -> Column:
             a, c = vs[k].column, F.lit(whole).cast("long")
             a, c = (a, c) if k == 0 else (c, a)
             test = {"==": a == c, "!=": a != c, "<": a < c, "<=": a <= c, ">": a > c, ">=": a >= c}[op]
-            return F.coalesce(test, F.lit(op == "!="))
+            # births are never missing, and a bare comparison is what a scan takes
+            return test if n.args[k].value == "birth" else F.coalesce(test, F.lit(op == "!="))
     return ieee.compare(op, vs[0].double(), vs[1].double())
 
 
