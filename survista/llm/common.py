@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -34,9 +35,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{scratch_root(spark)}/survista/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _scratch.append((spark, path))
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cleaner drop shuffle files that nothing refers to any more: a long query keeps no more on
+    disk than the step it is in needs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def drop_scratch() -> None:
     """Delete the scratch tables of this process; results not yet consumed become unreadable."""

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at once; a longer text is a part of its own.
-PART = 4 << 20
+PART = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

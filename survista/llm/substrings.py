@@ -36,7 +36,7 @@ LENGTH = 400
 GRAM = 200
 CHUNK = 25
 #: Bytes of a longer text worked on at once; the low bits of a key hold the place within.
-SEGMENT = 8 << 20
+SEGMENT = 2 << 20
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -82,14 +82,14 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tu
         yield s, part, np.array([0, len(part)], np.int64)
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges that overlap or touch as one, in order."""
+    if not len(lo):
+        return lo, hi
+    order = np.argsort(lo, kind="stable")
+    lo, reach = lo[order], np.maximum.accumulate(hi[order])
+    new = np.flatnonzero(np.append(True, lo[1:] > reach[:-1]))
+    return lo[new], reach[np.append(new[1:], len(lo)) - 1]
 
 
 SPAN = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
@@ -116,20 +116,23 @@ def _anchors(length: int, gram: int):
             first = np.flatnonzero(new)
             times = np.diff(np.append(first, len(g)))
             twice = np.repeat(times > 1, times)
-            local: dict[int, list[tuple[int, int]]] = {}
-            for d, s, k in zip(doc[twice].tolist(), start[twice].tolist(), size[twice].tolist(), strict=True):
-                local.setdefault(d, []).append((s, s + k - 1 + length))
-            own = sorted(local)
+            by = np.argsort(doc[twice], kind="stable")
+            own, at = np.unique(doc[twice][by], return_index=True)
             m = len(own)
-            spans = [[{"lo": a, "hi": z} for a, z in merged(local[d])] for d in own]
+            lo = start[twice][by]
+            hi = lo + size[twice][by] - 1 + length
+            found = [merged(lo[i:k], hi[i:k]) for i, k in zip(at, np.append(at[1:], len(lo)), strict=True)]
+            edges = np.append(0, np.cumsum([len(x) for x, _ in found])).astype(np.int32)
+            ends = [pa.array(np.concatenate([f[k] for f in found] or [np.zeros(0)]).astype(np.int64)) for k in (0, 1)]
+            spans = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(ends, ["lo", "hi"]))
             # rows of spans only are spread by a gram that nothing else has a reason to have
             loose = mix(np.arange(m, dtype=np.uint64) + np.frombuffer(hashlib.blake2b(repr(docs[0]).encode(), digest_size=8).digest(), np.uint64))
             ints = lambda a, t, k=m: pa.concat_arrays([pa.array(a.astype(t)), pa.nulls(k, pa.from_numpy_dtype(t))])
             yield pa.RecordBatch.from_arrays(
                 [
-                    docs.take(pa.array(np.concatenate([doc[first], np.array(own, np.int64)]).astype(np.int64))),
+                    docs.take(pa.array(np.concatenate([doc[first], own]).astype(np.int64))),
                     pa.array(np.concatenate([g[first], loose]).view(np.int64)), ints(c[first].view(np.int64), np.int64), ints(start[first], np.int64),
-                    ints(size[first], np.int32), ints(before[first], np.int32), ints(times, np.int32), pa.concat_arrays([pa.nulls(len(first), SPAN), pa.array(spans, SPAN)]),
+                    ints(size[first], np.int32), ints(before[first], np.int32), ints(times, np.int32), pa.concat_arrays([pa.nulls(len(first), SPAN), spans.cast(SPAN)]),
                 ],
                 [x.split()[0] for x in RUNS.replace("lo:bigint,hi:bigint", "").split(", ")],
             )
@@ -225,7 +228,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
     whole = found.where("equal > 1").select("doc", F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("strings") - 1 + length).alias("hi")).alias("span"))
     local = found.where("spans IS NOT NULL").select("doc", F.explode("spans").alias("span"))
     wanted = found.where("equal < `all` AND no = 1").groupBy("doc").agg(F.collect_list(F.struct("gram", "start", "strings", "before")).alias("wanted"))
-    open_runs = docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_contexts(length), OPEN)
+    # one document for each text: copies would find each other again
+    one = docs.join(wanted, "doc").select("doc", "text", "wanted").dropDuplicates(["doc"])
+    open_runs = one.mapInArrow(_contexts(length), OPEN)
     open_runs = materialize(open_runs.withColumn("run", F.monotonically_increasing_id()), "repeats-open")
     alike = Window.partitionBy("gram", "chunk", "content")
     chunks = open_runs.select("run", "gram", "before", "bytes").mapInArrow(_chunks(length, chunk), "run bigint, gram bigint, chunk int, content bigint")
@@ -251,18 +256,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, gone, count, kept = [], [], [], []
-            for text, found in zip(b.column("text"), b.column("spans").to_pylist(), strict=True):
+            spans = b.column("spans")
+            edges = np.append(0, np.cumsum(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+            flat = spans.flatten()
+            los, his = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for k, text in enumerate(b.column("text")):
                 raw = text.as_py().encode()
-                cut = merged([(s["lo"], s["hi"]) for s in found or []])
-                out, at = [], 0
-                for lo, hi in cut:
-                    out.append(raw[at:lo])
-                    at = hi
-                out.append(raw[at:])
+                lo, hi = merged(los[edges[k] : edges[k + 1]], his[edges[k] : edges[k + 1]])
+                ends = zip([0, *hi.tolist()], [*lo.tolist(), len(raw)], strict=True)
                 size.append(len(raw))
-                gone.append(sum(hi - lo for lo, hi in cut))
-                count.append(len(cut))
-                kept.append(b"".join(out))
+                gone.append(int((hi - lo).sum()))
+                count.append(len(lo))
+                kept.append(b"".join([raw[x:y] for x, y in ends]) if len(lo) else raw)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, gone, count)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
             )
