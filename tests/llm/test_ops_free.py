@@ -1,0 +1,304 @@
+import base64
+import gzip
+import hashlib
+import random
+import re
+import urllib.parse
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from survista.llm import chat, html, neardup, packing, rolling, secrets, substrings, topk
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+# ---- top-k ----
+
+
+def test_top_k_by_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(k, [float(rng.randrange(-3, 4)) for _ in range(6)]) for k in range(300)] + [(k, [1.0] * 6) for k in range(300, 340)] + [(5, [2.0] * 6), (7, [1.0, 2.0])]
+    v = spark.createDataFrame([(n, i, x) for n, (i, x) in enumerate(rows)], "row bigint, vec_id bigint, vector array<double>")
+    got = topk.top_k(v, v.where("vec_id % 10 = 0"), 4, shard=50, block=7).collect()
+    have = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        have.setdefault(r["query_row"], []).append((r["vec_id"], r["score"]))
+    for n, (i, x) in enumerate(rows):
+        if i % 10 == 0:
+            all_scores = sorted((-sum(a * c for a, c in zip(x, y, strict=True)), j) for m, (j, y) in enumerate(rows) if m != n and len(y) == len(x))
+            assert have[n] == [(j, -s) for s, j in all_scores[:4]]
+
+
+def test_vectors_that_take_no_part(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, [0.5, -0.001]), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, None), (5, [float("inf"), 0.0])], "vec_id bigint, e array<float>")
+    got = {r[0]: r[1] for r in df.select("vec_id", topk.scaled(F.col("e"))).collect()}
+    assert got == {1: [128.0, -1.0], 2: None, 3: None, 4: None, 5: None}
+
+
+# ---- near duplicates ----
+
+
+def brute_components(texts, w, percent):
+    sets = {}
+    for k, t in texts:
+        x = WORD.findall((t or "").translate(LOWER))
+        sets[k] = frozenset(tuple(x[j : j + w]) for j in range(len(x) - w + 1)) if len(x) >= w else frozenset([tuple(x)] if x else [])
+    comp = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both) and comp[a] != comp[b]:
+                    low, high = sorted((comp[a], comp[b]))
+                    comp = {k: low if v == high else v for k, v in comp.items()}
+    return {k: (len(s), comp[k]) for k, s in sets.items()}
+
+
+@pytest.mark.parametrize("w, percent, block", [(4, 85, 512), (5, 80, 3), (1, 50, 4)])
+def test_components_by_brute_force(docs, texts, w, percent, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "COLUMNS", 16)
+    want = brute_components([*enumerate(texts)], w, percent)
+    got = neardup.near_duplicates(docs.where("doc_id IS NOT NULL"), w, percent).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
+
+
+def test_first_of_each(docs, no_docs):
+    extra = docs.selectExpr("*", "'c' AS component_id", "1 AS n_shingles")
+    got = neardup.first_of_each(extra)
+    ids = [r["doc_id"] for r in got.collect()]
+    assert got.columns == extra.columns and len(set(ids)) == len(ids) and None in ids
+    assert neardup.first_of_each(no_docs).count() == 0 and neardup.near_duplicates(no_docs).count() == 0
+
+
+def test_stars_find_what_union_finds(spark):
+    rng = random.Random(1)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1040)]
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    one, other = ({r["node"]: r["component"] for r in neardup.components(df, few).collect()} for few in (10**6, 0))
+    assert one == other and one[1040] == 1000
+
+
+# ---- secrets ----
+
+SECRET = 'token = "abcdef123456"'
+
+
+def span_texts(text):
+    return [text[a:b] for a, b, _ in secrets.spans(text)[1]]
+
+
+def test_base_rules():
+    assert secrets.joined(secrets.scan("password=token=abcdef")) == "assign:0:21"
+    assert secrets.scan("secret: token: abcdefgh") == []  # the first match fails and is used up
+    assert secrets.scan("AKIA" + "A" * 15) == [] and secrets.scan("AKIA" + "A" * 16) == [(0, 20, 1)]
+    assert secrets.scan("0" * 23) == [] and secrets.scan("g" + "0f" * 12) == [(1, 25, 2)]
+    assert secrets.scan("APIKEY : 'abcdef'") == [(0, 16, 0)] and secrets.scan("toKen=ab") == []
+
+
+@pytest.mark.parametrize(
+    "layer",
+    [
+        base64.b64encode(SECRET.encode()).decode(), base64.b64encode(gzip.compress(SECRET.encode())).decode(), base64.b64encode(zlib.compress(zlib.compress(SECRET.encode()))).decode(), urllib.parse.quote(SECRET, safe=""),
+        "".join(f"%{c:02X}" for c in SECRET.encode()), "".join(f"\\u{ord(c):04x}" for c in SECRET), "".join(f"&#{ord(c)};" for c in SECRET), base64.b64encode(base64.b64encode(SECRET.encode())).decode(),
+        urllib.parse.quote(urllib.parse.quote("".join(f"\\u{ord(c):04x}" for c in SECRET))),
+    ],
+)
+def test_layers_are_unwrapped(layer):
+    text = f"é before {layer} after"
+    base, every = secrets.spans(text)
+    assert base == [] and len(every) == 1
+    (a, b, kind), = every
+    assert kind == 0 and a >= 9 and b <= len(text) - 6 and text[a:b] in layer
+
+
+def test_cycles_and_bombs_end():
+    bomb = base64.b64encode(gzip.compress(b"a" * 1000)).decode()
+    for text in ("%25" * 50, "%2525252525", bomb * 3, "\\u005c\\u0075" * 9, "", "=" * 99, base64.b64encode(b"\x78\x9c broken").decode()):
+        secrets.spans(text)
+
+
+def test_scan_rows(docs, no_docs):
+    got = secrets.scanned(docs).collect()
+    assert len(got) == docs.count() and all(r["spans"] == "" or r["spans"].count(":") for r in got)
+    assert secrets.scanned(no_docs).count() == 0
+
+
+# ---- chat ----
+
+ANY = st.text(alphabet=st.sampled_from("<;|!>\n a/é\\#end:turn"), max_size=30)
+
+
+@settings(max_examples=200)
+@given(st.lists(st.tuples(st.one_of(st.just("assistant"), ANY), ANY), max_size=6))
+def test_round_trip(turns):
+    text, mask = chat.render(turns)
+    assert chat.parse(text) == turns
+    assert "".join(chat.unescape(text[a:b]) for a, b in mask) == "".join(t for r, t in turns if r == "assistant")
+
+
+def test_fold():
+    f = chat.Fold()
+    for e in [("append", 1, "user", "hi"), ("append", 2, "assistant", "he"), ("delta", 2, None, "llo"), ("append", 3, "user", "why"), ("edit", 1, None, "hey"), ("regenerate", 2, None, ""), ("delta", 2, None, "new"), (None, 9, None, None)]:
+        f.take(*e)
+    assert f.turns() == [("user", "hey"), ("assistant", "new"), ("", "")]
+
+
+def test_logs(spark):
+    rows = [(1, 3, "delta", 1, None, "c"), (1, 1, "append", 1, "assistant", "a"), (1, 2, "delta", 1, None, "b"), (2, 1, None, 1, None, None), (None, 1, "append", 1, "user", "x")]
+    got = {r["conv_id"]: (r["n_messages"], chat.parse(r["formatted"])) for r in chat.format_events(spark.createDataFrame(rows, chat.EVENTS)).collect()}
+    assert got == {1: (1, [("assistant", "abc")]), 2: (1, [("", "")]), None: (1, [("user", "x")])}
+    back = {r["conv_id"]: r for r in chat.read_back(chat.format_events(spark.createDataFrame(rows, chat.EVENTS))).collect()}
+    assert back[1]["loss_chars"] == 3 and back[1]["loss_sha256"] == hashlib.sha256(b"abc").hexdigest()
+    assert chat.format_events(spark.createDataFrame([], chat.EVENTS)).count() == 0
+
+
+# ---- packing ----
+
+
+def test_words_agree_with_the_tokenizer(texts):
+    import public_tokenizers
+
+    table = packing.Words(public_tokenizers.path(packing.VOCABULARY))
+    odd = ["Ünïcode İstanbul ΣΑΣ’s don't \x1c x<|endoftext|>y <|startoftext|>", "日本語 42nd ½ ﬁ Å Å K", "'s 't ''", "zero​width \x85 next﻿", "", " \n ", "ǅ ŉ ß ẞ ı I"]
+    for t in [*texts, *odd]:
+        want = np.array(table.whole.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+        assert table.ids(t or "") == want, t
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 100), min_size=1, max_size=60))
+def test_bins_and_bound(lengths):
+    where = packing.best_fit_decreasing(lengths, 100)
+    fill = Counter()
+    for b, x in zip(where, lengths, strict=True):
+        fill[b] += x
+    assert max(fill.values()) <= 100 and packing.lower_bound(lengths, 100) <= len(fill)
+    assert len(fill) <= 1.3 * packing.lower_bound(lengths, 100) + 1
+
+
+def test_bound_knows_big_pieces():
+    assert packing.lower_bound([51] * 10, 100) == 10 and packing.lower_bound([34] * 9, 100) == 5
+
+
+def test_packing_is_whole(docs, no_docs, monkeypatch):
+    import public_tokenizers
+
+    got = packing.packed(docs, keep=["doc_id", "text"], capacity=64).collect()
+    table = packing.words(public_tokenizers.path(packing.VOCABULARY))
+    spans, ids = {}, Counter()
+    for r in got:
+        whole = table.ids(r["text"] or "") + packing.END.to_bytes(4, "little")
+        part = whole[4 * r["start"] : 4 * (r["start"] + r["length"])]
+        assert zlib.crc32(part) == r["ids_crc32"] and r["start"] == 64 * r["piece"] and len(part) == 4 * r["length"]
+        spans.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        ids[r["doc_id"]] += r["length"]
+    for parts in spans.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 64
+    least = -(-sum(r["length"] for r in got) // 64)
+    assert len(spans) <= 1.05 * least + 2
+    assert packing.packed(no_docs).count() == 0
+
+
+def test_exchange_rounds(spark):
+    rng = random.Random(5)
+    lengths = [rng.randrange(1, 100) for _ in range(3000)]
+    cut = spark.createDataFrame([*enumerate(lengths)], "piece_no bigint, length bigint")
+    got = packing.pack(cut, capacity=100, dealt=100).collect()
+    fill = Counter()
+    for r in got:
+        fill[r["sequence_id"]] += lengths[r["piece_no"]]
+    assert len(got) == 3000 and max(fill.values()) <= 100
+    once = packing.pack(cut, capacity=100, dealt=100, rounds=1).select("sequence_id").distinct().count()
+    assert packing.lower_bound(lengths, 100) <= len(fill) < once and len(fill) <= 1.05 * packing.lower_bound(lengths, 100)
+
+
+# ---- repeated strings ----
+
+
+def brute_cut(texts, w):
+    raw = [(t or "").encode() for t in texts]
+    n = Counter(r[k : k + w] for r in raw for k in range(len(r) - w + 1))
+    out = []
+    for r in raw:
+        gone = bytearray(len(r))
+        for k in range(len(r) - w + 1):
+            if n[r[k : k + w]] > 1:
+                gone[k : k + w] = b"\1" * w
+        runs = sum(1 for k in range(len(r)) if gone[k] and (k == 0 or not gone[k - 1]))
+        out.append((len(r), sum(gone), runs, bytes(c for c, g in zip(r, gone, strict=True) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("segment, part", [(2 << 20, 1 << 20), (700, 500)])
+def test_cuts_by_brute_force(spark, texts, segment, part, monkeypatch):
+    monkeypatch.setattr(substrings, "SEGMENT", segment)
+    monkeypatch.setattr(rolling, "PART", part)
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    want = brute_cut(texts, 400)
+    for r in substrings.without_repeats(df).collect():
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]], texts[r["doc_id"]][:50]
+
+
+def test_runs_over_segments():
+    rng = random.Random(2)
+    data = np.array([rng.randrange(97, 100) for _ in range(5000)], np.uint8)
+    got = []
+    old = substrings.SEGMENT
+    try:
+        substrings.SEGMENT = 600
+        for base, piece, edges in substrings.pieces_of(data, np.array([0, len(data)]), 50):
+            _, _, _, start, size, _ = substrings.runs(piece, edges, 50, 25)
+            got += [s + base + k for s, n in zip(start.tolist(), size.tolist(), strict=True) for k in range(n)]
+    finally:
+        substrings.SEGMENT = old
+    assert sorted(got) == list(range(len(data) - 50 + 1))
+
+
+def test_range_hashes():
+    data = np.frombuffer(b"abcabcxabc", np.uint8)
+    r = rolling.Ranges(data)
+    assert r.of(0, 3) == r.of(3, 6) == r.of(7, 10) != r.of(1, 4)
+    col = pa.array(["ab", None, "", "cdé"])
+    assert b"".join(d.tobytes() for _, d, _ in rolling.parts(col)) == "abcdé".encode()
+
+
+def test_nothing_to_cut(no_docs):
+    assert substrings.without_repeats(no_docs).count() == 0
+
+
+# ---- pages ----
+
+
+def test_blocks():
+    page = """<!DOCTYPE html><head><title>T</title><script>var a="<p>no</p>";</script></head><body class="nav-open"><nav>Menu</nav><header>Site</header>
+      <article><h1>One &amp; two</h1><p>a <b>bo</b>ld<br>line<!-- no --><div class="ad-slot">Buy</div><p>un<i>closed<p>c&#8364;<section id="comments"><p>Reader</p></section></article>
+      <aside>Side</aside><div class="cookie-notice">Cookies</div><form>Go</form><footer>Foot</footer>"""
+    main, rest = html.blocks(page)
+    assert " ".join(main) == "One & two a bold line unclosed c€" and rest == []
+    assert html.blocks("plain a < b &lt; c")[1] == ["plain a < b < c"]
+    assert html.blocks("") == ([], []) and html.blocks("<p>x<nav>y")[1] == ["x"]
+
+
+def test_hosts_boilerplate(spark):
+    menu = "<p>Home News Sport Weather Video Travel Culture Sounds</p>"
+    rows = [(1, "http://a.x/1", f"<body>{menu}<p>own text one</p>", "c"), (2, "https://u@A.x:80/2", f"<body>{menu}<p>other two</p>", "c"), (3, "http://b.x/2", f"<body>{menu}<p>third</p>", "c"), (4, None, None, "c"), (5, "x", "<main>kept kept</main>" + menu, "c")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert got == {1: "own text one", 2: "other two", 3: "Home News Sport Weather Video Travel Culture Sounds third", 4: "", 5: "kept kept"}
+    assert html.extract(df.where("false")).count() == 0
