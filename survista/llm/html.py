@@ -84,7 +84,7 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
                 flush()
             if any(s[0] == name for s in stack):
                 while True:
-                    if stack[-1][2] or stack[-1][0] not in INLINE:
+                    if stack[-1][0] not in INLINE:
                         flush()
                     if stack.pop()[0] == name:
                         break
