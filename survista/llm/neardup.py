@@ -5,11 +5,13 @@ put in one order, those known to be frequent last. Two sets with Jaccard similar
 for any l, at least l tokens of their prefixes of length n - ceil(s n) + l. Each class picks the l for
 which the estimated cost of its candidates is least: a longer prefix costs more postings, but asks for
 more shared tokens before a pair is verified. A pair is verified if its prefixes share as many tokens as
-the smaller l of the two asks for.
+the smaller l of the two asks for, or as the two sizes imply if that is more.
 
-Which classes a link connects is all that is kept of it, so pairs that are connected already need no
-look. Rounds of linear size (each posting with its neighbour and with the first of its token)
-find most links first; only then are pairs of different components listed, completely.
+Pairs are never listed. Each token names a hub, the most central class of its postings, and a class joins
+the group of every hub that its prefix tokens name: classes that share a prefix token share a hub. A
+group is cut into blocks, and two blocks at a time meet in a task of bounded size, where shared prefix
+tokens, and then whole intersections, are counted by products of token matrices. Of the links found there a
+spanning forest is sent on, which is all that components need.
 
 Defined results: null or wordless text has an empty set and is linked with nothing (its component is its
 own doc_id); fewer words than a shingle has make one shingle of all; repeated rows are one class; ties do
@@ -20,6 +22,7 @@ an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +35,20 @@ from survista.llm.rolling import Ranges, mix, parts
 
 #: Frequent tokens that the order knows of at most: a bound on what is broadcast (16 bytes each). The order
 #: decides on cost alone, never on results.
-KNOWN = 1 << 18
+KNOWN = 1 << 20
 #: Times a token stands in the documents of one batch for it to be counted as frequent.
-OFTEN = 3
+OFTEN = 2
 LONGEST = 8
 #: Cost of verifying a pair, in postings.
 VERIFY = 64
-#: Rounds of linear size before pairs are listed.
-ROUNDS = 4
-#: Pairs verified in one group at most.
-GROUP = 2000
+#: Classes of a block; a task holds two blocks.
+BLOCK = 512
+#: Places marked at most, 4 bytes each on their way.
+MARKS = 1 << 22
+#: Columns of a token matrix at once.
+COLUMNS = 4096
+#: Links whose components one task finds: 16 bytes each, some 100 in its table.
+FEW = 500_000
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -88,7 +95,9 @@ def _survey(words: int):
         """A row a document (its id, set size and signature), and a row a frequent token of the batch."""
         for b in batches:
             sets = list(shingle_sets(b.column(1), words))
-            token, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
+            # equal sets count once: their classes are joined anyway
+            distinct = {signature(s): s for s in sets}.values()
+            token, count = np.unique(np.concatenate([*distinct]), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
             token, count = token[count >= OFTEN], count[count >= OFTEN]
             n, m = len(sets), len(token)
             yield pa.RecordBatch.from_arrays(
@@ -121,86 +130,246 @@ def choose(costs: np.ndarray, n: int, least: int) -> tuple[int, int]:
     return best
 
 
+def prefix_of(s: np.ndarray, percent: int, frequent: np.ndarray, times: np.ndarray) -> tuple[int, np.ndarray]:
+    """(l, prefix) of a set."""
+    n = len(s)
+    if not n:
+        return 1, s
+    order, costs = s, np.zeros(n)
+    if len(frequent):
+        where = np.searchsorted(frequent, s)
+        where[where == len(frequent)] = 0
+        often = frequent[where] == s
+        if often.any():
+            hot, c = s[often], times[where[often]]
+            by = np.lexsort((hot, c))
+            order = np.concatenate([s[~often], hot[by]])
+            costs[n - len(hot) :] = c[by]
+    m, p = choose(costs, n, -(-percent * n // 100))
+    return m, order[:p]
+
+
 def _prefixes(words: int, percent: int, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, times = known.value
         for b in batches:
-            sig, size, match, flat, at = [], [], [], [], [0]
+            sig, match, flat, at = [], [], [], [0]
             for s in shingle_sets(b.column(0), words):
-                n = len(s)
-                if n:
-                    where = np.searchsorted(frequent, s)
-                    where[where == len(frequent)] = 0
-                    often = frequent[where] == s if len(frequent) else np.zeros(n, bool)
-                    order = s
-                    costs = np.zeros(n)
-                    if often.any():
-                        hot, c = s[often], times[where[often]]
-                        by = np.lexsort((hot, c))
-                        order = np.concatenate([s[~often], hot[by]])
-                        costs[n - len(hot) :] = c[by]
-                    m, p = choose(costs, n, -(-percent * n // 100))
-                    flat.append(order[:p])
-                    match.append(m)
-                else:
-                    match.append(1)
-                    p = 0
+                m, p = prefix_of(s, percent, *known.value)
+                match.append(m)
+                flat.append(p)
                 sig.append(signature(s))
-                size.append(n)
-                at.append(at[-1] + p)
+                at.append(at[-1] + len(p))
             tokens = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sig, pa.binary()), pa.array(match, pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(_longs(tokens)))],
-                ["sig", "l", "tokens"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(match, pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(_longs(tokens)))], ["sig", "l", "tokens"])
 
     return run
 
 
-def _signed(words: int):
+def _signed(words: int, marked):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Signatures and packed texts of those whose signature's place is marked."""
+        marks = marked.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in shingle_sets(b.column(0), words)], pa.binary()), b.column(0)], ["sig", "text"])
+            sig, body = [], []
+            for s, text in zip(shingle_sets(b.column(0), words), b.column(0), strict=True):
+                g = signature(s)
+                if marks is None or marks[int.from_bytes(g[:3])]:
+                    sig.append(g)
+                    body.append(zlib.compress(text.as_py().encode(), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(body, pa.binary())], ["sig", "text"])
 
     return run
 
 
-def _verifier(words: int, percent: int):
+def marked_places(spark, wanted: DataFrame):
+    """Which of 2 ** 24 places the first bytes of the wanted signatures hit, 16 MB whatever the corpus; none where so
+    many are hit that it would spare little."""
+    places = wanted.select(F.conv(F.hex(F.substring("sig", 1, 3)), 16, 10).cast("int").alias("p")).distinct()
+    if places.count() > MARKS:
+        return spark.sparkContext.broadcast(None)
+    marks = np.zeros(1 << 24, bool)
+    marks[places.toArrow()["p"].to_numpy()] = True
+    return spark.sparkContext.broadcast(marks)
+
+
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of `left` with each of `right`."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    tokens = np.intersect1d(a, b)
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    for lo in range(0, len(tokens), COLUMNS):
+        part = tokens[lo : lo + COLUMNS]
+        sides = []
+        for flat, row, n in ((a, rows[0], len(left)), (b, rows[1], len(right))):
+            at = np.searchsorted(part, flat)
+            at[at == len(part)] = 0
+            hit = part[at] == flat
+            m = np.zeros((n, len(part)), np.float32)
+            m[row[hit], at[hit]] = 1
+            sides.append(m)
+        out += (sides[0] @ sides[1].T).astype(np.int64)  # exact: below 2 ** 24
+    return out
+
+
+def open_pairs_of(left: tuple, right: tuple, percent: int, same: bool) -> np.ndarray:
+    """Which pairs share enough prefix tokens. A side: sizes, l, prefix lengths, prefixes (or what of them others have).
+
+    Of the tokens that two sets share, all but those behind the prefix that ends first are shared by the
+    prefixes: their count, and what either set has behind its prefix, bound the intersection.
+    """
+    (na, la, pa_, ta), (nb, lb, pb, tb) = left, right
+    total = na[:, None] + nb[None, :]
+    needed = -(-percent * total // (100 + percent)) - np.maximum.outer(na - pa_, nb - pb)
+    asked = np.maximum(np.minimum.outer(la, lb), needed)
+    out = (shared(ta, tb) >= asked) & (100 * np.minimum.outer(na, nb) >= percent * np.maximum.outer(na, nb))
+    if same:
+        out &= np.arange(len(na))[:, None] < np.arange(len(nb))[None, :]
+    return out
+
+
+def _side(sets: list[np.ndarray], percent: int, frequent: np.ndarray, times: np.ndarray) -> tuple:
+    found = [prefix_of(s, percent, frequent, times) for s in sets]
+    return np.array([len(s) for s in sets]), np.array([m for m, _ in found]), np.array([len(p) for _, p in found]), [p for _, p in found]
+
+
+def links_between(left: list[np.ndarray], right: list[np.ndarray], percent: int, frequent: np.ndarray, times: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """(i, j) of similar sets, of each component of these links a spanning forest. same: both sides are one block."""
+    first = _side(left, percent, frequent, times)
+    second = first if same else _side(right, percent, frequent, times)
+    na, nb = first[0], second[0]
+    open_pairs = open_pairs_of(first, second, percent, same)
+    ii, jj = np.flatnonzero(open_pairs.any(axis=1)), np.flatnonzero(open_pairs.any(axis=0))
+    if not len(ii):
+        return []
+    both = shared([left[i] for i in ii], [right[j] for j in jj])
+    similar = open_pairs[np.ix_(ii, jj)] & (100 * both >= percent * (na[ii][:, None] + nb[jj][None, :] - both))
+    parent: dict = {}
+
+    def root(x):
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(similar)), strict=True):
+        i, j = int(ii[i]), int(jj[j])
+        u, v = root((0, i)), root((0, j) if same else (1, j))
+        if u != v:
+            parent[u] = v
+            out.append((i, j))
+    return out
+
+
+def _meet(words: int, percent: int, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted so that the text of an `a` (b null) comes before those of its partners."""
-        own, own_set = None, None
+        """Rows sorted by meeting (hub, i, j); one meeting is held at a time."""
+        frequent, times = known.value
+        key, sides, ids = None, ([], []), ([], [])
+        out: tuple[list, list] = ([], [])
+
+        def close() -> None:
+            same = key[1] == key[2]
+            for i, j in links_between(sides[0], sides[0] if same else sides[1], percent, frequent, times, same) if sides[0] and (same or sides[1]) else ():
+                out[0].append(ids[0][i])
+                out[1].append((ids[0] if same else ids[1])[j])
+            for x in (*sides, *ids):
+                x.clear()
+
         for batch in batches:
-            out_a, out_b = [], []
-            key = zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), batch.column("b").to_pylist(), strict=True)
-            for (a, part, b), s in zip(key, shingle_sets(batch.column("text"), words), strict=True):
-                if b is None:
-                    own, own_set = (a, part), s
-                elif own == (a, part):
-                    both = len(np.intersect1d(own_set, s, assume_unique=True))
-                    if 100 * both >= percent * (len(own_set) + len(s) - both):
-                        out_a.append(a)
-                        out_b.append(b)
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+            rows = zip(*(batch.column(c).to_pylist() for c in ("hub", "i", "j", "block", "class")), shingle_sets(pa.array([zlib.decompress(t).decode() for t in batch.column("text").to_pylist()], pa.string()), words), strict=True)
+            for hub, i, j, block, c, s in rows:
+                if (hub, i, j) != key:
+                    if key is not None:
+                        close()
+                    key = (hub, i, j)
+                side = 0 if block == i else 1
+                sides[side].append(s)
+                ids[side].append(c)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+                out = ([], [])
+        if key is not None:
+            close()
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough. texts: class, text. Partners of an `a` are dealt to parts of
-    some GROUP rows, to each of which its text goes."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
-    dealt = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
-    b = dealt.join(texts.withColumnRenamed("class", "b"), "b").select("a", "part", "b", "text")
-    a = many.join(texts.withColumnRenamed("class", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
-    rows = a.unionByName(b).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_verifier(words, percent), "a bigint, b bigint")
+def _screen(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Classes of each meeting that share enough prefix tokens with another."""
+        key, sides = None, ([], [])
+
+        def side(rows: list) -> tuple:
+            n, m = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+            return n, m, np.minimum(n, n + (-percent * n // 100) + m), [r[3] for r in rows]
+
+        def close() -> list[int]:
+            same = key[1] == key[2]
+            if not sides[0] or not (same or sides[1]):
+                return []
+            first = side(sides[0])
+            found = open_pairs_of(first, first if same else side(sides[1]), percent, same)
+            rows, cols = np.flatnonzero(found.any(axis=1)), np.flatnonzero(found.any(axis=0))
+            return [sides[0][k][0] for k in rows] + [sides[0 if same else 1][k][0] for k in cols]
+
+        for batch in batches:
+            hubs, classes = [], []
+            tokens = batch.column("tokens")
+            flat, edges = tokens.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(tokens.value_lengths().to_numpy()))
+            for k, (hub, i, j, block, c, n, m) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("hub", "i", "j", "block", "class", "n", "l")), strict=True)):
+                if (hub, i, j) != key:
+                    if key is not None:
+                        got = close()
+                        hubs += [key[0]] * len(got)
+                        classes += got
+                        sides[0].clear()
+                        sides[1].clear()
+                    key = (hub, i, j)
+                sides[0 if block == i else 1].append((c, n, m, flat[edges[k] : edges[k + 1]].copy()))
+            yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(classes, pa.int64())], ["hub", "class"])
+        if key is not None:
+            got = close()
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(got), pa.int64()), pa.array(got, pa.int64())], ["hub", "class"])
 
+    return run
 
-def components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for every node of links (a, b), by alternating large and small stars."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = materialize(edges, "cc-links")
+
+def meetings(groups: DataFrame, block: int) -> DataFrame:
+    """hub, i, j, block, class: each class of a hub's group with each of the group's blocks, i <= j."""
+    by = Window.partitionBy("hub").orderBy("class")
+    placed = groups.withColumns({"block": F.floor((F.row_number().over(by) - 1) / block).cast("int"), "blocks": F.ceil(F.count(F.lit(1)).over(Window.partitionBy("hub")) / block).cast("int")})
+    other = placed.select("hub", "class", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    return other.select("hub", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "class")
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union by smallest node over all links of one bounded partition."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            u, v = root(u), root(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "component"])
+
+
+def components(links: DataFrame, few: int = FEW) -> DataFrame:
+    """node, component (its smallest node) for every node of links (a, b): in one task for up to `few` links,
+    beyond that by alternating large and small stars."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    if edges.count() <= few:
+        return edges.coalesce(1).mapInArrow(_forest, "node bigint, component bigint")
+    edges = materialize(edges.distinct(), "cc-links")
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -225,48 +394,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     survey = materialize(survey, "jaccard-survey")
     mine = survey.where("sig IS NOT NULL").select("doc_id", "n", "sig")
     # at most KNOWN rows, whatever the corpus
-    top = survey.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(KNOWN).collect()
-    token = np.array([r[0] for r in top], np.int64).view(np.uint64)
+    top = survey.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(KNOWN).toArrow()
+    token = top["token"].to_numpy().view(np.uint64)
     order = np.argsort(token)
-    known = spark.sparkContext.broadcast((token[order], np.array([r[1] for r in top], np.int64)[order]))
+    known = spark.sparkContext.broadcast((token[order], top["times"].to_numpy()[order]))
     classes = mine.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n")).withColumn("class", F.monotonically_increasing_id())
     classes = materialize(classes, "jaccard-classes")
 
     prefixes = docs.select("text").where("text IS NOT NULL").mapInArrow(_prefixes(words, percent, known), "sig binary, l int, tokens array<bigint>")
-    postings = prefixes.where("size(tokens) > 0").dropDuplicates(["sig"]).join(classes, "sig").select("class", "n", "l", F.explode("tokens").alias("token"))
-    postings = postings.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1").drop("df")
-    postings = materialize(postings, "jaccard-postings")
-    wanted = classes.join(postings.select("class").distinct(), "class", "left_semi").select("sig", "class")
-    signed = docs.select("text").where("text IS NOT NULL").mapInArrow(_signed(words), "sig binary, text string")
+    # class and l (at most LONGEST) travel as one number
+    both = (F.col("class") * 16 + F.col("l")).alias("both")
+    postings = prefixes.where("size(tokens) > 0").dropDuplicates(["sig"]).join(classes, "sig").select(both, F.explode("tokens").alias("token"))
+    postings = postings.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
+    postings = materialize(postings.select("token", "df", F.expr("both div 16").alias("class"), F.expr("cast(both % 16 AS int)").alias("l")), "jaccard-postings")
+    # what copies were made from shares more of its tokens, with more classes, than a copy does
+    central = postings.groupBy("class").agg(F.sum("df").alias("df")).join(classes.select("class", "n"), "class")
+    central = central.select("class", F.struct((-F.col("df") / F.col("n")).alias("order"), F.col("class").alias("hub")).alias("rank"))
+    ranked = postings.select("class", "token").join(central, "class")
+    hubs = ranked.groupBy("token").agg(F.min("rank").alias("first"))
+    groups = ranked.join(hubs, "token").select(F.col("first.hub").alias("hub"), "class").distinct()
+    groups = materialize(groups.withColumn("g", F.count(F.lit(1)).over(Window.partitionBy("hub"))).where("g > 1").drop("g"), "jaccard-groups")
+    # first by shared prefix tokens alone: texts are needed of those classes only that have a partner by these
+    known_by = postings.groupBy("class").agg(F.min("l").alias("l"), F.collect_list("token").alias("tokens")).join(classes.select("class", "n"), "class")
+    rows = meetings(groups, BLOCK).join(known_by, "class").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "block", "class")
+    groups = materialize(rows.mapInArrow(_screen(percent), "hub bigint, class bigint").distinct(), "jaccard-partners")
+    wanted = classes.join(groups.select("class").distinct(), "class", "left_semi").select("sig", "class")
+    signed = docs.select("text").where("text IS NOT NULL").mapInArrow(_signed(words, marked_places(spark, wanted)), "sig binary, text binary")
     texts = materialize(signed.join(wanted, "sig").dropDuplicates(["class"]).select("class", "text"), "jaccard-texts")
-
-    fits = "100 * least(n, n2) >= {p} * greatest(n, n2)".format(p=percent)
-    found, component, left = None, None, postings.withColumn("component", F.col("class"))
-    for k in range(ROUNDS):
-        by = Window.partitionBy("token").orderBy("key", "class")
-        keyed = left.withColumn("key", F.col("n") if k == 0 else F.xxhash64("class", F.lit(k)))
-        near = keyed.select("token", "class", "n", "component", *[f.over(by).alias(x) for x, f in (("other", F.lag(F.struct("class", "n", "component"))), ("hub", F.first(F.struct("class", "n", "component"))))])
-        pairs = near.select("class", "n", "component", F.explode(F.array("other", "hub")).alias("x")).where("x IS NOT NULL")
-        pairs = pairs.select("class", "n", "component", F.col("x.class").alias("class2"), F.col("x.n").alias("n2"), F.col("x.component").alias("component2"))
-        pairs = pairs.where("component <> component2 AND " + fits).select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct()
-        links = materialize(verify(pairs, texts, words, percent), "jaccard-links")
-        gained = not links.isEmpty()
-        if gained:
-            found = links if found is None else found.unionByName(links)
-            component = materialize(components(found), "jaccard-components")
-            left = _labelled(postings, component)
-        # tokens that still stand in more than one component
-        mixed = left.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-        left = materialize(left.join(mixed, "token", "left_semi"), "jaccard-left")
-        size, most = left.groupBy("token").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0))).first()
-        if not gained or most <= 16 * size:
-            break
-    other = left.select("token", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("l").alias("l2"), F.col("component").alias("component2"))
-    pairs = left.join(other, "token").where("class < class2 AND component <> component2 AND " + fits)
-    pairs = pairs.groupBy(F.col("class").alias("a"), F.col("class2").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("l", "l2")).alias("asked")).where("shared >= asked").select("a", "b")
-    links = materialize(verify(pairs, texts, words, percent), "jaccard-links")
-    if not links.isEmpty():
-        component = components(links if found is None else found.unionByName(links))
+    rows = meetings(groups, BLOCK).join(texts, "class").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "block", "class")
+    links = materialize(rows.mapInArrow(_meet(words, percent, known), "a bigint, b bigint"), "jaccard-links")
+    component = None if links.isEmpty() else components(links)
     if component is None:
         named = classes.select("sig", F.col("first_id").alias("component_id"))
     else:
@@ -277,11 +434,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _labelled(postings: DataFrame, component: DataFrame) -> DataFrame:
-    c = component.withColumnRenamed("node", "class")
-    return postings.join(c, "class", "left").withColumn("component", F.coalesce("component", "class"))
-
-
 def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id (a repeated one once);
     documents without words and those without doc_id stay."""
