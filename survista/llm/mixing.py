@@ -46,7 +46,8 @@ def targets(sized: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFram
     target = F.least(F.col("level") * F.col("weight"), F.col("cap").cast("double"))
     one = one.withColumn("target", F.coalesce(target, F.lit(0.0)))
     low = F.coalesce(F.sum("target").over(by_name.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return one.select("source", "source_size", "weight", "target", low.alias("low"))
+    # rounded, so that a point on the border of two sources falls alike however the sum was taken
+    return one.select("source", "source_size", "weight", "target", F.round(low, 6).alias("low"))
 
 
 def van_der_corput(i):
@@ -56,7 +57,7 @@ def van_der_corput(i):
 
 def schedule(spark, rows: list, slots: int, block: int, epochs: int = EPOCHS) -> DataFrame:
     """slot, source_no, block of each slot of the mix. rows: the sources in order, one row each."""
-    whole = sum(r["target"] for r in rows)
+    whole = sum(r["source_size"] for r in rows)  # as the targets sum to
     lows = F.array(*[F.lit(float(r["low"])) for r in rows])
     sizes = F.array(*[F.lit(int(-(-r["source_size"] // block))) for r in rows])
     point = van_der_corput(F.col("slot")) * F.lit(float(whole))
@@ -134,13 +135,12 @@ held AS (SELECT *, (SELECT arg_max(level, shares) FROM filled WHERE level * weig
 aimed AS (SELECT source, source_size, least(held_at * weight, cap::DOUBLE) AS target FROM held),
 total AS (SELECT sum(size)::BIGINT AS words, greatest(1, least({BLOCK}, sum(size)::BIGINT >> {FINE})) AS b FROM sized),
 listed AS (
-  SELECT *, coalesce(sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS low,
-         lead(source_size, 1) OVER (ORDER BY source NULLS LAST) IS NULL AS is_last FROM aimed),
-edges AS (SELECT *, CASE WHEN is_last THEN 1e300 ELSE low + target END AS high FROM listed),
+  SELECT *, round(coalesce(sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) AS low FROM aimed),
+edges AS (SELECT *, coalesce(lead(low) OVER (ORDER BY source NULLS LAST), 1e300) AS high FROM listed),
 slots AS (
   SELECT i AS slot, CAST(list_sum(list_transform(range(0, {BITS}), lambda x: ((i >> x) & 1) * (1::BIGINT << ({BITS - 1} - x)))) AS DOUBLE)
-                    / {float(2**BITS)} * (SELECT sum(target) FROM aimed) AS point
-  FROM (SELECT unnest(range(0, (SELECT -((-words) // b) FROM total))) AS i)),
+                    / {float(2**BITS)} * (SELECT words FROM total) AS point
+  FROM (SELECT unnest(range(0, (SELECT (words + b - 1) // b FROM total))) AS i)),
 ranked AS (
   SELECT e.source, e.source_size, row_number() OVER (PARTITION BY e.source ORDER BY slot) - 1 AS r
   FROM slots s JOIN edges e ON s.point >= e.low AND s.point < e.high),
