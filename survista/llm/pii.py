@@ -3,7 +3,8 @@ r"""Surrogates for personal data (DataFrame functions only).
 One pattern finds addresses of mail, network addresses, telephone, card, social-security and bank
 numbers, and names after a form of address. Each entity has a key: its kind and canonical form (case,
 spacing and country prefix aside), so that all its mentions agree. A keyed digest of that key makes the surrogate:
-digits for digits and letters for letters of the same script and case; octets in range; card
+digits for digits and letters for letters of the same script and case (ASCII ones for scripts without an
+alphabet here); an address of mail that stays taken grows longer; octets in range; card
 numbers with the checksum class of the original; given names with the gender that the form of address
 tells. Surrogates are drawn for the distinct entities of the whole corpus; one that equals another's surrogate,
 or any original, is drawn again, until all are distinct. Mentions are then set in place, their own
@@ -23,7 +24,7 @@ from survista.llm.common import materialize
 
 KEY = "survista"
 
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]+)++"
+EMAIL = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]+)++"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d)(?!\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -37,6 +38,16 @@ NEUTRAL = ["Dr", "Prof"]
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}"
 ENTITY = "|".join([EMAIL, NAME, IBAN, IP, SSN, PHONE, CARD])
 
+#: Letters that stand for those of a script beyond the plain ranges of _letters.
+SCRIPTS = {
+    "Han": "安白北成春大德东方风高光国海和华江金景静乐林龙美明南宁平青清秋日山石水思松天文西夏祥新星雪雅阳英永玉月云正志中竹子", "Hiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ",
+    "Katakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ", "Hangul": "가강고구국권기김나남노단대도동라마명문미민박배보북사산서선성소송수신안양영오우원유윤은이인임장재정조주준지진창천철청최태하한해현호홍화황",
+    "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "Hebrew": "אבגדהוזחטיכלמנסעפצקרשת", "Thai": "กขคงจฉชซญดตถทธนบปผพฟภมยรลวสหอ", "Devanagari": "अआइईउऊएओकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह",
+    "Latin": "āăąćĉċčďđēĕėęěĝğġģĥīĭįĵķĺļľłńņňōŏőŕřśŝşšţťũūŭůűųŵŷźżž", "Cyrillic": "ёђѓєѕіїјљњћќўџґ", "Greek": "άέήίόύώϊϋ",
+}
+#: Draws of an address of mail before its local part grows by a character, and by one more after as many again.
+PATIENCE = 4
+
 SYLLABLES = {
     "latin": (["Al", "Be", "Cor", "Da", "El", "Fa", "Ge", "Ha", "Is", "Jo", "Ka", "Lu", "Ma", "No", "Ro", "Ti"], ["ba", "de", "fi", "go", "ka", "le", "mi", "no", "ra", "se", "ti", "va", "ne", "lo", "da", "ri"], {"m": "n", "f": "na", "n": "s", "s": "ter"}),
     "cyrillic": (["Ал", "Бо", "Ва", "Да", "Ле", "Ма", "Ни", "Ро"], ["ба", "ви", "де", "ка", "ле", "ми", "но", "ра"], {"m": "н", "f": "на", "n": "с", "s": "ов"}),
@@ -75,12 +86,14 @@ def _digits(seed: str, n: str) -> str:
 
 
 def _letters(text: str, seed: str) -> str:
-    """Each letter and digit replaced by one of its alphabet and case."""
+    """Each letter, mark and digit replaced by one of its alphabet and case; by an ASCII one where none is known."""
     pick = lambda alphabet: f"substr('{alphabet}', cast(1 + {_number(f'''concat({seed}, '/', i)''', str(len(alphabet)))} AS int), 1)"
     lower, greek, cyrillic = "abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзиклмнопрстуфхцчшэюя"
     accented = "àáâäçèéêëíîïñóôöùúûü"
     alphabets = [("0", "9", "0123456789"), ("a", "z", lower), ("A", "Z", lower.upper()), ("α", "ω", greek), ("Α", "Ω", greek.upper()), ("а", "я", cyrillic), ("А", "Я", cyrillic.upper()), ("à", "ÿ", accented), ("À", "Ý", accented.upper())]
     cases = " ".join(f"WHEN c BETWEEN '{a}' AND '{b}' THEN {pick(alphabet)}" for a, b, alphabet in alphabets)
+    cases += f" WHEN c RLIKE '\\\\p{{N}}' THEN {pick('0123456789')} " + " ".join(f"WHEN c RLIKE '\\\\p{{Is{script}}}' THEN {pick(alphabet)}" for script, alphabet in SCRIPTS.items())
+    cases += f" WHEN c RLIKE '[\\\\p{{L}}\\\\p{{M}}]' THEN {pick(lower)}"
     return f"array_join(transform(filter(split({text}, ''), c -> c <> ''), (c, i) -> CASE {cases} ELSE c END), '')"
 
 
@@ -102,7 +115,8 @@ def surrogate(key: str) -> Column:
     domain = "substring_index(canon, '@', -1)"
     kept = f"IF(size(split({domain}, '\\\\.')) > 2, 2, 1)"
     host = f"substr({domain}, 1, length({domain}) - length(substring_index({domain}, '.', -{kept})) - 1)"
-    email = f"concat({_letters('''substring_index(canon, '@', 1)''', 'seed')}, '@', {_letters(host, f'''concat({quoted(key)}, '|domain|', {domain})''')}, '.', substring_index({domain}, '.', -{kept}))"
+    longer = f"substr(sha2(concat(seed, '/more'), 256), 1, cast(attempt div {PATIENCE} AS int))"
+    email = f"concat({_letters('''substring_index(canon, '@', 1)''', 'seed')}, {longer}, '@', {_letters(host, f'''concat({quoted(key)}, '|domain|', {domain})''')}, '.', substring_index({domain}, '.', -{kept}))"
     ip = f"concat_ws('.', 1 + {_number('''concat(seed, '/a')''', '223')}, {_number('''concat(seed, '/b')''', '256')}, {_number('''concat(seed, '/c')''', '256')}, 1 + {_number('''concat(seed, '/d')''', '254')})"
     body = f"concat(substr(canon, 1, 1), {_digits('seed', 'length(canon) - 2')})"
     card = f"transform(array({body}), b -> concat(b, pmod({_luhn('canon')} - {_luhn('''concat(b, '0')''')}, 10)))[0]"

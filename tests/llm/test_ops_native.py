@@ -142,6 +142,26 @@ def test_collisions_are_drawn_again(spark):
     assert not {r["surrogate"] for r in got} & {r["canon"] for r in got}
 
 
+def test_addresses_of_any_script(spark):
+    """No letter of any script stays in a local part, and each attempt draws anew."""
+    local = ["李明", "محمد", "דוד", "김민준", "สมศักดิ์", "łőßżć", "ёјћ", "άέ", "𠮷田", "אב٣٤", "գևոր", "राहुल"]
+    df = spark.createDataFrame([(k, f"to {x}@example.com now") for k, x in enumerate(local)], "doc_id bigint, text string")
+    for r in pii.replace_entities(df).collect():
+        new = re.fullmatch(r"to ([^@]+)@[a-z]+\.com now", r["text"])
+        assert new and r["n_entities"] == 1 and sum(a == b for a, b in zip(new[1], local[r["doc_id"]], strict=True)) < len(local[r["doc_id"]])
+    host = [("email", f"{x}@例子.公司") for x in ["用户", "_"]]
+    drawn = spark.createDataFrame(host, "kind string, canon string").crossJoin(spark.range(9).select(F.col("id").cast("int").alias("attempt")))
+    got = drawn.withColumn("to", pii.surrogate(pii.KEY)).collect()
+    assert all(r["to"] != r["canon"] for r in got if r["attempt"] >= pii.PATIENCE) and len({r["to"] for r in got if r["canon"] == host[0][1]}) == 9
+
+
+def test_more_addresses_than_letters(spark):
+    """One-letter addresses of a host, more than its script has letters here."""
+    keys = spark.createDataFrame([("email", f"{chr(0x4E00 + k)}@例子.公司") for k in range(150)], "kind string, canon string")
+    got = pii.assign(keys).collect()
+    assert len({r["surrogate"] for r in got}) == 150 and not {r["surrogate"] for r in got} & {r["canon"] for r in got}
+
+
 def test_pii_of_nothing(no_docs):
     assert pii.replace_entities(no_docs).count() == 0
 
