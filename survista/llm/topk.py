@@ -49,7 +49,7 @@ def _search(postings, rows, ids, q, own, k, high, low):
     head = min(n, 4 * STEP * k)
     first = q @ postings[:, :head]
     first[rows[:head] == own] = -np.inf
-    beat = -np.inf if head <= k else np.partition(first, -k - 1)[-k]
+    beat = -np.inf if head <= k else np.partition(first, -k)[-k]
     if beat > -np.inf:
         # non-essential: the narrowest terms that together stay under what must be gained over all lower bounds
         need = beat - least.sum()

@@ -36,6 +36,25 @@ def test_top_k_by_brute_force(spark):
             assert have[n] == [(j, -s) for s, j in all_scores[:4]]
 
 
+def test_top_k_needs_no_more_of_partition_than_numpy_promises(monkeypatch):
+    """Only the place asked for is in order."""
+
+    def loose(a, kth):
+        s = np.sort(a)
+        kth %= len(s)
+        return np.concatenate([s[:kth][::-1], s[kth : kth + 1], s[kth + 1 :][::-1]])
+
+    monkeypatch.setattr(topk.np, "partition", loose)
+    rng = np.random.default_rng(5)
+    ids = np.arange(300)
+    for _ in range(20):
+        x, q = rng.integers(-200, 200, (16, 300)).astype(float), rng.integers(-200, 200, 16).astype(float)
+        got, score = topk.search(x, ids, ids, q, 7, 5)
+        every = q @ x
+        want = [i for i in np.lexsort((ids, -every)) if i != 7][:5]
+        assert got.tolist() == want and score.tolist() == every[want].tolist()
+
+
 def test_vectors_that_take_no_part(spark):
     from pyspark.sql import functions as F
 
