@@ -3,7 +3,7 @@ r"""Secret scans with recursive decoding.
 A text is the first layer of a worklist. Each layer is scanned for secrets, then searched for encoded
 runs: percent escapes, \u and &#...; escapes, base64, and base64 of gzip or zlib data. A decoded run is
 a new layer, whose characters carry the span of the text they came from; the list is worked off until
-no layer brings a new one. Layers already seen in the same text (a digest is kept) are not
+no layer brings a new one. A layer already seen for the same part of the text (a digest is kept) is not
 unwrapped again, which ends cycles; decoding only shrinks a run except for compressed data, whose
 layers are held to MOST_INFLATED characters each.
 
@@ -138,7 +138,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     digest = lambda s: hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
     # a layer: its text, and a map of its spans onto those of the text
     work = [(text, lambda s, e: (s, e))]
-    seen = {digest(text)} if "%" in text or "\\" in text or "&#" in text else set()
+    seen = {(digest(text), 0, len(text))} if "%" in text or "\\" in text or "&#" in text else set()
     while work:
         layer, out = work.pop()
         new = []
@@ -152,7 +152,8 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
             for got in _blob(run):
                 new.append((got, lambda s, e, a=m.start(), b=m.end(), f=out: f(a, b)))
         for got, back in new:
-            if (d := digest(got)) in seen:
+            # the same layer for the same part of the text: a cycle, or another way to it
+            if (d := (digest(got), *back(0, len(got)))) in seen:
                 continue
             seen.add(d)
             for s, e, kind in scan(got):

@@ -142,6 +142,16 @@ def test_layers_are_unwrapped(layer):
     assert kind == 0 and a >= 9 and b <= len(text) - 6 and text[a:b] in layer
 
 
+def test_a_layer_counts_wherever_it_stands():
+    one = base64.b64encode(SECRET.encode()).decode()
+    for layer in (one, base64.b64encode(one.encode()).decode(), base64.b64encode(gzip.compress(SECRET.encode())).decode()):
+        text = f"{layer} here, {layer} and\n {layer} there"
+        got = secrets.spans(text)[1]
+        assert len(got) == 3 and [k for *_, k in got] == [0] * 3
+        places = [m.start() for m in re.finditer(re.escape(layer), text)]
+        assert all(p <= a < b <= p + len(layer) for p, (a, b, _) in zip(places, got, strict=True))
+
+
 def test_cycles_and_bombs_end():
     bomb = base64.b64encode(gzip.compress(b"a" * 1000)).decode()
     for text in ("%25" * 50, "%2525252525", bomb * 3, "\\u005c\\u0075" * 9, "", "=" * 99, base64.b64encode(b"\x78\x9c broken").decode()):
