@@ -4,8 +4,10 @@ A text is the first layer of a worklist. Each layer is scanned for secrets, then
 runs: percent escapes, \u and &#...; escapes, base64, and base64 of gzip or zlib data. A decoded run is
 a new layer, whose characters carry the span of the text they came from; the list is worked off until
 no layer brings a new one. A layer already seen for the same part of the text (a digest is kept) is not
-unwrapped again, which ends cycles; decoding only shrinks a run except for compressed data, whose
-layers are held to MOST_INFLATED characters each.
+unwrapped again, which ends cycles; decoding only shrinks a run except for compressed data, which is
+scanned in windows of MOST_INFLATED bytes. A base64 run is decoded at each of its four alignments, over
+line breaks, and each printable stretch of what it holds is a layer, so neighbours from its
+alphabet or binary bytes hide nothing.
 
 Defined results: null text is empty and has no spans; the base spans are those of the undecoded
 text; spans found in decoded layers are added where the text has no span of that kind there;
@@ -15,11 +17,10 @@ repeated rows are scanned alike; an empty table gives an empty table; other colu
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,12 +31,21 @@ ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww](?:[Oo][Rr])?[Dd]|[Ss][Ee][Cc][Rr][
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-#: Compressed data that would inflate beyond this is no layer: a guard against bombs.
+#: Compressed data that would inflate beyond this is scanned in windows, each with the end of the one before.
 MOST_INFLATED = 64 << 20
+OVERLAP = 1 << 20
+#: Bytes of the shortest text with a secret, plain (12) or encoded.
+LEAST = 12
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run may go on over line breaks, written out or escaped.
+BREAK = re.compile(r"[\x20\t]*(?:\r?\n|\\r\\n|\\n)[\x20\t]*")
+BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{BREAK.pattern}[A-Za-z0-9+/_-]+)*")
+URL_SAFE = str.maketrans("-_", "+/")
+STRETCH = re.compile(rb"(?:[\t\r\n\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
+#: Headers of gzip and zlib data.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -101,34 +111,78 @@ def _through(pieces: list[tuple[int, int, int, int]], start: int, end: int) -> t
     return (lo, hi) if lo is not None else (0, 0)
 
 
-def _blob(run: str) -> list[str]:
-    """Texts that a base64 run holds, plain or compressed."""
-    core = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(core) % 4 == 1:
-        return []
+def _inflated(raw: bytes, at: int) -> Iterator[bytes]:
+    """What the compressed data at raw[at:] holds, whole up to MOST_INFLATED bytes, else in windows of as many that
+    share OVERLAP bytes; broken data as far as it goes."""
+    unpack, todo, tail, size = zlib.decompressobj(47), raw[at:], b"", 0
+    parts: list[bytes] = []
     try:
-        raw = base64.b64decode(core + "=" * (-len(core) % 4))
-    except binascii.Error:
-        return []
-    out = []
-    for _ in range(8):  # data compressed again and again
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            try:
-                unpack = zlib.decompressobj(47)
-                raw = unpack.decompress(raw, MOST_INFLATED)
-                if unpack.unconsumed_tail:
-                    return out
-            except zlib.error:
-                break
-        else:
-            break
-    try:
-        got = raw.decode()
-    except UnicodeDecodeError:
-        return out
-    if got and sum(c.isprintable() or c in "\t\r\n" for c in got) == len(got):
-        out.append(got)
-    return out
+        while todo and not unpack.eof:
+            parts.append(unpack.decompress(todo, 1 << 20))
+            todo = unpack.unconsumed_tail
+            size += len(parts[-1])
+            if size >= MOST_INFLATED:
+                tail = b"".join(parts)
+                yield tail
+                parts = [tail[-OVERLAP:]]
+                size = len(parts[0])
+    except zlib.error:
+        pass
+    if size > (len(tail) and OVERLAP):
+        yield b"".join(parts)
+
+
+def _texts(raw: bytes) -> Iterator[tuple[str, int, int, bool]]:
+    """(text, start, end, plain) of the printable stretches of raw, and of those of compressed data in it,
+    which stand for all of raw from their header on."""
+    work: list[tuple[Iterator[bytes], int]] = [(iter([raw]), -1)]
+    while work:
+        windows, at = work[-1]
+        got = next(windows, None)
+        if got is None:
+            work.pop()
+            continue
+        for m in STRETCH.finditer(got):
+            if m.end() - m.start() >= LEAST:
+                yield (m[0].decode("utf-8", "replace"), m.start(), m.end(), True) if at < 0 else (m[0].decode("utf-8", "replace"), at, len(raw), False)
+        work += [(_inflated(got, m.start()), m.start() if at < 0 else at) for m in PACKED.finditer(got)]
+
+
+def _blob(run: str) -> Iterator[tuple[str, Callable[[int, int], tuple[int, int]]]]:
+    """Texts that a base64 run holds, plain or compressed, at each of the four alignments, and maps of their spans onto the run."""
+    core = run.translate(URL_SAFE)
+    for shift in range(min(4, len(core))):
+        part = core[shift:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        chars = lambda s, e, o=shift, n=len(core): (o + s * 4 // 3, min(n, o - (-e * 4 // 3)))
+        for got, start, end, plain in _texts(raw):
+            if not plain:
+                yield got, lambda s, e, x=chars(start, end): x
+            elif got.isascii():
+                yield got, lambda s, e, a=start, f=chars: f(a + s, a + e)
+            else:
+                yield got, lambda s, e, a=start, g=got, f=chars: f(a + len(g[:s].encode()), a + len(g[:e].encode()))
+
+
+def _inner(layer: str) -> Iterator[tuple[str, Callable[[int, int], tuple[int, int]]]]:
+    """The layers encoded in a layer, and maps of their spans onto it."""
+    for pattern, sign in ((PERCENT, "%"), (ESCAPE, ("\\u", "\\x", "&#"))):
+        if any(s in layer for s in sign) and (got := _escaped(layer, pattern)):
+            yield got[0], lambda s, e, p=got[1]: _through(p, s, e)
+    for m in BASE64.finditer(layer):
+        run = m[0]
+        if run.isalpha() and (run.islower() or run.istitle()) or HEX.fullmatch(run):
+            continue  # a word, or a digest
+        if not BREAK.search(run):
+            for got, f in _blob(run):
+                yield got, lambda s, e, a=m.start(), f=f: tuple(a + x for x in f(s, e))
+        else:  # wrapped over lines
+            gaps = [(x.start(), x.end()) for x in BREAK.finditer(run)]
+            lines = list(zip([0, *(b for _, b in gaps)], [*(a for a, _ in gaps), len(run)], strict=True))
+            at = [m.start() + k for a, b in lines for k in range(a, b)]
+            for got, f in _blob("".join(run[a:b] for a, b in lines)):
+                yield got, lambda s, e, at=at, f=f: (lambda x: (at[x[0]], at[x[1] - 1] + 1))(f(s, e))
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -139,24 +193,18 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     # a layer: its text, and a map of its spans onto those of the text
     work = [(text, lambda s, e: (s, e))]
     seen = {(digest(text), 0, len(text))} if "%" in text or "\\" in text or "&#" in text else set()
+    hits: dict[bytes, list[tuple[int, int, int]]] = {}
     while work:
         layer, out = work.pop()
-        new = []
-        for pattern, sign in ((PERCENT, "%"), (ESCAPE, ("\\u", "\\x", "&#"))):
-            if any(s in layer for s in sign) and (got := _escaped(layer, pattern)):
-                new.append((got[0], lambda s, e, p=got[1], f=out: f(*_through(p, s, e))))
-        for m in BASE64.finditer(layer):
-            run = m[0]
-            if run.isalpha() and (run.islower() or run.istitle()) or HEX.fullmatch(run):
-                continue  # a word, or a digest
-            for got in _blob(run):
-                new.append((got, lambda s, e, a=m.start(), b=m.end(), f=out: f(a, b)))
-        for got, back in new:
+        for got, f in _inner(layer):
+            back = lambda s, e, f=f, out=out: out(*f(s, e))
             # the same layer for the same part of the text: a cycle, or another way to it
             if (d := (digest(got), *back(0, len(got)))) in seen:
                 continue
             seen.add(d)
-            for s, e, kind in scan(got):
+            if d[0] not in hits:
+                hits[d[0]] = scan(got)
+            for s, e, kind in hits[d[0]]:
                 a, b = back(s, e)
                 if not any(k == kind and x < b and a < y for x, y, k in found):
                     found.add((a, b, kind))

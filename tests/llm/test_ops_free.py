@@ -152,6 +152,27 @@ def test_a_layer_counts_wherever_it_stands():
         assert all(p <= a < b <= p + len(layer) for p, (a, b, _) in zip(places, got, strict=True))
 
 
+@pytest.mark.parametrize("raw", [b"password=hunter2222", b"\x80password=hunter2222\xff", gzip.compress(b"password=hunter2222"), zlib.compress(b"password=hunter2222 \xff\x00")])
+def test_neighbours_hide_no_base64(raw):
+    one = base64.b64encode(raw).decode()
+    wrap = one.rstrip("=")
+    for text in (f"https://x.example.com/{one}", f"key_{one} x", f"/cb/{one}", f"abc{one}", f"a-{one}", f"https%3A%2F%2Fx.com%2F{one}", f"{wrap[:16]}\n{wrap[16:]}", f"{wrap[:20]}\r\n  {wrap[20:]}", f"{wrap[:17]}\\n{wrap[17:]}"):
+        (a, b, kind), = secrets.spans(text)[1]
+        assert kind == 0 and b - a >= 20 and text[a:b].replace("\\n", "").replace("\r\n  ", "").replace("\n", "") in one, text
+
+
+def test_two_secrets_of_a_run():
+    text = base64.b64encode(b"password=hunter2222 and then token=abcdef123456").decode()
+    (a, b, _), (c, d, _) = secrets.spans(text)[1]
+    assert a == 0 and b <= c < d <= len(text)
+
+
+def test_large_compressed_layers(monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_INFLATED", 3 << 20)
+    data = b"a b\n" * (1 << 20) + SECRET.encode() + b" c d" * (1 << 18)
+    assert len(secrets.spans("see " + base64.b64encode(gzip.compress(data)).decode())[1]) == 1
+
+
 def test_cycles_and_bombs_end():
     bomb = base64.b64encode(gzip.compress(b"a" * 1000)).decode()
     for text in ("%25" * 50, "%2525252525", bomb * 3, "\\u005c\\u0075" * 9, "", "=" * 99, base64.b64encode(b"\x78\x9c broken").decode()):
