@@ -1,17 +1,15 @@
-"""HTML extraction: page structure, and a suffix array per host for what structure leaves open.
+"""HTML extraction: page structure, and windows repeated within a host for what structure leaves open.
 
 Elements that never hold main text (menus, page headers, footers, sidebars, adverts, notices, forms,
 comments, scripts, styles) are left out by name, role, class or id. Text in an <article> or <main> is main
-text. Where a page has neither, its remaining blocks are open: the token streams of a host's pages are
-laid end to end, and their suffixes, sorted by their first RUN tokens, show the runs of RUN or more
-tokens that stand on two distinct pages at least. Tokens under such runs are boilerplate and go; the unique
-runs stay. The suffixes are dealt by host and leading tokens, so that no host is one task's, and equal
-leading tokens are combined before they are sent.
+text. Where a page has neither, its remaining blocks are open: digests of all windows of RUN tokens of a
+host's open pages are counted by distinct page contents, and a block goes as a whole where windows that
+stand on two contents at least, and SHARE percent of the host's, cover all its tokens. This takes the place of a suffix
+array per host, which is not built. Windows are dealt by host and digest, so that no host is one task's.
 
 Defined results: null or empty html gives an empty text; text without any tag is one open block;
 unclosed elements end with their parent or the page; a null url is a host of its own; repeated rows are
-pages of their own (a page repeated whole, without an article, counts as distinct pages: its text is
-kept only where no run repeats); an empty table gives an empty table; other columns are ignored.
+pages of their own, but count once as evidence; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +27,8 @@ from survista.llm.common import materialize
 
 #: Tokens of a repeated run at least.
 RUN = 8
+#: Percent of a host's distinct pages without main text, two at least, that boilerplate stands on.
+SHARE = 10
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -110,34 +111,49 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
+def extract(pages: DataFrame, run: int = RUN, share: int = SHARE) -> DataFrame:
     """page_id, url, text of every row of pages."""
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, rest = [], []
+            text, rest, ends = [], [], []
             for page in b.column(2):
                 main, others = blocks(page.as_py() or "")
+                words = [x.split(" ") for x in others]
                 text.append(" ".join(main) if main else None)
-                rest.append(None if main else [w for x in others for w in x.split(" ")])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(rest, pa.list_(pa.string()))], ["page_id", "url", "text", "open"])
+                rest.append(None if main else [w for x in words for w in x])
+                ends.append(None if main else list(accumulate(map(len, words))))
+            columns = [b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(rest, pa.list_(pa.string())), pa.array(ends, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "open", "ends"])
 
-    parsed = pages.select("page_id", "url", "html").mapInArrow(parse, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, open array<string>")
+    parsed = pages.select("page_id", "url", "html").mapInArrow(parse, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, open array<string>, ends array<int>")
     parsed = materialize(parsed.withColumn("page_no", F.monotonically_increasing_id()), "html-blocks")
-    streams = parsed.where("open IS NOT NULL").select("page_no", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"), "open")
-    suffix = streams.where(F.size("open") >= run).select(
-        "page_no", "host", F.explode(F.expr(f"transform(sequence(0, size(open) - {run}), i -> struct(i AS at, sha2(array_join(slice(open, i + 1, {run}), ' '), 256) AS lead))")).alias("s")
-    ).select("page_no", "host", "s.at", "s.lead")
-    # an interval of the suffix array: suffixes of a host with equal leading tokens, on two pages at least
-    repeated = suffix.groupBy("host", "lead").agg(F.min("page_no").alias("a"), F.max("page_no").alias("b")).where("a < b").select("host", "lead")
+    content = F.sha2(F.array_join("open", " "), 256).alias("content")
+    streams = parsed.where("open IS NOT NULL").select("page_no", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"), content, "open")
+    streams = streams.where(F.size("open") >= run)
+    suffix = streams.select(
+        "page_no", "host", "content", F.explode(F.expr(f"transform(sequence(0, size(open) - {run}), i -> struct(i AS at, sha2(array_join(slice(open, i + 1, {run}), ' '), 256) AS lead))")).alias("s")
+    ).select("page_no", "host", "content", "s.at", "s.lead")
+    # windows of a host that stand on enough distinct pages; pages of equal streams are one
+    hosts = streams.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("contents"))
+    counts = suffix.select("host", "lead", "content").distinct().groupBy("host", "lead").agg(F.count(F.lit(1)).alias("on"))
+    repeated = counts.where("on > 1").join(hosts, "host").where(F.col("on") * 100 >= F.col("contents") * share).select("host", "lead")
     covered = suffix.join(repeated, ["host", "lead"], "left_semi").groupBy("page_no").agg(F.sort_array(F.collect_list("at")).alias("starts"))
-    # tokens under no repeated run, in order; pages with main text are not shuffled
+    # blocks with a token under no such window, in order; pages with main text are not shuffled
     left = parsed.where("open IS NOT NULL").join(covered, "page_no", "left")
-    marks = F.expr(f"coalesce(array_distinct(flatten(transform(starts, s -> sequence(s, s + {run - 1})))), array())")
-    kept = "array_except(IF(size(open) > 0, sequence(0, size(open) - 1), array()), marks)"
-    unique = F.expr(f"array_join(transform({kept}, i -> get(open, i)), ' ')")
-    left = left.withColumn("marks", marks).select("page_id", "url", unique.alias("text"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = []
+            for tokens, ends, starts in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                marked = bytearray(len(tokens))
+                for at in starts or ():
+                    marked[at : at + run] = b"\1" * run
+                text.append(" ".join(w for x, y in zip([0, *ends], ends, strict=False) if 0 in marked[x:y] for w in tokens[x:y]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], ["page_id", "url", "text"])
+
+    left = left.select("page_id", "url", "open", "ends", "starts").mapInArrow(choose, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
     return parsed.where("open IS NULL").select("page_id", "url", "text").unionByName(left)
 
 

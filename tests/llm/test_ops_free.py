@@ -352,3 +352,16 @@ def test_hosts_boilerplate(spark):
     got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
     assert got == {1: "own text one", 2: "other two", 3: "Home News Sport Weather Video Travel Culture Sounds third", 4: "", 5: "kept kept"}
     assert html.extract(df.where("false")).count() == 0
+
+
+def test_copies_and_quotations_stay(spark):
+    """A page and its copy are one page of the host; a phrase that pages share is not cut out of a block."""
+    quote = "to be or not to be that is the question"
+    menu = "Home News Sport Weather Video Travel Culture Sounds"
+    rows = [(1, "http://a.x/1", "<p>a page of eight words or more that stands twice</p>"), (2, "http://a.x/2", "<p>a page of eight words or more that stands twice</p>")]
+    rows += [(3, "http://b.x/1", f"<p>{menu}</p><p>One says {quote} today.</p>"), (4, "http://b.x/2", f"<p>{menu}</p><p>Another wrote {quote} once.</p>")]
+    rows += [(10 + k, f"http://c.x/{k}", f"<p>{menu}</p><p>page {k}</p>" + ("<p>a long paragraph that only two pages of this host share</p>" if k < 2 else "")) for k in range(30)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1] == got[2] == "a page of eight words or more that stands twice"
+    assert got[3] == f"One says {quote} today." and got[4] == f"Another wrote {quote} once."
+    assert got[10] == "page 0 a long paragraph that only two pages of this host share" and got[15] == "page 5"
