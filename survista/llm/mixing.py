@@ -4,7 +4,8 @@ Targets are water-filled: weight shares of all words, held at `epochs` times a s
 the excess shared again by weight. The words of each source, its documents in a keyed shuffle, are
 laid end to end and cut into blocks of equal tokens. Slot i of the mix goes to the source in whose
 stretch of the cumulative targets the van der Corput point of i falls; the r-th slot of a source
-takes its block r modulo its blocks, so the passes over a source differ by one block at most.
+takes its block r modulo its blocks, so the passes over a source differ by one block at most. A source of
+fewer than PARTS blocks is cut finer, and takes evenly spaced slots; the SQL does not cut it so.
 
 Defined results: null text has size 0 and takes 0; null sources form one source, placed last; a
 repeated row is a document of its own; an empty table gives an empty table; equal shuffle keys are
@@ -23,6 +24,8 @@ EPOCHS = 3
 #: Words of a block at most; small corpora are cut finer, into 2**FINE blocks in all.
 BLOCK = 8192
 FINE = 16
+#: Blocks of a source at least, so that a small one is not all last block.
+PARTS = 64
 BITS = 52
 
 
@@ -55,8 +58,14 @@ def van_der_corput(i):
     return F.conv(F.reverse(F.lpad(F.bin(i), BITS, "0")), 2, 10).cast("double") / float(2**BITS)
 
 
+def words_of_block(size: int, block: int) -> int:
+    """Words of a block of a source of `size` words."""
+    return max(1, min(block, size // PARTS))
+
+
 def schedule(spark, rows: list, slots: int, block: int, epochs: int = EPOCHS) -> DataFrame:
-    """slot, source_no, block of each slot of the mix. rows: the sources in order, one row each."""
+    """slot, source_no, rank, block of each slot of the mix. rows: the sources in order, one row each. Sources of
+    smaller blocks take theirs evenly spaced, as many as come nearest to their target."""
     whole = sum(r["source_size"] for r in rows)  # as the targets sum to
     lows = F.array(*[F.lit(float(r["low"])) for r in rows])
     sizes = F.array(*[F.lit(int(-(-r["source_size"] // block))) for r in rows])
@@ -66,7 +75,19 @@ def schedule(spark, rows: list, slots: int, block: int, epochs: int = EPOCHS) ->
     s = s.withColumn("stretch", F.expr("slot div 65536")).withColumn("one", F.lit(1))
     s = prefix_sum(s, ["source_no"], "stretch", ["slot"], "one", "rank").withColumn("blocks", F.element_at(sizes, F.col("source_no")).cast("long"))
     s = s.where(F.col("rank") < F.col("blocks") * epochs)
-    return s.select("slot", "source_no", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
+    s = s.select("slot", "source_no", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
+    small = []
+    for no, r in enumerate(rows, 1):
+        size, words = int(r["source_size"]), words_of_block(r["source_size"], block)
+        if size and words < block:
+            blocks, passes = -(-size // words), int(r["target"] // size)
+            n = min(epochs * blocks, passes * blocks + round((r["target"] - passes * size) / words))
+            small.append((no, n, blocks))
+    if not small:
+        return s
+    t = spark.createDataFrame(small, "source_no int, n bigint, blocks bigint").where("n > 0").withColumn("rank", F.explode(F.expr("sequence(0, n - 1)")))
+    t = t.select(F.expr(f"(2 * rank + 1) * {slots} div (2 * n)").alias("slot"), "source_no", "rank", F.expr("rank % blocks").alias("block"))
+    return s.where(~F.col("source_no").isin([no for no, *_ in small])).unionByName(t)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:
@@ -83,8 +104,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = "mix
     block = max(1, min(BLOCK, total >> FINE))
     plan = schedule(spark, rows, -(-total // block), block, epochs)
     times = plan.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
-    names = {"type": "struct<source:string,source_no:int,source_size:bigint,target:double>"}
-    table = spark.createDataFrame([(r["source"], i + 1, int(r["source_size"]), float(r["target"])) for i, r in enumerate(rows)], names["type"])
+    names = {"type": "struct<source:string,source_no:int,source_size:bigint,target:double,words:bigint>"}
+    table = spark.createDataFrame([(r["source"], i + 1, int(r["source_size"]), float(r["target"]), words_of_block(int(r["source_size"]), block)) for i, r in enumerate(rows)], names["type"])
     digits = 1
     while n > 4096 * 16**digits:
         digits += 1
@@ -92,8 +113,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = "mix
     placed = placed.join(table.withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name"))).drop("_name", "bucket")
     placed = placed.withColumn("row_no", F.monotonically_increasing_id())
     placed = materialize(placed, "mix-places")
-    cut = placed.where("size > 0").select("row_no", "source_no", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
-    span = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    cut = placed.where("size > 0").select("row_no", "source_no", "start", "size", "words", F.explode(F.sequence(F.expr("start div words"), F.expr("(start + size - 1) div words"))).alias("block"))
+    span = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("words")) - F.greatest(F.col("start"), F.col("block") * F.col("words"))
     taken = cut.withColumn("span", span).join(times, ["source_no", "block"]).groupBy("row_no").agg(F.sum(F.col("span") * F.col("times")).alias("taken"))
     out = placed.join(taken, "row_no", "left")
     return out.select("doc_id", "row_key", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

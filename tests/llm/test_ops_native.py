@@ -86,6 +86,20 @@ def test_mix_reaches_targets(docs):
     assert sorted(map(key, rows)) == sorted(map(key, again))
 
 
+def test_small_sources_keep_their_share(spark, no_docs, monkeypatch):
+    """Blocks of 8192 words, as on a large table."""
+    monkeypatch.setattr(mixing, "FINE", 0)
+    sizes = {"a": 300_000, "b": 800, "c": 2000, "d": 10_000, "e": 1, "f": 400_000}
+    rows = [(k, "w " * n, None, s, None) for k, (s, size) in enumerate(sizes.items()) for n in [size // 5] * 5 + [size % 5]]
+    taken = Counter()
+    for r in mixing.mix(spark.createDataFrame(rows, no_docs.schema)).collect():
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    want = brute_targets(sizes)
+    for s in "bcde":
+        assert taken[s] == pytest.approx(want[s], rel=0.02), s
+
+
 def test_mix_edges(spark, no_docs):
     assert mixing.mix(no_docs).count() == 0
     empty = spark.createDataFrame([(1, None, None, None, None), (2, "", None, "a", None)], no_docs.schema)
