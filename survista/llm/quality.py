@@ -6,8 +6,9 @@ vote patterns (3 ** rules rows at most, however many documents) estimates it, an
 posterior probability of being good decides, in place of all rules having to pass.
 
 Defined results: null or wordless texts have zero counts, and only `any_word` votes (against);
-ties of the posterior at the threshold are kept; repeated rows are judged alike; an empty table gives
-an empty table; other columns are carried along untouched under their own names where asked for.
+ties of the posterior at the threshold are kept; repeated rows are judged alike; a very long text is
+read whole, its counts grow with it; an empty table gives an empty table; other columns are carried along
+untouched where asked for, under their own names even where these are those of a count or of `posterior`.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ RULES = {
     "dup_lines": ("n_dup_lines * 100 > 30 * n_lines", "n_lines >= 2 AND n_dup_lines = 0"),
     "repeats": ("n_repeat_words * 100 > 20 * n_words", "n_words >= 20 AND n_repeat_words * 100 <= 5 * n_words"),
     "capitals": ("n_capitals * 100 > 20 * n_words", "n_words >= 20 AND n_capitals * 100 <= n_words"),
-    "variety": ("n_words BETWEEN 20 AND 2000 AND n_distinct * 100 < 30 * n_words", "n_words BETWEEN 20 AND 2000 AND n_distinct * 100 >= 45 * n_words"),
+    # distinct words grow with about the root of a text's length
+    "variety": ("n_words >= 20 AND n_distinct * n_distinct < 2 * n_words", "n_words >= 20 AND n_distinct * n_distinct >= 8 * n_words"),
 }
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_distinct"]
 
@@ -139,9 +141,9 @@ def judge(docs: DataFrame, rounds: int = ROUNDS, keep: list[str] | None = None)
 def good_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a posterior of at least `threshold`, all columns as they were."""
     mine = [f"_c{i}" for i in range(len(docs.columns))]
-    return judge(docs, keep=docs.columns).where(F.col("posterior") >= threshold).toDF(*mine, *COUNTS, *[f"v_{n}" for n in RULES], "posterior").select(
-        *[F.col(m).alias(c) for m, c in zip(mine, docs.columns, strict=True)]
-    )
+    # names first: a column of docs may be called as one of the judgement
+    judged = judge(docs, keep=docs.columns).toDF(*mine, *[f"_n_{c}" for c in COUNTS], *[f"_v_{n}" for n in RULES], "_posterior")
+    return judged.where(F.col("_posterior") >= threshold).select(*[F.col(m).alias(c) for m, c in zip(mine, docs.columns, strict=True)])
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
