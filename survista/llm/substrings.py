@@ -277,4 +277,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op8_repeated_substrings(spark, sf_dir: str) -> DataFrame:
     cut = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
