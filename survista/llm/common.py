@@ -6,7 +6,10 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,27 +21,49 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; only where it is unset (tests,
-    one machine) a temporary folder takes its place."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Only a local master (tests, one machine), where it is
+    unset, gets a temporary folder in its place."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="survista-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+#: Bytes of a batch that goes to a Python worker while a scratch table is made.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df once as a table in the shared scratch folder and read it back: lineage ends there,
-    and a lost executor costs a re-read rather than a recomputation."""
+    and a lost executor costs a re-read rather than a recomputation. Python workers get small batches."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/survista/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
     _scratch.append((spark, path))
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the scratch tables that df reads alone and that nothing needs any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for k, (spark, known) in enumerate(_scratch):
+            if known.split("://", 1)[-1].lstrip("/") == path.split(":", 1)[-1].lstrip("/"):
+                _delete(spark, known)
+                del _scratch[k]
+                break
+
+
 def release(spark: SparkSession) -> None:
     """Let the cleaner drop shuffle files that nothing refers to any more: a long query keeps no more on
     disk than the step it is in needs."""
@@ -46,15 +71,34 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of batch, of `most` bytes together by `sizes`; a larger row alone."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def bytes_of(column: pa.Array) -> np.ndarray:
+    """Bytes of each string or binary of a column, null as none."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def drop_scratch() -> None:
     """Delete the scratch tables of this process; results not yet consumed become unreadable."""
     while _scratch:
         spark, path = _scratch.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM may have gone first
             return
 

@@ -8,15 +8,16 @@ more shared tokens before a pair is verified. A pair is verified if its prefixes
 the smaller l of the two asks for, or as the two sizes imply if that is more.
 
 Pairs are never listed. Each token names a hub, the most central class of its postings, and a class joins
-the group of every hub that its prefix tokens name: classes that share a prefix token share a hub. A
-group is cut into blocks, and two blocks at a time meet in a task of bounded size, where shared prefix
-tokens, and then whole intersections, are counted by products of token matrices. Of the links found there a
-spanning forest is sent on, which is all that components need.
+the group of every hub that its prefix tokens name: classes that share a prefix token share a hub. Every
+class of a group meets its hub first; those similar to it are one component already, and need not meet
+each other. Only classes that are not similar to their hub meet the rest of the group, in blocks bounded by
+classes and by tokens, where shared prefix tokens, and then whole intersections, are counted by products of
+token matrices. Of the links found there a spanning forest is sent on, which is all that components need.
 
 Defined results: null or wordless text has an empty set and is linked with nothing (its component is its
 own doc_id); fewer words than a shingle has make one shingle of all; repeated rows are one class; ties do
-not matter, as similarity is compared in integers; a component without any doc_id has a null one;
-an empty table gives an empty table; other columns are ignored.
+not matter, as similarity is compared in integers; a component without any doc_id has a null one; a very
+long text is read whole, in pieces; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,20 +31,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from survista.llm.common import materialize
+from survista.llm import rolling
+from survista.llm.common import bytes_of, materialize, slices
 from survista.llm.rolling import Ranges, mix, parts
 
 #: Frequent tokens that the order knows of at most: a bound on what is broadcast (16 bytes each). The order
 #: decides on cost alone, never on results.
 KNOWN = 1 << 20
-#: Times a token stands in the documents of one batch for it to be counted as frequent.
+#: Times a token stands in the documents of one stretch for it to be counted as frequent.
 OFTEN = 2
 LONGEST = 8
 #: Cost of verifying a pair, in postings.
 VERIFY = 64
-#: Classes of a block; a task holds two blocks.
+#: Classes and tokens of a block, on the average; a task holds two blocks.
 BLOCK = 512
-#: Places marked at most, 4 bytes each on their way.
+TOKENS = 1 << 19
+#: Tokens of the sets held at once while texts are read.
+HELD = 1 << 19
+#: Documents marked at most, 4 bytes each on their way.
 MARKS = 1 << 22
 #: Columns of a token matrix at once.
 COLUMNS = 4096
@@ -51,26 +56,37 @@ COLUMNS = 4096
 FEW = 500_000
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words of texts that stand end to end, A-Z in lower case."""
+    b = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    gap = (b == 32) | ((b >= 9) & (b <= 13))
+    n = len(b)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    before = np.ones(n, bool)
+    before[1:] = gap[:-1]
+    before |= edge[:n]
+    after = np.ones(n, bool)
+    after[:-1] = gap[1:]
+    after |= edge[1 : n + 1]
+    start, end = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(start):  # a long text some PART bytes at a time, cut between words
+        stop = max(at + 1, int(np.searchsorted(end, start[at] + rolling.PART, side="right")))
+        lo = start[at]
+        out.append(Ranges(b[lo : end[stop - 1]]).of(start[at:stop] - lo, end[at:stop] - lo))
+        at = stop
+    return start, np.concatenate(out) + mix((end - start).astype(np.uint64))
+
+
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, A-Z in lower case, words by WORD."""
+    turn = [mix(np.uint64([7919 * (k + 1)]))[0] | np.uint64(1) for k in range(words)]
     for _, data, offsets in parts(column):
-        b = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-        gap = (b == 32) | ((b >= 9) & (b <= 13))
-        n = len(b)
-        edge = np.zeros(n + 1, bool)
-        edge[offsets] = True
-        before = np.ones(n, bool)
-        before[1:] = gap[:-1]
-        before |= edge[:n]
-        after = np.ones(n, bool)
-        after[:-1] = gap[1:]
-        after |= edge[1 : n + 1]
-        start, end = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
-        word = Ranges(b).of(start, end) + mix((end - start).astype(np.uint64))
+        start, word = word_hashes(data, offsets)
         first = np.searchsorted(start, offsets)
-        turn = [mix(np.uint64(7919 * (k + 1)) * np.ones(1, np.uint64))[0] | np.uint64(1) for k in range(words)]
-        whole = sum((word[k : max(0, len(word) - words + 1) + k] * turn[k] for k in range(words)), np.zeros(max(0, len(word) - words + 1), np.uint64))
-        whole = mix(whole)
+        n = max(0, len(word) - words + 1)
+        whole = mix(sum((word[k : n + k] * turn[k] for k in range(words)), np.zeros(n, np.uint64)))
         for i in range(len(offsets) - 1):
             a, z = int(first[i]), int(first[i + 1])
             if z - a >= words:
@@ -90,26 +106,40 @@ def _longs(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _stretches(column: pa.Array, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, sets) of consecutive rows with some HELD tokens together."""
+    row, size, sets = 0, 0, []
+    for s in shingle_sets(column, words):
+        sets.append(s)
+        size += len(s)
+        if size >= HELD:
+            yield row, sets
+            row, size, sets = row + len(sets), 0, []
+    if sets:
+        yield row, sets
+
+
 def _survey(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row a document (its id, set size and signature), and a row a frequent token of the batch."""
+        """A row a document (its id, set size and signature), and a row a frequent token of a stretch of documents."""
         for b in batches:
-            sets = list(shingle_sets(b.column(1), words))
-            # equal sets count once: their classes are joined anyway
-            distinct = {signature(s): s for s in sets}.values()
-            token, count = np.unique(np.concatenate([*distinct]), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
-            token, count = token[count >= OFTEN], count[count >= OFTEN]
-            n, m = len(sets), len(token)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([b.column(0), pa.nulls(m, b.column(0).type)]),
-                    pa.array([len(s) for s in sets] + [None] * m, pa.int64()),
-                    pa.array([signature(s) for s in sets] + [None] * m, pa.binary()),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(_longs(token))]),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(count.astype(np.int64))]),
-                ],
-                ["doc_id", "n", "sig", "token", "times"],
-            )
+            for row, sets in _stretches(b.column(1), words):
+                sigs = [signature(s) for s in sets]
+                # equal sets count once: their classes are joined anyway
+                distinct = dict(zip(sigs, sets, strict=True)).values()
+                token, count = np.unique(np.concatenate([*distinct]), return_counts=True)
+                token, count = token[count >= OFTEN], count[count >= OFTEN]
+                n, m = len(sets), len(token)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([b.column(0).slice(row, n), pa.nulls(m, b.column(0).type)]),
+                        pa.array([len(s) for s in sets] + [None] * m, pa.int64()),
+                        pa.array(sigs + [None] * m, pa.binary()),
+                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(_longs(token))]),
+                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(count.astype(np.int64))]),
+                    ],
+                    ["doc_id", "n", "sig", "token", "times"],
+                )
 
     return run
 
@@ -130,12 +160,12 @@ def choose(costs: np.ndarray, n: int, least: int) -> tuple[int, int]:
     return best
 
 
-def prefix_of(s: np.ndarray, percent: int, frequent: np.ndarray, times: np.ndarray) -> tuple[int, np.ndarray]:
-    """(l, prefix) of a set."""
+def prefix_of(s: np.ndarray, percent: int, frequent: np.ndarray, times: np.ndarray) -> tuple[int, np.ndarray, int]:
+    """(l, prefix, how many of its tokens are known to be frequent) of a set; these come last."""
     n = len(s)
     if not n:
-        return 1, s
-    order, costs = s, np.zeros(n)
+        return 1, s, 0
+    order, costs, hot = s, np.zeros(n), s[:0]
     if len(frequent):
         where = np.searchsorted(frequent, s)
         where[where == len(frequent)] = 0
@@ -146,50 +176,77 @@ def prefix_of(s: np.ndarray, percent: int, frequent: np.ndarray, times: np.ndarr
             order = np.concatenate([s[~often], hot[by]])
             costs[n - len(hot) :] = c[by]
     m, p = choose(costs, n, -(-percent * n // 100))
-    return m, order[:p]
+    return m, order[:p], max(0, p - (n - len(hot)))
 
 
 def _prefixes(words: int, percent: int, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a set, once in a stretch: l, prefix, how many of its last tokens are frequent, and how many documents share them."""
+        frequent, times = known.value
         for b in batches:
-            sig, match, flat, at = [], [], [], [0]
-            for s in shingle_sets(b.column(0), words):
-                m, p = prefix_of(s, percent, *known.value)
-                match.append(m)
-                flat.append(p)
-                sig.append(signature(s))
-                at.append(at[-1] + len(p))
-            tokens = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(match, pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(_longs(tokens)))], ["sig", "l", "tokens"])
+            for _, sets in _stretches(b.column(0), words):
+                sig, match, flat, at, hot, shares, seen = [], [], [], [0], [], [], set()
+                for s in sets:
+                    if not len(s) or (g := signature(s)) in seen:
+                        continue
+                    seen.add(g)
+                    m, p, k = prefix_of(s, percent, frequent, times)
+                    match.append(m)
+                    flat.append(p)
+                    sig.append(g)
+                    hot.append(k)
+                    shares.append(int(times[np.searchsorted(frequent, p[len(p) - k :])].sum()) if k else 0)
+                    at.append(at[-1] + len(p))
+                tokens = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sig, pa.binary()), pa.array(match, pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(_longs(tokens))), pa.array(hot, pa.int32()), pa.array(shares, pa.int64())],
+                    ["sig", "l", "tokens", "hot", "shares"],
+                )
 
     return run
 
 
 def _signed(words: int, marked):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Signatures and packed texts of those whose signature's place is marked."""
+        """Signatures and packed texts of the documents that are marked, or have no id."""
         marks = marked.value
         for b in batches:
-            sig, body = [], []
-            for s, text in zip(shingle_sets(b.column(0), words), b.column(0), strict=True):
-                g = signature(s)
-                if marks is None or marks[int.from_bytes(g[:3])]:
-                    sig.append(g)
-                    body.append(zlib.compress(text.as_py().encode(), 1))
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(body, pa.binary())], ["sig", "text"])
+            if marks is not None:
+                place = b.column("place")
+                hit = marks[place.fill_null(0).to_numpy()] | place.is_null().to_numpy(zero_copy_only=False)
+                b = b.filter(pa.array(hit))
+            for part in slices(b, bytes_of(b.column("text"))):
+                texts = part.column("text")
+                sig = [signature(s) for s in shingle_sets(texts, words)]
+                body = [t.as_py().encode() for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sig, pa.binary()), pa.array([zlib.compress(t, 1) for t in body], pa.binary()), pa.array([len(t) for t in body], pa.int64())], ["sig", "text", "size"]
+                )
 
     return run
 
 
-def marked_places(spark, wanted: DataFrame):
-    """Which of 2 ** 24 places the first bytes of the wanted signatures hit, 16 MB whatever the corpus; none where so
-    many are hit that it would spare little."""
-    places = wanted.select(F.conv(F.hex(F.substring("sig", 1, 3)), 16, 10).cast("int").alias("p")).distinct()
-    if places.count() > MARKS:
-        return spark.sparkContext.broadcast(None)
-    marks = np.zeros(1 << 24, bool)
-    marks[places.toArrow()["p"].to_numpy()] = True
-    return spark.sparkContext.broadcast(marks)
+def _place(doc_id):
+    """One of 2 ** 24 places of a document's id; null for none."""
+    return F.when(doc_id.isNotNull(), F.pmod(F.xxhash64(doc_id), F.lit(1 << 24)).cast("int"))
+
+
+def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, tag: str) -> DataFrame:
+    """class, text (packed), size of the wanted classes, each from one document that has its set.
+
+    Which ids may be among them is told by a table of bits, 16 MB whatever the corpus; where so many are wanted
+    that it would spare little, all texts are read.
+    """
+    spark = docs.sparkSession
+    wanted = materialize(classes.join(wanted.distinct(), "class", "left_semi").select("sig", "class", _place(F.col("first_id")).alias("place")), f"{tag}-wanted")
+    places = wanted.where("place IS NOT NULL").select("place").distinct()
+    marks = None
+    if places.count() <= MARKS:
+        marks = np.zeros(1 << 24, bool)
+        marks[places.toArrow()["place"].to_numpy()] = True
+    marked = spark.sparkContext.broadcast(marks)
+    signed = docs.where("text IS NOT NULL").select("text", _place(F.col("doc_id")).alias("place")).mapInArrow(_signed(words, marked), "sig binary, text binary, size bigint")
+    return materialize(signed.join(wanted.select("sig", "class"), "sig").dropDuplicates(["class"]).select("class", "text", "size"), f"{tag}-texts")
 
 
 def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -197,22 +254,30 @@ def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(left), len(right)), np.int64)
     a, b = np.concatenate(left), np.concatenate(right)
     tokens = np.intersect1d(a, b)
-    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    if not len(tokens):
+        return out
+    sides = []
+    for flat, side in ((a, left), (b, right)):
+        row = np.repeat(np.arange(len(side)), [len(s) for s in side])
+        at = np.searchsorted(tokens, flat)
+        at[at == len(tokens)] = 0
+        hit = tokens[at] == flat
+        row, at = row[hit], at[hit]
+        by = np.argsort(at, kind="stable")
+        sides.append((row[by], at[by]))
     for lo in range(0, len(tokens), COLUMNS):
-        part = tokens[lo : lo + COLUMNS]
-        sides = []
-        for flat, row, n in ((a, rows[0], len(left)), (b, rows[1], len(right))):
-            at = np.searchsorted(part, flat)
-            at[at == len(part)] = 0
-            hit = part[at] == flat
-            m = np.zeros((n, len(part)), np.float32)
-            m[row[hit], at[hit]] = 1
-            sides.append(m)
-        out += (sides[0] @ sides[1].T).astype(np.int64)  # exact: below 2 ** 24
+        width = min(COLUMNS, len(tokens) - lo)
+        m = []
+        for (row, at), n in zip(sides, (len(left), len(right)), strict=True):
+            i, j = np.searchsorted(at, [lo, lo + width])
+            x = np.zeros((n, width), np.float32)
+            x[row[i:j], at[i:j] - lo] = 1
+            m.append(x)
+        out += (m[0] @ m[1].T).astype(np.int64)  # exact: below 2 ** 24
     return out
 
 
-def open_pairs_of(left: tuple, right: tuple, percent: int, same: bool) -> np.ndarray:
+def open_pairs_of(left: tuple, right: tuple, percent: int) -> np.ndarray:
     """Which pairs share enough prefix tokens. A side: sizes, l, prefix lengths, prefixes (or what of them others have).
 
     Of the tokens that two sets share, all but those behind the prefix that ends first are shared by the
@@ -222,28 +287,17 @@ def open_pairs_of(left: tuple, right: tuple, percent: int, same: bool) -> np.nda
     total = na[:, None] + nb[None, :]
     needed = -(-percent * total // (100 + percent)) - np.maximum.outer(na - pa_, nb - pb)
     asked = np.maximum(np.minimum.outer(la, lb), needed)
-    out = (shared(ta, tb) >= asked) & (100 * np.minimum.outer(na, nb) >= percent * np.maximum.outer(na, nb))
-    if same:
-        out &= np.arange(len(na))[:, None] < np.arange(len(nb))[None, :]
-    return out
+    return (shared(ta, tb) >= asked) & (100 * np.minimum.outer(na, nb) >= percent * np.maximum.outer(na, nb))
 
 
-def _side(sets: list[np.ndarray], percent: int, frequent: np.ndarray, times: np.ndarray) -> tuple:
-    found = [prefix_of(s, percent, frequent, times) for s in sets]
-    return np.array([len(s) for s in sets]), np.array([m for m, _ in found]), np.array([len(p) for _, p in found]), [p for _, p in found]
+def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    n, m = np.array([len(s) for s in left]), np.array([len(s) for s in right])
+    both = shared(left, right)
+    return 100 * both >= percent * (n[:, None] + m[None, :] - both)
 
 
-def links_between(left: list[np.ndarray], right: list[np.ndarray], percent: int, frequent: np.ndarray, times: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """(i, j) of similar sets, of each component of these links a spanning forest. same: both sides are one block."""
-    first = _side(left, percent, frequent, times)
-    second = first if same else _side(right, percent, frequent, times)
-    na, nb = first[0], second[0]
-    open_pairs = open_pairs_of(first, second, percent, same)
-    ii, jj = np.flatnonzero(open_pairs.any(axis=1)), np.flatnonzero(open_pairs.any(axis=0))
-    if not len(ii):
-        return []
-    both = shared([left[i] for i in ii], [right[j] for j in jj])
-    similar = open_pairs[np.ix_(ii, jj)] & (100 * both >= percent * (na[ii][:, None] + nb[jj][None, :] - both))
+def forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs' graph."""
     parent: dict = {}
 
     def root(x):
@@ -252,97 +306,91 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray], percent: int,
         return x
 
     out = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(similar)), strict=True):
-        i, j = int(ii[i]), int(jj[j])
-        u, v = root((0, i)), root((0, j) if same else (1, j))
+    for a, b in pairs:
+        u, v = root(a), root(b)
         if u != v:
             parent[u] = v
-            out.append((i, j))
+            out.append((a, b))
     return out
 
 
-def _meet(words: int, percent: int, known):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by meeting (hub, i, j); one meeting is held at a time."""
-        frequent, times = known.value
-        key, sides, ids = None, ([], []), ([], [])
-        out: tuple[list, list] = ([], [])
-
-        def close() -> None:
-            same = key[1] == key[2]
-            for i, j in links_between(sides[0], sides[0] if same else sides[1], percent, frequent, times, same) if sides[0] and (same or sides[1]) else ():
-                out[0].append(ids[0][i])
-                out[1].append((ids[0] if same else ids[1])[j])
-            for x in (*sides, *ids):
-                x.clear()
-
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("hub", "i", "j", "block", "class")), shingle_sets(pa.array([zlib.decompress(t).decode() for t in batch.column("text").to_pylist()], pa.string()), words), strict=True)
-            for hub, i, j, block, c, s in rows:
-                if (hub, i, j) != key:
-                    if key is not None:
-                        close()
-                    key = (hub, i, j)
-                side = 0 if block == i else 1
-                sides[side].append(s)
-                ids[side].append(c)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
-                out = ([], [])
-        if key is not None:
-            close()
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+KEY = ("hub", "i", "j")
 
-    return run
+
+def _meetings(rows: Iterator[tuple]) -> Iterator[tuple[tuple, list, list]]:
+    """(key, rows of side 0, rows of side 1) of each meeting, from rows (hub, i, j, side, ...) in that order."""
+    key, sides = None, ([], [])
+    for hub, i, j, side, *rest in rows:
+        if (hub, i, j) != key:
+            if sides[0] and sides[1]:
+                yield key, *sides
+            key, sides = (hub, i, j), ([], [])
+        sides[side].append(rest)
+    if sides[0] and sides[1]:
+        yield key, *sides
 
 
 def _screen(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Classes of each meeting that share enough prefix tokens with another."""
-        key, sides = None, ([], [])
-
-        def side(rows: list) -> tuple:
-            n, m = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-            return n, m, np.minimum(n, n + (-percent * n // 100) + m), [r[3] for r in rows]
-
-        def close() -> list[int]:
-            same = key[1] == key[2]
-            if not sides[0] or not (same or sides[1]):
-                return []
-            first = side(sides[0])
-            found = open_pairs_of(first, first if same else side(sides[1]), percent, same)
-            rows, cols = np.flatnonzero(found.any(axis=1)), np.flatnonzero(found.any(axis=0))
-            return [sides[0][k][0] for k in rows] + [sides[0 if same else 1][k][0] for k in cols]
-
-        for batch in batches:
-            hubs, classes = [], []
-            tokens = batch.column("tokens")
-            flat, edges = tokens.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(tokens.value_lengths().to_numpy()))
-            for k, (hub, i, j, block, c, n, m) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("hub", "i", "j", "block", "class", "n", "l")), strict=True)):
-                if (hub, i, j) != key:
-                    if key is not None:
-                        got = close()
-                        hubs += [key[0]] * len(got)
-                        classes += got
-                        sides[0].clear()
-                        sides[1].clear()
-                    key = (hub, i, j)
-                sides[0 if block == i else 1].append((c, n, m, flat[edges[k] : edges[k + 1]].copy()))
-            yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(classes, pa.int64())], ["hub", "class"])
-        if key is not None:
-            got = close()
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(got), pa.int64()), pa.array(got, pa.int64())], ["hub", "class"])
+        """Of each meeting, what shares enough prefix tokens with something of the other side."""
+
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                tokens = b.column("tokens")
+                flat, edges = tokens.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(tokens.value_lengths().to_numpy()))
+                for k, row in enumerate(zip(*(b.column(x).to_pylist() for x in (*KEY, "side", "class", "n", "l")), strict=True)):
+                    yield *row, flat[edges[k] : edges[k + 1]].copy()
+
+        def side(of: list) -> tuple:
+            n, m = np.array([r[1] for r in of]), np.array([r[2] for r in of])
+            return n, m, np.minimum(n, n + (-percent * n // 100) + m), [r[3] for r in of]
+
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            cols = [pa.array([r[c] for r in out], pa.int64()) for c in range(5)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(cols, [*KEY, "side", "class"])
+
+        for key, left, right in _meetings(rows()):
+            found = open_pairs_of(side(left), side(right), percent)
+            found &= np.array([r[0] for r in left])[:, None] != np.array([r[0] for r in right])[None, :]
+            out += [(*key, 0, left[k][0]) for k in np.flatnonzero(found.any(axis=1))]
+            out += [(*key, 1, right[k][0]) for k in np.flatnonzero(found.any(axis=0))]
+            if len(out) > 50_000:
+                yield batch()
+        yield batch()
 
     return run
 
 
-def meetings(groups: DataFrame, block: int) -> DataFrame:
-    """hub, i, j, block, class: each class of a hub's group with each of the group's blocks, i <= j."""
-    by = Window.partitionBy("hub").orderBy("class")
-    placed = groups.withColumns({"block": F.floor((F.row_number().over(by) - 1) / block).cast("int"), "blocks": F.ceil(F.count(F.lit(1)).over(Window.partitionBy("hub")) / block).cast("int")})
-    other = placed.select("hub", "class", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    return other.select("hub", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "class")
+def _verify(words: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links (a, b) between the sides of each meeting, a spanning forest of them."""
+
+        def rows() -> Iterator[tuple]:
+            for whole in batches:
+                for b in slices(whole, whole.column("size").to_numpy()):
+                    texts = pa.array([zlib.decompress(t).decode() for t in b.column("text").to_pylist()], pa.string())
+                    for row, s in zip(zip(*(b.column(x).to_pylist() for x in (*KEY, "side", "class")), strict=True), shingle_sets(texts, words), strict=True):
+                        yield *row, s
+
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            cols = [pa.array([r[c] for r in out], pa.int64()) for c in range(3)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(cols, ["hub", "a", "b"])
+
+        for (hub, *_), left, right in _meetings(rows()):
+            similar = similar_pairs([s for _, s in left], [s for _, s in right], percent)
+            pairs = ((left[i][0], right[j][0]) for i, j in zip(*(x.tolist() for x in np.nonzero(similar)), strict=True))
+            out += [(hub, a, b) for a, b in forest((a, b) for a, b in pairs if a != b)]
+            if len(out) > 50_000:
+                yield batch()
+        yield batch()
+
+    return run
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,9 +434,27 @@ def components(links: DataFrame, few: int = FEW) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def blocks_of(groups: DataFrame, block: int, least: int = 1) -> DataFrame:
+    """hub, blocks: how many blocks bound a group's classes and tokens, for groups of `least` classes or more."""
+    size = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("tokens")).where(F.col("classes") >= least)
+    return size.select("hub", F.greatest(F.ceil(F.col("classes") / block), F.ceil(F.col("tokens") / TOKENS)).cast("int").alias("blocks"))
+
+
+def _part(blocks: str, seed: int):
+    return F.pmod(F.xxhash64("class", F.lit(seed)), F.col(blocks)).cast("long")
+
+
+def met(meetings: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows of the meetings with the facts of their classes, each meeting whole in one task and in order."""
+    return meetings.join(facts, "class").repartition(*KEY).sortWithinPartitions(*KEY, "side")
+
+
+MEETING = "hub bigint, i bigint, j bigint, side bigint, class bigint"
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    spark = docs.sparkSession
+    spark, block = docs.sparkSession, block or BLOCK
     kind = docs.schema["doc_id"].dataType.simpleString()
     survey = docs.select("doc_id", "text").mapInArrow(_survey(words), f"doc_id {kind}, n bigint, sig binary, token bigint, times bigint")
     survey = materialize(survey, "jaccard-survey")
@@ -401,44 +467,58 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = mine.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n")).withColumn("class", F.monotonically_increasing_id())
     classes = materialize(classes, "jaccard-classes")
 
-    prefixes = docs.select("text").where("text IS NOT NULL").mapInArrow(_prefixes(words, percent, known), "sig binary, l int, tokens array<bigint>")
-    # class and l (at most LONGEST) travel as one number
-    both = (F.col("class") * 16 + F.col("l")).alias("both")
-    postings = prefixes.where("size(tokens) > 0").dropDuplicates(["sig"]).join(classes, "sig").select(both, F.explode("tokens").alias("token"))
-    postings = postings.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
-    postings = materialize(postings.select("token", "df", F.expr("both div 16").alias("class"), F.expr("cast(both % 16 AS int)").alias("l")), "jaccard-postings")
-    # what copies were made from shares more of its tokens, with more classes, than a copy does
-    central = postings.groupBy("class").agg(F.sum("df").alias("df")).join(classes.select("class", "n"), "class")
-    central = central.select("class", F.struct((-F.col("df") / F.col("n")).alias("order"), F.col("class").alias("hub")).alias("rank"))
-    ranked = postings.select("class", "token").join(central, "class")
-    hubs = ranked.groupBy("token").agg(F.min("rank").alias("first"))
-    groups = ranked.join(hubs, "token").select(F.col("first.hub").alias("hub"), "class").distinct()
-    groups = materialize(groups.withColumn("g", F.count(F.lit(1)).over(Window.partitionBy("hub"))).where("g > 1").drop("g"), "jaccard-groups")
-    # first by shared prefix tokens alone: texts are needed of those classes only that have a partner by these
-    known_by = postings.groupBy("class").agg(F.min("l").alias("l"), F.collect_list("token").alias("tokens")).join(classes.select("class", "n"), "class")
-    rows = meetings(groups, BLOCK).join(known_by, "class").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "block", "class")
-    groups = materialize(rows.mapInArrow(_screen(percent), "hub bigint, class bigint").distinct(), "jaccard-partners")
-    wanted = classes.join(groups.select("class").distinct(), "class", "left_semi").select("sig", "class")
-    signed = docs.select("text").where("text IS NOT NULL").mapInArrow(_signed(words, marked_places(spark, wanted)), "sig binary, text binary")
-    texts = materialize(signed.join(wanted, "sig").dropDuplicates(["class"]).select("class", "text"), "jaccard-texts")
-    rows = meetings(groups, BLOCK).join(texts, "class").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "block", "class")
-    links = materialize(rows.mapInArrow(_meet(words, percent, known), "a bigint, b bigint"), "jaccard-links")
-    component = None if links.isEmpty() else components(links)
-    if component is None:
-        named = classes.select("sig", F.col("first_id").alias("component_id"))
+    prefixes = docs.select("text").where("text IS NOT NULL").mapInArrow(_prefixes(words, percent, known), "sig binary, l int, tokens array<bigint>, hot int, shares bigint")
+    # what copies were made from shares more of its tokens, with more documents, than a copy does
+    rank = F.expr("named_struct('order', -shares / n, 'hub', class)")
+    listed = prefixes.dropDuplicates(["sig"]).join(classes.select("sig", "class", "n"), "sig").select("class", "n", "l", rank.alias("rank"), "hot", F.posexplode("tokens").alias("at", "token"), F.size("tokens").alias("p"))
+    listed = listed.select("class", "n", "l", "rank", "token", (F.col("at") >= F.col("p") - F.col("hot")).alias("frequent"))
+    # a token that is not known to be frequent stands in few classes, one a stretch of documents: most in a single one
+    rare = listed.where("NOT frequent").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1").drop("df")
+    postings = materialize(rare.unionByName(listed.where("frequent")).drop("frequent"), "jaccard-postings")
+    hubs = postings.groupBy("token").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("df")).where("df > 1").select("token", F.col("first.hub").alias("hub"))
+    named = postings.select("class", "n", "l", "token").join(hubs, "token")
+    facts = materialize(named.groupBy("class").agg(F.min("n").alias("n"), F.min("l").alias("l"), F.collect_list("token").alias("tokens"), F.collect_set("hub").alias("hubs")), "jaccard-facts")
+    groups = facts.select("class", "n", F.explode("hubs").alias("hub")).where("class <> hub")
+    facts = facts.drop("hubs")
+
+    # every class meets its hub: block j of the group, and the hub on the other side
+    placed = groups.join(blocks_of(groups, block).where("blocks > 1"), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.select("hub", F.lit(-1).cast("long").alias("i"), _part("blocks", 0).alias("j"), F.lit(1).cast("long").alias("side"), "class")
+    hub_rows = placed.select("hub", "i", "j").distinct().select("hub", "i", "j", F.lit(0).cast("long").alias("side"), F.col("hub").alias("class"))
+    open_ = materialize(met(placed.unionByName(hub_rows), facts).mapInArrow(_screen(percent), MEETING), "jaccard-open")
+    texts = texts_of(docs, classes, open_.select("class"), words, "jaccard-hub")
+    with_hub = materialize(met(open_, texts).mapInArrow(_verify(words, percent), "hub bigint, a bigint, b bigint"), "jaccard-hub-links")
+
+    # the others meet all of the group but the hub
+    alone = groups.join(with_hub.select("hub", F.col("b").alias("class")), ["hub", "class"], "left_anti")
+    sizes = blocks_of(groups, block, least=2)
+    left = blocks_of(alone, block).withColumnRenamed("blocks", "i_blocks").join(sizes.withColumnRenamed("blocks", "j_blocks"), "hub")
+    left = materialize(left, "jaccard-left")
+    one, other = (F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1) for c in ("i_blocks", "j_blocks"))
+    first = alone.join(left, "hub").select("hub", _part("i_blocks", 1).alias("i"), F.explode(other).alias("j"), F.lit(0).cast("long").alias("side"), "class")
+    second = groups.join(left, "hub").select("hub", F.explode(one).alias("i"), _part("j_blocks", 0).alias("j"), F.lit(1).cast("long").alias("side"), "class")
+    open_ = materialize(met(first.unionByName(second), facts).mapInArrow(_screen(percent), MEETING), "jaccard-rest-open")
+    links = with_hub.select("a", "b")
+    if not open_.isEmpty():
+        texts = texts_of(docs, classes, open_.select("class"), words, "jaccard-rest")
+        links = links.unionByName(materialize(met(open_, texts).mapInArrow(_verify(words, percent), "hub bigint, a bigint, b bigint"), "jaccard-rest-links").select("a", "b"))
+    if links.isEmpty():
+        of = classes.select("sig", F.col("first_id").alias("component_id"))
     else:
-        of = classes.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        component = components(links).withColumnRenamed("node", "class")
+        of = classes.join(component, "class", "left").withColumn("component", F.coalesce("component", "class"))
         smallest = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        named = of.join(smallest, "component").select("sig", "component_id")
-    rows = mine.join(named, "sig", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        of = of.join(smallest, "component").select("sig", "component_id")
+    some = mine.where("n > 0").join(of, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return some.unionByName(mine.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id (a repeated one once);
-    documents without words and those without doc_id stay."""
+    """One document of each group of near duplicates, the one with the smallest doc_id (a repeated row once);
+    documents without words and those without doc_id stay, and so does every text of a doc_id that several have."""
     keep = near_duplicates(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id IS NULL").unionByName(docs.join(keep, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    kept = docs.join(keep, "doc_id", "left_semi").select(docs.columns)
+    return docs.where("doc_id IS NULL").unionByName(kept.dropDuplicates(["doc_id", "text"]))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

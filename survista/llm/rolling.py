@@ -1,8 +1,9 @@
 """Hashes of ranges of byte texts, for whole Arrow batches at once.
 
-Bytes are mapped through a fixed random table and summed with powers of an odd base modulo 2 ** 64, so
-that the hash of any range is a difference of two prefix sums times a power of the base's inverse; a
-finalizer then mixes its bits.
+Bytes are mapped through fixed random tables and summed with powers of a base modulo the prime
+2 ** 31 - 1, twice with other tables and bases, so that the hash of any range is a difference of two prefix
+sums times a power of the base's inverse. Two ranges of n bytes that differ agree for at most n of the 2 ** 31
+bases in each, whatever their bytes; a finalizer then mixes the 62 bits.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at once; a longer text is a part of its own.
-PART = 1 << 20
+PART = 1 << 18
+PRIME = (1 << 31) - 1
+_P, _31 = np.uint64(PRIME), np.uint64(31)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,40 +27,66 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, up to one PRIME too much; x below 2 ** 63."""
+    x = (x & _P) + (x >> _31)
+    return (x & _P) + (x >> _31)
+
+
 @lru_cache(maxsize=8)
 def _table(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    return 1 + mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) % np.uint64(PRIME - 1)
 
 
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of base modulo PRIME; only those of a part are kept."""
     have = _powers.get(base)
-    if have is None or len(have) < n:
-        x = np.full(max(n, PART + 1), base, np.uint64)
-        x[0] = 1
-        _powers[base] = have = np.cumprod(x)
-    return have[:n]
+    if have is not None and len(have) >= n:
+        return have[:n]
+    x = np.ones(max(n, PART + 1), np.uint64)
+    done = 1
+    while done < len(x):
+        more = x[: min(done, len(x) - done)] * np.uint64(pow(base, done, PRIME))
+        x[done : done + len(more)] = folded(more) % _P
+        done += len(more)
+    if n <= PART + 1:
+        _powers[base] = x
+    return x[:n]
 
 
-BASES = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
+BASES = (0x4C957F2D, 0x3F4914F7)
 
 
 class Ranges:
     """Hashes of ranges of one byte buffer."""
 
-    def __init__(self, buffer: np.ndarray, which: int = 0):
-        base = BASES[which]
+    def __init__(self, buffer: np.ndarray):
         n = len(buffer)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_table(which + 1)[buffer] * powers(base, n), out=self.sums[1:])
-        self.back = powers(pow(base, -1, 1 << 64), n + 1)
-
-    def raw(self, start, end):
-        return (self.sums[end] - self.sums[start]) * self.back[start]
-
-    def of(self, start, end):
+        self.sums, self.back = [], []
+        for which, base in enumerate(BASES):
+            v = _table(which + 1)[buffer]
+            v *= powers(base, n)
+            high = v >> _31
+            v &= _P
+            v += high
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(v, out=sums[1:])  # below 2 ** 32 each, so exact for texts of up to 2 ** 31 bytes
+            self.sums.append(sums)
+            self.back.append(powers(pow(base, -1, PRIME), n + 1))
+
+    def raw(self, start, end) -> np.ndarray:
+        """start, end: arrays of places, or slices of as many."""
+        out = None
+        for sums, back in zip(self.sums, self.back, strict=True):
+            x = folded(folded(sums[end] - sums[start]) * back[start])
+            x -= _P * (x >= _P)
+            out = x if out is None else (out << _31) | x
+        return out
+
+    def of(self, start, end) -> np.ndarray:
         return mix(self.raw(start, end))
 
 

@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from survista.llm.common import materialize
+from survista.llm.common import bytes_of, materialize, slices
 from survista.llm.rolling import Ranges, mix, parts
 
 LENGTH = 400
 GRAM = 200
 CHUNK = 25
 #: Bytes of a longer text worked on at once; the low bits of a key hold the place within.
-SEGMENT = 2 << 20
+SEGMENT = 1 << 18
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -47,7 +47,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     if n < length:
         return None
     r = Ranges(data)
-    grams = mix((r.sums[gram:] - r.sums[:-gram]) * r.back[: n - gram + 1])
+    grams = r.of(slice(0, n - gram + 1), slice(gram, n + 1))
     # least hash of each w grams, leftmost of equal ones: hash above, place below
     m, count = len(grams), n - length + 1
     blocks = np.full((-(-m // w), w), np.uint64(2**64 - 1))
@@ -145,7 +145,7 @@ OPEN = "doc binary, gram bigint, start bigint, before int, bytes binary"
 
 def _contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, bytes_of(whole.column("text")))):
             doc, gram, start, before, cut = [], [], [], [], []
             for d, text, wanted in zip(b.column("doc"), b.column("text"), b.column("wanted").to_pylist(), strict=True):
                 raw = text.as_py().encode()
@@ -254,7 +254,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = repeated_spans(keyed.select("doc", "text").where(F.octet_length("text") >= length), length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, bytes_of(whole.column("text")))):
             size, gone, count, kept = [], [], [], []
             spans = b.column("spans")
             edges = np.append(0, np.cumsum(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))

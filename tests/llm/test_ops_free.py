@@ -84,15 +84,47 @@ def brute_components(texts, w, percent):
 
 @pytest.mark.parametrize("w, percent, block", [(4, 85, 512), (5, 80, 3), (1, 50, 4)])
 def test_components_by_brute_force(docs, texts, w, percent, block, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "COLUMNS", 16)
     want = brute_components([*enumerate(texts)], w, percent)
-    got = neardup.near_duplicates(docs.where("doc_id IS NOT NULL"), w, percent).collect()
+    got = neardup.near_duplicates(docs.where("doc_id IS NOT NULL"), w, percent, block).collect()
     assert len(got) == len(texts) + 1
     for r in got:
         assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
 
 
+def test_chains_away_from_the_hub(spark):
+    """Each text is similar to its neighbours alone, so that most classes of a group are not similar to its hub."""
+    rng = random.Random(4)
+    w = [f"c{rng.random()}" for _ in range(60)]
+    texts = []
+    for k in range(40):
+        texts.append(" ".join(w))
+        w[3 * k % 60] = f"d{k}"
+    texts += [f"{' '.join(w[:40])} other {k} " + " ".join(f"{k}e{j}" for j in range(9)) for k in range(30)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string").repartition(5)
+    for block in (3, 512):
+        want = brute_components([*enumerate(texts)], 2, 80)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, 2, 80, block).collect()} == want
+
+
+def test_words_that_power_sums_confuse(spark):
+    """Thue and Morse's word and its complement agree under every base modulo a power of two."""
+    t = "".join("ab"[k.bit_count() % 2] for k in range(2048))
+    texts = [t, t.translate({97: "b", 98: "a"}), "x " + t + " y z", "long " * 70_000]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, 4, 85).collect()} == {k: k for k in range(4)}
+    cut = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in substrings.without_repeats(df).collect()}
+    want = brute_cut(texts, 400)
+    assert cut == {k: want[k][1:3] for k in range(4)}
+
+
+def test_words_of_long_texts(monkeypatch):
+    text = pa.array(["ab cd " * 50 + "q" * 300 + " e  f", "", "g h"])
+    want = [s.tolist() for s in neardup.shingle_sets(text, 3)]
+    monkeypatch.setattr(rolling, "PART", 64)
+    assert [s.tolist() for s in neardup.shingle_sets(text, 3)] == want
+
+
 def test_first_of_each(docs, no_docs):
     extra = docs.selectExpr("*", "'c' AS component_id", "1 AS n_shingles")
     got = neardup.first_of_each(extra)
@@ -323,7 +355,10 @@ def test_runs_over_segments():
 def test_range_hashes():
     data = np.frombuffer(b"abcabcxabc", np.uint8)
     r = rolling.Ranges(data)
-    assert r.of(0, 3) == r.of(3, 6) == r.of(7, 10) != r.of(1, 4)
+    a, b, c, d = r.of(np.array([0, 3, 7, 1]), np.array([3, 6, 10, 4])).tolist()
+    assert a == b == c != d and r.of(slice(0, 8), slice(3, 11)).tolist()[0] == a
+    have = [pow(rolling.BASES[0], k, rolling.PRIME) for k in range(50)]
+    assert rolling.powers(rolling.BASES[0], 50).tolist() == have
     col = pa.array(["ab", None, "", "cdé"])
     assert b"".join(d.tobytes() for _, d, _ in rolling.parts(col)) == "abcdé".encode()
 
