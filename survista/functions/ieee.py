@@ -75,7 +75,8 @@ def maximum(x: Column, y: Column) -> Column:
 
 
 def _negative(x: Column) -> Column:
-    return F.atan2(x, lit(-1.0)) < 0
+    """Whether a zero is -0, as its inverse tells."""
+    return F.pow(x, lit(-1.0)) < 0
 
 
 def clamp(x: Column, low: Column, high: Column) -> Column:

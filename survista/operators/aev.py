@@ -207,6 +207,9 @@ def _interval(n: E.Node, known: dict, t: tuple[float, float]) -> tuple[float, fl
     if n.op == "mul":
         ps = [a * c for a in vs[0] for c in vs[1]]
         return wide if any(p != p for p in ps) else (min(ps), max(ps))
+    if n.op == "div" and not vs[1][0] <= 0 <= vs[1][1]:
+        qs = [a / c for a in vs[0] for c in vs[1]]
+        return wide if any(q != q for q in qs) else (min(qs), max(qs))
     if n.op == "abs":
         low, high = vs[0]
         return (0.0 if low <= 0 <= high else min(abs(low), abs(high))), max(abs(low), abs(high))

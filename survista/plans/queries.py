@@ -115,13 +115,15 @@ def fit_disjoint_groups(spark, sf_dir):
 
 def fit_age_newton(spark, sf_dir):
     """Time-varying covariates: iterated walks over slots."""
-    f = fit(order_experience(spark, sf_dir), model(GOMPERTZ, covariates(one=1.0, age=x - 55, f=i.status == "F")), test_mortality=GOMPERTZ, overdispersion=1)
-    return f.to_df(spark).withColumn("status", F.lit(f.status))
+    f = fit(order_experience(spark, sf_dir), model(GOMPERTZ, covariates(one=1.0, age=x - 55, f=i.status == "F")), test_mortality=GOMPERTZ, overdispersion=1, tolerance=1e-14)
+    digits = {"estimate": 6, "stddev": 6, "low_95pc": 5, "high_95pc": 5}
+    return f.to_df(spark).select("term", *[F.round(c, n).alias(c) for c, n in digits.items()], F.lit(f.status).alias("status"))
 
 
 def compare_models_rank(spark, sf_dir):
     candidates = [model(GOMPERTZ, covariates(one=1.0), "level"), model(GOMPERTZ, disjoint(SEGMENT), "segment"), model(GOMPERTZ, covariates(one=1.0, big=i.pension > 150000), "size")]
-    return compare_models(order_experience(spark, sf_dir), candidates, test_mortality=GOMPERTZ, overdispersion=1).to_df(spark)
+    c = compare_models(order_experience(spark, sf_dir), candidates, test_mortality=GOMPERTZ, overdispersion=1, tolerance=1e-14)
+    return c.to_df(spark).select("rank", "model", *[F.round(n, 4).alias(n) for n in ("L_P", "L", "penalty")], "status")
 
 
 def diagnose_grid(spark, sf_dir):
