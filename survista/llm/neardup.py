@@ -318,14 +318,15 @@ KEY = ("hub", "i", "j")
 
 
 def _meetings(rows: Iterator[tuple]) -> Iterator[tuple[tuple, list, list]]:
-    """(key, rows of side 0, rows of side 1) of each meeting, from rows (hub, i, j, side, ...) in that order."""
+    """(key, rows of side 0, rows of side 1) of each meeting, from rows (hub, i, j, side, ...) in that order; side 2 is both."""
     key, sides = None, ([], [])
     for hub, i, j, side, *rest in rows:
         if (hub, i, j) != key:
             if sides[0] and sides[1]:
                 yield key, *sides
             key, sides = (hub, i, j), ([], [])
-        sides[side].append(rest)
+        for k in (0, 1) if side == 2 else (side,):
+            sides[k].append(rest)
     if sides[0] and sides[1]:
         yield key, *sides
 
@@ -355,8 +356,8 @@ def _screen(percent: int):
         for key, left, right in _meetings(rows()):
             found = open_pairs_of(side(left), side(right), percent)
             found &= np.array([r[0] for r in left])[:, None] != np.array([r[0] for r in right])[None, :]
-            out += [(*key, 0, left[k][0]) for k in np.flatnonzero(found.any(axis=1))]
-            out += [(*key, 1, right[k][0]) for k in np.flatnonzero(found.any(axis=0))]
+            one, other = ({of[k][0] for k in np.flatnonzero(found.any(axis=axis))} for of, axis in ((left, 1), (right, 0)))
+            out += [(*key, 2 if c in one and c in other else 0 if c in one else 1, c) for c in one | other]
             if len(out) > 50_000:
                 yield batch()
         yield batch()
@@ -468,16 +469,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     classes = materialize(classes, "jaccard-classes")
 
     prefixes = docs.select("text").where("text IS NOT NULL").mapInArrow(_prefixes(words, percent, known), "sig binary, l int, tokens array<bigint>, hot int, shares bigint")
-    # what copies were made from shares more of its tokens, with more documents, than a copy does
-    rank = F.expr("named_struct('order', -shares / n, 'hub', class)")
-    listed = prefixes.dropDuplicates(["sig"]).join(classes.select("sig", "class", "n"), "sig").select("class", "n", "l", rank.alias("rank"), "hot", F.posexplode("tokens").alias("at", "token"), F.size("tokens").alias("p"))
-    listed = listed.select("class", "n", "l", "rank", "token", (F.col("at") >= F.col("p") - F.col("hot")).alias("frequent"))
+    # what copies were made from shares more of its tokens, with more documents, than a copy does; rank and l travel as one number
+    rank = F.expr("-16 * cast(least(16 * shares / n, 1e15) AS bigint) + l")
+    listed = prefixes.dropDuplicates(["sig"]).join(classes.select("sig", "class", "n"), "sig").select("class", rank.alias("rank"), "hot", F.posexplode("tokens").alias("at", "token"), F.size("tokens").alias("p"))
     # a token that is not known to be frequent stands in few classes, one a stretch of documents: most in a single one
-    rare = listed.where("NOT frequent").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1").drop("df")
-    postings = materialize(rare.unionByName(listed.where("frequent")).drop("frequent"), "jaccard-postings")
-    hubs = postings.groupBy("token").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("df")).where("df > 1").select("token", F.col("first.hub").alias("hub"))
-    named = postings.select("class", "n", "l", "token").join(hubs, "token")
-    facts = materialize(named.groupBy("class").agg(F.min("n").alias("n"), F.min("l").alias("l"), F.collect_list("token").alias("tokens"), F.collect_set("hub").alias("hubs")), "jaccard-facts")
+    rare = listed.where("at < p - hot").select("class", "rank", "token").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1").drop("df")
+    postings = materialize(rare.unionByName(listed.where("at >= p - hot").select("class", "rank", "token")), "jaccard-postings")
+    hubs = postings.groupBy("token").agg(F.min(F.struct("rank", "class")).alias("first"), F.count(F.lit(1)).alias("df")).where("df > 1").select("token", F.col("first.class").alias("hub"))
+    named = postings.join(hubs, "token").groupBy("class").agg(F.expr("cast(pmod(min(rank), 16) AS int)").alias("l"), F.collect_list("token").alias("tokens"), F.collect_set("hub").alias("hubs"))
+    facts = materialize(named.join(classes.select("class", "n"), "class"), "jaccard-facts")
     groups = facts.select("class", "n", F.explode("hubs").alias("hub")).where("class <> hub")
     facts = facts.drop("hubs")
 
@@ -489,14 +489,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     texts = texts_of(docs, classes, open_.select("class"), words, "jaccard-hub")
     with_hub = materialize(met(open_, texts).mapInArrow(_verify(words, percent), "hub bigint, a bigint, b bigint"), "jaccard-hub-links")
 
-    # the others meet all of the group but the hub
-    alone = groups.join(with_hub.select("hub", F.col("b").alias("class")), ["hub", "class"], "left_anti")
-    sizes = blocks_of(groups, block, least=2)
-    left = blocks_of(alone, block).withColumnRenamed("blocks", "i_blocks").join(sizes.withColumnRenamed("blocks", "j_blocks"), "hub")
+    # the others meet all of the group but the hub; one that stands on both sides of a meeting is sent once
+    linked = with_hub.select("hub", F.col("b").alias("class"), F.lit(True).alias("linked")).distinct()
+    rest = materialize(groups.join(linked, ["hub", "class"], "left").select("hub", "class", "n", F.col("linked").isNull().alias("alone")), "jaccard-rest")
+    alone = rest.where("alone")
+    left = blocks_of(alone, block).withColumnRenamed("blocks", "i_blocks").join(blocks_of(rest, block, least=2).withColumnRenamed("blocks", "j_blocks"), "hub")
     left = materialize(left, "jaccard-left")
+    rest = rest.join(left, "hub").withColumns({"own_i": _part("i_blocks", 1), "own_j": _part("j_blocks", 0)})
     one, other = (F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1) for c in ("i_blocks", "j_blocks"))
-    first = alone.join(left, "hub").select("hub", _part("i_blocks", 1).alias("i"), F.explode(other).alias("j"), F.lit(0).cast("long").alias("side"), "class")
-    second = groups.join(left, "hub").select("hub", F.explode(one).alias("i"), _part("j_blocks", 0).alias("j"), F.lit(1).cast("long").alias("side"), "class")
+    first = rest.where("alone").select("hub", F.col("own_i").alias("i"), F.explode(other).alias("j"), "own_j", "class")
+    first = first.select("hub", "i", "j", F.expr("IF(j = own_j, 2L, 0L)").alias("side"), "class")
+    second = rest.select("hub", F.explode(one).alias("i"), F.col("own_j").alias("j"), "own_i", "alone", "class").where("NOT (alone AND i = own_i)")
+    second = second.select("hub", "i", "j", F.lit(1).cast("long").alias("side"), "class")
     open_ = materialize(met(first.unionByName(second), facts).mapInArrow(_screen(percent), MEETING), "jaccard-rest-open")
     links = with_hub.select("a", "b")
     if not open_.isEmpty():
