@@ -2,14 +2,17 @@
 
 Targets are water-filled: weight shares of all words, held at `epochs` times a source's own words,
 the excess shared again by weight. The words of each source, its documents in a keyed shuffle, are
-laid end to end and cut into blocks of equal tokens. Slot i of the mix goes to the source in whose
-stretch of the cumulative targets the van der Corput point of i falls; the r-th slot of a source
-takes its block r modulo its blocks, so the passes over a source differ by one block at most. A source of
-fewer than PARTS blocks is cut finer, and takes evenly spaced slots; the SQL does not cut it so.
+laid end to end and cut into equal blocks (they differ by one word at most), as many as BLOCK words a block make,
+and PARTS at least, so that a small source has small ones. A source gets as many slots of the mix as its target holds
+of its blocks. All slots stand side by side, source after source; slot i of the mix is the one that the van der Corput
+point of i falls on, in whole numbers (the bits of i mirrored), so that every stretch of the mix has each
+source in about its share. The r-th slot of a source takes its block r modulo its blocks: passes over a
+source differ by one block at most, and what is taken misses the target by half a block at most.
 
 Defined results: null text has size 0 and takes 0; null sources form one source, placed last; a
 repeated row is a document of its own; an empty table gives an empty table; equal shuffle keys are
-ordered by doc_id and size; other columns of the input are kept by `mixed_documents` and ignored here.
+ordered by doc_id and size; a very long text spans as many blocks as it holds, in pieces of its row's own;
+other columns of the input are kept by `mixed_documents` and ignored here.
 """
 
 from __future__ import annotations
@@ -21,16 +24,19 @@ from survista.llm.common import materialize, n_words, prefix_sum
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
-#: Words of a block at most; small corpora are cut finer, into 2**FINE blocks in all.
+#: Words of a block at most.
 BLOCK = 8192
-FINE = 16
-#: Blocks of a source at least, so that a small one is not all last block.
-PARTS = 64
-BITS = 52
+#: Blocks of a source at least, or as many as it has words.
+PARTS = 256
+#: Slots made by one task at once, and ranked together.
+STRETCH = 65536
+#: Documents ranked together, on the average.
+TOGETHER = 512
 
 
-def targets(sized: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """One row a source: source, source_size, weight, target, low (targets of the sources before it)."""
+def targets(sized: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, block: int = BLOCK) -> DataFrame:
+    """One row a source: source, source_size, weight, target, blocks, slots, low (slots of the sources before it),
+    source_no. What orders all sources in one task has a row a source, not a document."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     one = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
@@ -48,76 +54,55 @@ def targets(sized: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFram
     )
     target = F.least(F.col("level") * F.col("weight"), F.col("cap").cast("double"))
     one = one.withColumn("target", F.coalesce(target, F.lit(0.0)))
-    low = F.coalesce(F.sum("target").over(by_name.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    # rounded, so that a point on the border of two sources falls alike however the sum was taken
-    return one.select("source", "source_size", "weight", "target", F.round(low, 6).alias("low"))
-
-
-def van_der_corput(i):
-    """Bits of i mirrored behind the binary point."""
-    return F.conv(F.reverse(F.lpad(F.bin(i), BITS, "0")), 2, 10).cast("double") / float(2**BITS)
-
-
-def words_of_block(size: int, block: int) -> int:
-    """Words of a block of a source of `size` words."""
-    return max(1, min(block, size // PARTS))
-
-
-def schedule(spark, rows: list, slots: int, block: int, epochs: int = EPOCHS) -> DataFrame:
-    """slot, source_no, rank, block of each slot of the mix. rows: the sources in order, one row each. Sources of
-    smaller blocks take theirs evenly spaced, as many as come nearest to their target."""
-    whole = sum(r["source_size"] for r in rows)  # as the targets sum to
-    lows = F.array(*[F.lit(float(r["low"])) for r in rows])
-    sizes = F.array(*[F.lit(int(-(-r["source_size"] // block))) for r in rows])
-    point = van_der_corput(F.col("slot")) * F.lit(float(whole))
-    s = spark.range(slots).select(F.col("id").alias("slot")).withColumn("point", point)
-    s = s.withColumn("source_no", F.size(F.filter(lows, lambda x: x <= F.col("point"))).cast("int"))
-    s = s.withColumn("stretch", F.expr("slot div 65536")).withColumn("one", F.lit(1))
-    s = prefix_sum(s, ["source_no"], "stretch", ["slot"], "one", "rank").withColumn("blocks", F.element_at(sizes, F.col("source_no")).cast("long"))
-    s = s.where(F.col("rank") < F.col("blocks") * epochs)
-    s = s.select("slot", "source_no", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
-    small = []
-    for no, r in enumerate(rows, 1):
-        size, words = int(r["source_size"]), words_of_block(r["source_size"], block)
-        if size and words < block:
-            blocks, passes = -(-size // words), int(r["target"] // size)
-            n = min(epochs * blocks, passes * blocks + round((r["target"] - passes * size) / words))
-            small.append((no, n, blocks))
-    if not small:
-        return s
-    t = spark.createDataFrame(small, "source_no int, n bigint, blocks bigint").where("n > 0").withColumn("rank", F.explode(F.expr("sequence(0, n - 1)")))
-    t = t.select(F.expr(f"(2 * rank + 1) * {slots} div (2 * n)").alias("slot"), "source_no", "rank", F.expr("rank % blocks").alias("block"))
-    return s.where(~F.col("source_no").isin([no for no, *_ in small])).unionByName(t)
-
-
-def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:
-    """doc_id, row_key, size, source, source_size, target, taken of every row of docs."""
-    spark = docs.sparkSession
+    size = F.col("source_size")
+    blocks = F.greatest(F.expr(f"(source_size + {block - 1}) div {block}"), F.least(size, F.lit(PARTS)))
+    # held just off halves, so that a count is rounded alike however the sums before it were taken
+    slots = F.when(size > 0, F.floor(F.round(target / size * F.col("blocks"), 6) + 0.5)).otherwise(0).cast("long")
+    one = one.withColumn("blocks", blocks.cast("long")).withColumn("slots", slots)
+    low = F.coalesce(F.sum("slots").over(by_name.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return one.select("source", "source_size", "weight", "target", "blocks", "slots", low.alias("low"), (F.row_number().over(by_name)).alias("source_no"))
+
+
+def van_der_corput(i, bits: int):
+    """The lowest `bits` bits of i mirrored."""
+    return F.conv(F.reverse(F.lpad(F.bin(i), bits, "0")), 2, 10).cast("long")
+
+
+def schedule(per_source: DataFrame, slots: int) -> DataFrame:
+    """slot, source_no, rank, block of each slot of the mix, in the order of slot. Place v of all slots side by side is the
+    van der Corput point of slot v mirrored, so each source makes its own slots, in stretches."""
+    bits = max(1, (slots - 1).bit_length())
+    s = per_source.where("slots > 0").select("source_no", "low", "blocks", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {STRETCH})")).alias("_part"))
+    s = s.repartition("source_no", "_part").select("source_no", "low", "blocks", F.explode(F.expr(f"sequence(_part * {STRETCH}, least(slots, (_part + 1) * {STRETCH}) - 1)")).alias("_v"))
+    s = s.select("source_no", "blocks", van_der_corput(F.col("low") + F.col("_v"), bits).alias("slot"))
+    s = s.withColumn("_stretch", F.expr(f"slot div {STRETCH}")).withColumn("_one", F.lit(1).cast("long"))
+    s = prefix_sum(s, ["source_no"], "_stretch", ["slot"], "_one", "rank")
+    return s.select("slot", "source_no", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = "mix", block: int = BLOCK) -> DataFrame:
+    """doc_id, row_key, size, source, source_size, target, taken of every row of docs; `no_id` tells rows without doc_id apart."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("row_key")), "mix-sizes")
-    total, n = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    per_source = targets(sized, weights, epochs)
-    # One row a source of the mixture, as many as the weights are given for.
-    rows = per_source.orderBy(F.col("source").asc_nulls_last()).collect() if total else []
-    if not rows:
-        return sized.withColumns({"source_size": F.lit(0).cast("long"), "target": F.lit(0.0), "taken": F.lit(0).cast("long")})
-    block = max(1, min(BLOCK, total >> FINE))
-    plan = schedule(spark, rows, -(-total // block), block, epochs)
-    times = plan.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
-    names = {"type": "struct<source:string,source_no:int,source_size:bigint,target:double,words:bigint>"}
-    table = spark.createDataFrame([(r["source"], i + 1, int(r["source_size"]), float(r["target"]), words_of_block(int(r["source_size"]), block)) for i, r in enumerate(rows)], names["type"])
+    no_id = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("row_key"), no_id.alias("no_id")), "mix-sizes")
+    per_source = materialize(targets(sized, weights, epochs, block), "mix-sources")
+    n, slots = sized.count(), per_source.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    times = schedule(per_source, slots).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
     digits = 1
-    while n > 4096 * 16**digits:
+    while n > TOGETHER * 16**digits:
         digits += 1
-    placed = prefix_sum(sized.withColumn("bucket", F.substring("row_key", 1, digits)), ["source"], "bucket", ["row_key", "doc_id", "size"], "size", "start")
-    placed = placed.join(table.withColumnRenamed("source", "_name"), F.col("source").eqNullSafe(F.col("_name"))).drop("_name", "bucket")
-    placed = placed.withColumn("row_no", F.monotonically_increasing_id())
-    placed = materialize(placed, "mix-places")
-    cut = placed.where("size > 0").select("row_no", "source_no", "start", "size", "words", F.explode(F.sequence(F.expr("start div words"), F.expr("(start + size - 1) div words"))).alias("block"))
-    span = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("words")) - F.greatest(F.col("start"), F.col("block") * F.col("words"))
+    placed = prefix_sum(sized.withColumn("bucket", F.substring("row_key", 1, digits)), ["source"], "bucket", ["row_key", "doc_id", "size", "no_id"], "size", "start")
+    placed = placed.join(per_source.withColumnRenamed("source", "_name").drop("weight", "slots", "low"), F.col("source").eqNullSafe(F.col("_name"))).drop("_name", "bucket")
+    placed = materialize(placed.withColumn("row_no", F.monotonically_increasing_id()), "mix-places")
+    # block k of a source holds its words from k * size div blocks on
+    edge = "({} * source_size) div blocks"
+    of = "(cast(({0} + 1) AS decimal(38,0)) * blocks - 1) div source_size"
+    cut = placed.where("size > 0").select("row_no", "source_no", "start", "size", "source_size", "blocks", F.explode(F.expr(f"sequence({of.format('start')}, {of.format('(start + size - 1)')})")).alias("block"))
+    high, low = (F.expr(edge.format(f"cast({k} AS decimal(38,0))")) for k in ("block + 1", "block"))
+    span = (F.least(F.col("start") + F.col("size"), high) - F.greatest(F.col("start"), low)).cast("long")
     taken = cut.withColumn("span", span).join(times, ["source_no", "block"]).groupBy("row_no").agg(F.sum(F.col("span") * F.col("times")).alias("taken"))
     out = placed.join(taken, "row_no", "left")
-    return out.select("doc_id", "row_key", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "row_key", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "no_id")
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:
@@ -126,10 +111,10 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed
     kept; copies carry the doc_id of their document."""
     m = mix(docs, weights, epochs, seed)
     copies = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
-    m = m.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), copies.alias("_copies"))
-    m = m.groupBy("_id", "_size").agg(F.max("_copies").alias("_copies")).where("_copies > 0")
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), n_words(F.col("text")).alias("_n"))
-    j = d.join(m, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
+    m = m.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("no_id").alias("_no_id")).agg(F.max(copies).alias("_copies")).where("_copies > 0")
+    no_id = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), n_words(F.col("text")).alias("_n"), no_id.alias("_key"))
+    j = d.join(m, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")) & F.col("_key").eqNullSafe(F.col("_no_id")))
     return j.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
@@ -138,9 +123,10 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+_MIRRORED = "CAST(list_sum(list_transform(range(0, bits), lambda x: ((p >> x) & 1) * (1::BIGINT << (bits - 1 - x)))) AS BIGINT)"
 ORACLE = f"""
 WITH sized AS (
-  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k,
+  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k, CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) END AS no_id,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 one AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
@@ -153,27 +139,23 @@ filled AS (
          sum(weight) OVER () - coalesce(sum(weight) OVER f, 0) AS shares
   FROM weighed WINDOW f AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 held AS (SELECT *, (SELECT arg_max(level, shares) FROM filled WHERE level * weight <= cap) AS held_at FROM filled),
-aimed AS (SELECT source, source_size, least(held_at * weight, cap::DOUBLE) AS target FROM held),
-total AS (SELECT sum(size)::BIGINT AS words, greatest(1, least({BLOCK}, sum(size)::BIGINT >> {FINE})) AS b FROM sized),
-listed AS (
-  SELECT *, round(coalesce(sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 6) AS low FROM aimed),
-edges AS (SELECT *, coalesce(lead(low) OVER (ORDER BY source NULLS LAST), 1e300) AS high FROM listed),
-slots AS (
-  SELECT i AS slot, CAST(list_sum(list_transform(range(0, {BITS}), lambda x: ((i >> x) & 1) * (1::BIGINT << ({BITS - 1} - x)))) AS DOUBLE)
-                    / {float(2**BITS)} * (SELECT words FROM total) AS point
-  FROM (SELECT unnest(range(0, (SELECT (words + b - 1) // b FROM total))) AS i)),
-ranked AS (
-  SELECT e.source, e.source_size, row_number() OVER (PARTITION BY e.source ORDER BY slot) - 1 AS r
-  FROM slots s JOIN edges e ON s.point >= e.low AND s.point < e.high),
-cycled AS (SELECT source, r % ((source_size + b - 1) // b) AS block FROM ranked, total WHERE r < 3 * ((source_size + b - 1) // b)),
-times AS (SELECT source, block, count(*) AS times FROM cycled GROUP BY ALL),
+aimed AS (SELECT source, source_size, least(held_at * weight, cap::DOUBLE) AS target,
+                 greatest((source_size + {BLOCK - 1}) // {BLOCK}, least(source_size, {PARTS}))::BIGINT AS blocks FROM held),
+counted AS (SELECT *, CASE WHEN source_size > 0 THEN floor(round(target / source_size * blocks, 6) + 0.5) ELSE 0 END::BIGINT AS slots FROM aimed),
+listed AS (SELECT *, coalesce(sum(slots) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low FROM counted),
+width AS (SELECT greatest(1, ceil(log2(greatest(2, sum(slots))))::INT) AS bits FROM counted),
+points AS (SELECT source, blocks, low + unnest(range(0, slots)) AS p FROM listed WHERE slots > 0),
+ranked AS (SELECT source, blocks, row_number() OVER (PARTITION BY source ORDER BY {_MIRRORED}) - 1 AS r FROM points, width),
+times AS (SELECT source, r % blocks AS block, count(*) AS times FROM ranked GROUP BY ALL),
 placed AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id NULLS FIRST, size, no_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
          row_number() OVER () AS row_no FROM sized),
-cut AS (SELECT row_no, source, start, size, unnest(range(start // b, (start + size - 1) // b + 1)) AS block FROM placed, total WHERE size > 0),
+cut AS (
+  SELECT row_no, p.source, start, size, source_size, blocks, unnest(range((((start + 1)::HUGEINT * blocks - 1) // source_size)::BIGINT, (((start + size)::HUGEINT * blocks - 1) // source_size + 1)::BIGINT)) AS block
+  FROM placed p JOIN aimed a ON p.source IS NOT DISTINCT FROM a.source WHERE size > 0),
 took AS (
-  SELECT row_no, sum((least(start + size, (cut.block + 1) * b) - greatest(start, cut.block * b)) * times)::BIGINT AS taken
-  FROM cut JOIN times ON cut.block = times.block AND cut.source IS NOT DISTINCT FROM times.source, total GROUP BY row_no)
+  SELECT row_no, sum((least(start + size, (cut.block + 1)::HUGEINT * source_size // blocks) - greatest(start, cut.block::HUGEINT * source_size // blocks)) * times)::BIGINT AS taken
+  FROM cut JOIN times ON cut.block = times.block AND cut.source IS NOT DISTINCT FROM times.source GROUP BY row_no)
 SELECT p.doc_id, p.size, a.source_size, a.target, coalesce(t.taken, 0)::BIGINT AS taken
 FROM placed p JOIN aimed a ON p.source IS NOT DISTINCT FROM a.source LEFT JOIN took t ON t.row_no = p.row_no
 """

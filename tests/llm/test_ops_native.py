@@ -86,18 +86,36 @@ def test_mix_reaches_targets(docs):
     assert sorted(map(key, rows)) == sorted(map(key, again))
 
 
-def test_small_sources_keep_their_share(spark, no_docs, monkeypatch):
-    """Blocks of 8192 words, as on a large table."""
-    monkeypatch.setattr(mixing, "FINE", 0)
-    sizes = {"a": 300_000, "b": 800, "c": 2000, "d": 10_000, "e": 1, "f": 400_000}
+def test_sources_of_every_size(spark, no_docs):
+    """From one word to ten million: half a block off the target at most."""
+    sizes = {"a": 10_000_000, "b": 800, "c": 2000, "d": 10_000, "e": 1, "f": 30, "g": 123_457, "h": 7, None: 99}
     rows = [(k, "w " * n, None, s, None) for k, (s, size) in enumerate(sizes.items()) for n in [size // 5] * 5 + [size % 5]]
     taken = Counter()
     for r in mixing.mix(spark.createDataFrame(rows, no_docs.schema)).collect():
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
     want = brute_targets(sizes)
-    for s in "bcde":
-        assert taken[s] == pytest.approx(want[s], rel=0.02), s
+    for s, size in sizes.items():
+        blocks = max(-(-size // mixing.BLOCK), min(size, mixing.PARTS))
+        assert abs(taken[s] - want[s]) <= size / blocks / 2 + 2, s
+        assert want[s] < 50 or taken[s] == pytest.approx(want[s], rel=0.01), s
+
+
+def test_slots_are_spread(spark, no_docs):
+    """Any stretch of the mix has a source in about its share."""
+    sizes = {"a": 40_000, "b": 5000, "c": 900}
+    rows = [(k, "w " * n, None, s, None) for k, (s, n) in enumerate(sizes.items())]
+    sized = spark.createDataFrame(rows, no_docs.schema).selectExpr("source", "cast(length(text) / 2 AS bigint) AS size")
+    per = mixing.targets(sized).collect()
+    n = sum(r["slots"] for r in per)
+    slots = sorted(mixing.schedule(mixing.targets(sized), n).collect())
+    assert len(slots) == n == len({r["slot"] for r in slots})
+    for r in per:
+        own = [s for s in slots if s["source_no"] == r["source_no"]]
+        assert [s["rank"] for s in own] == list(range(r["slots"])) and all(s["block"] == s["rank"] % r["blocks"] for s in own)
+        for lo in range(0, n - 60, 60):
+            got = sum(s["source_no"] == r["source_no"] for s in slots[lo : lo + 60])
+            assert abs(got - 60 * r["slots"] / n) <= 10
 
 
 def test_mix_edges(spark, no_docs):
@@ -115,8 +133,8 @@ def test_mixed_documents(docs):
 
 
 def test_van_der_corput(spark):
-    got = [r[0] for r in spark.range(8).select(mixing.van_der_corput(F.col("id"))).collect()]
-    assert got == [0, 0.5, 0.25, 0.75, 0.125, 0.625, 0.375, 0.875]
+    got = [r[0] for r in spark.range(8).select(mixing.van_der_corput(F.col("id"), 3)).collect()]
+    assert got == [0, 4, 2, 6, 1, 5, 3, 7]
 
 
 CASES = [
