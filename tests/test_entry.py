@@ -3,6 +3,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from survista.plans import queries_more
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -19,7 +20,7 @@ def test_entry(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["aev_gompertz_lives", "aev_table_lookup", "aev_overlapping_breakdown", "simulate_hash_uniform", "fit_disjoint_groups", "chart_status"])
+@pytest.mark.parametrize("name", ["aev_gompertz_lives", "aev_table_lookup", "aev_overlapping_breakdown", "simulate_hash_uniform", "fit_disjoint_groups", "chart_status", *queries_more.ORACLE])
 def test_against_sql(spark, name):
     import duckdb
 
