@@ -238,12 +238,29 @@ def test_fold():
 
 
 def test_logs(spark):
+    schema = "conv_id bigint, seq bigint, op string, message bigint, role string, text string"
     rows = [(1, 3, "delta", 1, None, "c"), (1, 1, "append", 1, "assistant", "a"), (1, 2, "delta", 1, None, "b"), (2, 1, None, 1, None, None), (None, 1, "append", 1, "user", "x")]
-    got = {r["conv_id"]: (r["n_messages"], chat.parse(r["formatted"])) for r in chat.format_events(spark.createDataFrame(rows, chat.EVENTS)).collect()}
+    got = {r["conv_id"]: (r["n_messages"], chat.parse(r["formatted"])) for r in chat.format_events(spark.createDataFrame(rows, schema)).collect()}
     assert got == {1: (1, [("assistant", "abc")]), 2: (1, [("", "")]), None: (1, [("user", "x")])}
-    back = {r["conv_id"]: r for r in chat.read_back(chat.format_events(spark.createDataFrame(rows, chat.EVENTS))).collect()}
+    back = {r["conv_id"]: r for r in chat.read_back(chat.format_events(spark.createDataFrame(rows, schema))).collect()}
     assert back[1]["loss_chars"] == 3 and back[1]["loss_sha256"] == hashlib.sha256(b"abc").hexdigest()
-    assert chat.format_events(spark.createDataFrame([], chat.EVENTS)).count() == 0
+    assert chat.format_events(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_turns_are_rebuilt_from_their_events(spark):
+    rng = random.Random(8)
+    rows = [(f"c{rng.randrange(5)}", rng.randrange(6), rng.choice(["user", "assistant", None]), rng.choice([None, "", "a", "<|end|>", "some longer text é日本"]), "extra") for _ in range(60)]
+    rows += rows[:3] + [(None, 1, "assistant", "x" * 200_000, "extra")]
+    turns = spark.createDataFrame(rows, "conv_id string, turn bigint, role string, text string, seq string").repartition(3)
+    events = chat.events_of_turns(turns.select("conv_id", "turn", "role", "text"))
+    assert {r["op"] for r in events.collect()} == {chat.APPEND, chat.DELTA, chat.EDIT, chat.REGENERATE}
+    want = {}
+    key = lambda r: (r[1], r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")
+    for r in sorted(rows, key=key):
+        want.setdefault(r[0], []).append((r[2] or "", r[3] or ""))
+    for together in (True, False):
+        got = {r["conv_id"]: chat.parse(r["formatted"]) for r in chat.format_events(events, together).collect()}
+        assert got == want
 
 
 # ---- packing ----
@@ -270,6 +287,23 @@ def test_bins_and_bound(lengths):
     assert len(fill) <= 1.3 * packing.lower_bound(lengths, 100) + 1
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=8))
+def test_bound_by_every_packing(lengths):
+    """The fewest bins of any packing lie between the bound and best fit decreasing."""
+
+    def fewest(rest, bins):
+        if not rest:
+            return len(bins)
+        best = len(bins) + len(rest)
+        for k in {*(next(j for j, y in enumerate(bins) if y == b) for b in bins if b + rest[0] <= 20)}:
+            best = min(best, fewest(rest[1:], (*bins[:k], bins[k] + rest[0], *bins[k + 1 :])))
+        return min(best, fewest(rest[1:], (*bins, rest[0])))
+
+    least = fewest(tuple(sorted(lengths, reverse=True)), ())
+    assert packing.lower_bound(lengths, 20) <= least <= len(set(packing.best_fit_decreasing(lengths, 20)))
+
+
 def test_bound_knows_big_pieces():
     assert packing.lower_bound([51] * 10, 100) == 10 and packing.lower_bound([34] * 9, 100) == 5
 
@@ -295,6 +329,9 @@ def test_packing_is_whole(docs, no_docs, monkeypatch):
     least = -(-sum(r["length"] for r in got) // 64)
     assert len(spans) <= 1.05 * least + 2
     assert packing.packed(no_docs).count() == 0
+    clash = docs.withColumnsRenamed({"lang": "piece_no", "source": "length"})
+    got = packing.packed(clash, keep=["doc_id", "piece_no", "length"], capacity=64)
+    assert got.columns == ["doc_id", "piece_no", "length", *packing.PIECE, "sequence_id", "offset"] and {r[1] for r in got.collect()} == {"en", None}
 
 
 def test_exchange_rounds(spark):
