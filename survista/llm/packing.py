@@ -12,8 +12,8 @@ Tokenization keeps, per worker, a bounded table of words already seen: a word's
 its neighbours, as the tokenizer's pieces never cross white space.
 
 Defined results: null text is empty and packs as its end token alone; repeated rows are packed each
-for itself; ties of length are broken by piece number; an empty table gives an empty table; extra
-columns are ignored.
+for itself; ties of length are broken by piece number; a very long text is tokenized whole and cut
+into whole sequences; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,16 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from survista.llm.common import materialize
+from survista.llm.common import bytes_of, materialize, slices
 
 CAPACITY = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Words a worker remembers before it starts over.
 REMEMBERED = 600_000
-#: Pieces packed together in the first round.
+#: Pieces packed together in a round, on the average.
 DEALT = 50_000
-ROUNDS = 4
+#: A deal with a gap of g bins gives up its (g + 1) * LOOSENED emptiest ones, as much as may mix with what others give up.
+LOOSENED = 8
+#: Bins of one deal at most, as numbers of sequences are made: far beyond what DEALT pieces fill.
+BINS = 1 << 24
 
 
 class Words:
@@ -96,6 +99,9 @@ def words(path: str) -> Words:
     return _WORDS[path]
 
 
+PIECE = ["piece", "start", "length", "ids_crc32"]
+
+
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end: int = END, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs with piece, start, length, ids_crc32: one row a piece, each text read once."""
     keep = keep or ["doc_id"]
@@ -103,14 +109,14 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
     kept = [f for f in src.schema.fields if f.name != "_text"]
     from pyspark.sql import types as T
 
-    out = T.StructType(kept + [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+    out = T.StructType(kept + [T.StructField("_piece", T.IntegerType()), T.StructField("_start", T.LongType()), T.StructField("_length", T.LongType()), T.StructField("_crc", T.LongType())])
     mark = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         table = words(public_tokenizers.path(vocabulary))
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, bytes_of(whole.column(0)))):
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(b.column(0)):
                 ids = table.ids(text.as_py() or "") + mark
@@ -126,11 +132,11 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
             cols = [b.column(j + 1).take(at) for j in range(len(kept))]
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                [*[f.name for f in kept], "piece", "start", "length", "ids_crc32"],
+                [f.name for f in out.fields],
             )
 
     done = src.mapInArrow(run, out)
-    return done.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "piece", "start", "length", "ids_crc32")
+    return done.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f.name).alias(c) for f, c in zip(out.fields[len(kept) :], PIECE, strict=True)])
 
 
 def lower_bound(lengths: list[int], capacity: int) -> int:
@@ -186,10 +192,12 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
     return out
 
 
-PLACED = "piece_no bigint, length bigint, sequence string, offset bigint, again boolean"
+PLACED = "piece_no bigint, length bigint, sequence_id bigint, offset bigint, again boolean"
 
 
-def _packer(capacity: int, tag: str):
+def _packer(capacity: int, base: int):
+    """base: deals of the rounds before, so that no two deals number sequences alike."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One partition: a bounded deal of pieces."""
         number, length, deal = [], [], []
@@ -209,53 +217,49 @@ def _packer(capacity: int, tag: str):
                 at.append(fill.get(b, 0))
                 fill[b] = at[-1] + size[i]
             gap = len(fill) - lower_bound(size, capacity)
-            # a gap of g bins: what the g + 1 emptiest bins hold, and as much of the next as may mix with it
-            worst = set(sorted(fill, key=lambda b: (fill[b], b))[: 8 * (gap + 1)]) if gap > 0 else set()
+            worst = set(sorted(fill, key=lambda b: (fill[b], b))[: LOOSENED * (gap + 1)]) if gap > 0 else set()
             loose = {b for b in worst if fill[b] < capacity}
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([number[i] for i in rows], pa.int64()), pa.array(size, pa.int64()), pa.array([f"{tag}-{d}-{b}" for b in where], pa.string()),
+                    pa.array([number[i] for i in rows], pa.int64()), pa.array(size, pa.int64()), pa.array([(base + d) * BINS + b for b in where], pa.int64()),
                     pa.array(at, pa.int64()), pa.array([b in loose for b in where], pa.bool_()),
                 ],
-                ["piece_no", "length", "sequence", "offset", "again"],
+                ["piece_no", "length", "sequence_id", "offset", "again"],
             )
 
     return run
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, dealt: int = DEALT, rounds: int = ROUNDS) -> DataFrame:
-    """sequence_id and offset for the rows of cut, which has a bigint piece_no (distinct) and length."""
-    whole = cut.where(F.col("length") >= capacity).select("piece_no", "length", F.concat(F.lit("w-"), F.col("piece_no")).alias("sequence"), F.lit(0).cast("long").alias("offset"))
-    loose, done, before = cut.where(F.col("length") < capacity).select("piece_no", "length"), [whole], None
-    for k in range(rounds):
-        n, total = loose.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+def pack(cut: DataFrame, capacity: int = CAPACITY, dealt: int = DEALT, rounds: int | None = None) -> DataFrame:
+    """sequence_id and offset for the rows of cut, which has a bigint piece_no (distinct, from 0) and length. Full pieces
+    are sequences numbered below 0, those of a deal have a range of their own. `rounds` ends the exchange early."""
+    whole = cut.where(F.col("length") >= capacity).select("piece_no", (-1 - F.col("piece_no")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    loose, out, before, base, k = cut.where(F.col("length") < capacity).select("piece_no", "length"), whole, None, 0, 0
+    while True:
+        n = loose.count()
         if not n:
-            break
+            return out
         deals = max(1, -(-n // dealt))
         # small deals, so that a partition's rows fit its memory whatever the table's size
-        dealt_out = loose.withColumn("deal", F.pmod(F.xxhash64("piece_no", F.lit(k)), F.lit(deals)).cast("int")).repartition(deals, "deal")
-        placed = materialize(dealt_out.mapInArrow(_packer(capacity, str(k)), PLACED), f"pack-{k}")
-        last = k == rounds - 1 or deals == 1
-        if last:
-            done.append(placed.drop("again"))
-            break
-        bins, least = placed.where("again").agg(F.count_distinct("sequence"), F.ceil(F.sum("length") / capacity)).first()
-        if not bins or bins <= (least or 0) or (before is not None and bins >= before):
-            done.append(placed.drop("again"))
-            break
-        before = bins
-        done.append(placed.where("NOT again").drop("again"))
-        loose = placed.where("again").select("piece_no", "length")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("piece_no", F.xxhash64("sequence").alias("sequence_id"), "offset")
+        dealt_out = loose.withColumn("deal", F.pmod(F.xxhash64("piece_no", F.lit(k)), F.lit(deals)).cast("long")).repartition(deals, "deal")
+        placed = materialize(dealt_out.mapInArrow(_packer(capacity, base), PLACED), f"pack-{k}")
+        k, base = k + 1, base + deals
+        bins, least = placed.where("again").agg(F.count_distinct("sequence_id"), F.ceil(F.sum("length") / capacity)).first()
+        # no gap left, one partition alone, or nothing gained: else every round has fewer bins to exchange
+        if deals == 1 or k == rounds or not bins or bins <= least or (before is not None and bins >= before):
+            return out.unionByName(placed.select("piece_no", "sequence_id", "offset"))
+        out = out.unionByName(placed.where("NOT again").select("piece_no", "sequence_id", "offset"))
+        loose, before = placed.where("again").select("piece_no", "length"), bins
 
 
 def packed(docs: DataFrame, keep: list[str] | None = None, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
-    """One row a piece: the columns `keep`, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = materialize(pieces(docs, vocabulary, capacity, keep=keep).withColumn("piece_no", F.monotonically_increasing_id()), "pack-pieces")
-    return cut.join(pack(cut, capacity), "piece_no").drop("piece_no")
+    """One row a piece: the columns `keep`, then PIECE, sequence_id, offset; a kept column may be called like one of these."""
+    keep = keep or ["doc_id"]
+    cut = pieces(docs, vocabulary, capacity, keep=keep)
+    cut = cut.toDF(*[f"_k{i}" for i in range(len(keep))], *PIECE).withColumn("piece_no", F.monotonically_increasing_id())
+    cut = materialize(cut, "pack-pieces")
+    placed = pack(cut.select("piece_no", "length"), capacity)
+    return cut.join(placed, "piece_no").select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *PIECE, "sequence_id", "offset")
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:
