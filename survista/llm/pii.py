@@ -4,15 +4,16 @@ One pattern finds addresses of mail, network addresses, telephone, card, social-
 numbers, and names after a form of address. Each entity has a key: its kind and canonical form (case,
 spacing and country prefix aside), so that all its mentions agree. A keyed digest of that key makes the surrogate:
 digits for digits and letters for letters of the same script and case (ASCII ones for scripts without an
-alphabet here); an address of mail that stays taken grows longer; octets in range; card
+alphabet here); addresses of mail and numbers that stay taken grow longer; octets in range; card and bank
 numbers with the checksum class of the original; given names with the gender that the form of address
-tells. Surrogates are drawn for the distinct entities of the whole corpus; one that equals another's surrogate,
+tells, or, where it tells none, the one that other mentions of the name in the corpus have more often. Words of a name
+found so are replaced where they stand bare in the same text, too. Surrogates are drawn for the distinct entities of the whole corpus; one that equals another's surrogate,
 or any original, is drawn again, until all are distinct. Mentions are then set in place, their own
 punctuation kept.
 
 Defined results: null text stays null and has no entity; text without entities is unchanged; overlapping
-candidates go to the leftmost, then to the kind listed first; repeated rows are rewritten alike; an
-empty table gives an empty table; other columns are carried along untouched.
+candidates go to the leftmost, then to the kind listed first; repeated rows are rewritten alike; a very
+long text is rewritten whole; an empty table gives an empty table; other columns are carried along untouched.
 """
 
 from __future__ import annotations
@@ -45,8 +46,12 @@ SCRIPTS = {
     "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "Hebrew": "אבגדהוזחטיכלמנסעפצקרשת", "Thai": "กขคงจฉชซญดตถทธนบปผพฟภมยรลวสหอ", "Devanagari": "अआइईउऊएओकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह",
     "Latin": "āăąćĉċčďđēĕėęěĝğġģĥīĭįĵķĺļľłńņňōŏőŕřśŝşšţťũūŭůűųŵŷźżž", "Cyrillic": "ёђѓєѕіїјљњћќўџґ", "Greek": "άέήίόύώϊϋ",
 }
-#: Draws of an address of mail before its local part grows by a character, and by one more after as many again.
-PATIENCE = 4
+#: Draws of an address of mail before its local part grows by a character, and by one more after as many again; of a number, by a digit.
+PATIENCE, NUMBERS = 4, 16
+#: Draws after which entities without a free surrogate are an error.
+ATTEMPTS = 400
+#: A word as names have them.
+NAME_WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
 
 SYLLABLES = {
     "latin": (["Al", "Be", "Cor", "Da", "El", "Fa", "Ge", "Ha", "Is", "Jo", "Ka", "Lu", "Ma", "No", "Ro", "Ti"], ["ba", "de", "fi", "go", "ka", "le", "mi", "no", "ra", "se", "ti", "va", "ne", "lo", "da", "ri"], {"m": "n", "f": "na", "n": "s", "s": "ter"}),
@@ -102,6 +107,12 @@ def _luhn(number: str) -> str:
     return f"aggregate(sequence(1, length({number})), 0L, (a, i) -> a + IF(i % 2 = 0, (2 * {x}) % 10 + (2 * {x}) div 10, {x}))"
 
 
+def _mod97(number: str) -> str:
+    """The remainder of a number whose letters stand for 10 to 35."""
+    step = "IF(c BETWEEN '0' AND '9', (a * 10 + cast(c AS bigint)) % 97, (a * 100 + ascii(c) - 55) % 97)"
+    return f"aggregate(filter(split({number}, ''), c -> c <> ''), 0L, (a, c) -> {step})"
+
+
 def _name(script: str, gender: str) -> str:
     first, middle, last = SYLLABLES[script]
     part = lambda xs, no: f"element_at(array({', '.join(map(quoted, xs))}), cast(1 + {_number(f'''concat(seed, '/{no}')''', str(len(xs)))} AS int))"
@@ -118,14 +129,18 @@ def surrogate(key: str) -> Column:
     longer = f"substr(sha2(concat(seed, '/more'), 256), 1, cast(attempt div {PATIENCE} AS int))"
     email = f"concat({_letters('''substring_index(canon, '@', 1)''', 'seed')}, {longer}, '@', {_letters(host, f'''concat({quoted(key)}, '|domain|', {domain})''')}, '.', substring_index({domain}, '.', -{kept}))"
     ip = f"concat_ws('.', 1 + {_number('''concat(seed, '/a')''', '223')}, {_number('''concat(seed, '/b')''', '256')}, {_number('''concat(seed, '/c')''', '256')}, 1 + {_number('''concat(seed, '/d')''', '254')})"
-    body = f"concat(substr(canon, 1, 1), {_digits('seed', 'length(canon) - 2')})"
+    more = f"cast(attempt div {NUMBERS} AS int)"
+    body = f"concat(substr(canon, 1, 1), {_digits('seed', f'length(canon) - 2 + {more}')})"
     card = f"transform(array({body}), b -> concat(b, pmod({_luhn('canon')} - {_luhn('''concat(b, '0')''')}, 10)))[0]"
-    exchange = "length(canon) = 10 AND substr(canon, 4, 3) = '555'"
-    phone = f"transform(array({_digits('seed', 'length(canon)')}), d -> concat(2 + cast(substr(d, 1, 1) AS int) % 8, substr(d, 2, 2), IF({exchange}, '555', substr(d, 4, 3)), substr(d, 7)))[0]"
-    iban = f"concat(substr(canon, 1, 2), {_letters('substr(canon, 3)', 'seed')})"
+    # an exchange that is not in use, while it has numbers left
+    exchange = "length(canon) = 10 AND substr(canon, 4, 3) = '555' AND attempt < 2"
+    phone = f"transform(array({_digits('seed', f'length(canon) + {more}')}), d -> concat(2 + cast(substr(d, 1, 1) AS int) % 8, substr(d, 2, 2), IF({exchange}, '555', substr(d, 4, 3)), substr(d, 7)))[0]"
+    check = f"lpad(pmod({_mod97('concat(substr(canon, 5), substr(canon, 1, 4))')} - {_mod97('''concat(b, substr(canon, 1, 2), '00')''')}, 97), 2, '0')"
+    iban = f"transform(array({_letters('substr(canon, 5)', 'seed')}), b -> concat(substr(canon, 1, 2), {check}, b))[0]"
+    ssn = _digits("seed", f"9 + {more}")
     script = lambda g: f"CASE WHEN canon RLIKE '\\\\p{{IsCyrillic}}' THEN {_name('cyrillic', g)} WHEN canon RLIKE '\\\\p{{IsGreek}}' THEN {_name('greek', g)} ELSE {_name('latin', g)} END"
     names = " ".join(f"WHEN '{g}' THEN {script(g)}" for g in "mfns")
-    each = f"CASE kind WHEN 'email' THEN {email} WHEN 'ip' THEN {ip} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} WHEN 'ssn' THEN {_digits('seed', '9')} WHEN 'iban' THEN {iban} {names} END"
+    each = f"CASE kind WHEN 'email' THEN {email} WHEN 'ip' THEN {ip} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} WHEN 'ssn' THEN {ssn} WHEN 'iban' THEN {iban} {names} END"
     return F.expr(f"transform(array({seed}), seed -> {each})[0]")
 
 
@@ -146,6 +161,8 @@ def assign(keys: DataFrame, key: str = KEY) -> DataFrame:
         pending = pending.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti")
         if pending.isEmpty():
             return accepted.withColumnRenamed("drawn", "surrogate")
+        if attempt == ATTEMPTS:
+            raise ValueError(f"no free surrogate is left for {', '.join(sorted(r[0] for r in pending.select('kind').distinct().collect()))}")
         pending, attempt = materialize(pending, "pii-pending"), attempt + 1
 
 
@@ -154,7 +171,17 @@ RENDER = f"""CASE k
   WHEN 'email' THEN IF(e = upper(e), upper(s[0]), s[0]) WHEN 'ip' THEN s[0]
   WHEN 'name' THEN concat_ws(' ', {TITLE}, array_join(s, ' '))
   WHEN 'iban' THEN transform(array(split(e, '[A-Z0-9]', -1)), p -> concat(array_join(zip_with(slice(p, 1, size(p) - 1), filter(split(s[0], ''), c -> c <> ''), (x, c) -> concat(x, c)), ''), p[size(p) - 1]))[0]
-  ELSE transform(array(split(e, '\\\\d', -1)), p -> concat(array_join(zip_with(slice(p, 1, size(p) - 1), filter(split(concat(left({DIGITS}, length({DIGITS}) - length(s[0])), s[0]), ''), c -> c <> ''), (x, c) -> concat(x, c)), ''), p[size(p) - 1]))[0] END"""
+  ELSE transform(array(struct(split(e, '\\\\d', -1) AS p, concat(left({DIGITS}, length({DIGITS}) - length(s[0])), s[0]) AS d)),
+    x -> concat(array_join(zip_with(slice(x.p, 1, size(x.p) - 1), slice(filter(split(x.d, ''), c -> c <> ''), 1, size(x.p) - 1), (y, c) -> concat(y, c)), ''), substr(x.d, size(x.p)), x.p[size(x.p) - 1]))[0] END"""
+#: A piece p of text between entities, split into `gaps` and `words`, with the words of the map `_bare` replaced.
+BARE = """array_join(zip_with(gaps, words, (g, w) -> concat(g, coalesce(coalesce(_bare[w], IF(w RLIKE "['’]s$", concat(_bare[left(w, length(w) - 2)], right(w, 2)), NULL)), w, ''))), '')"""
+
+
+def _known_genders(pairs: DataFrame) -> DataFrame:
+    """pairs with given names after a neutral form of address under the gender that most other mentions of the name tell."""
+    told = pairs.where("kind IN ('m', 'f')").groupBy("canon").agg(F.expr("IF(count_if(kind = 'f') >= count_if(kind = 'm'), 'f', 'm')").alias("told"))
+    neutral = pairs.where("kind = 'n'").join(told, "canon", "left").withColumn("kind", F.coalesce("told", "kind"))
+    return pairs.where("kind <> 'n'").unionByName(neutral.select(pairs.columns))
 
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -166,13 +193,20 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     keyed = some.select("_no", F.explode(F.array_distinct("_found")).alias("e")).withColumn("k", F.expr(KIND)).withColumn("keys", F.expr(KEYS))
     pairs = keyed.select("_no", F.posexplode("keys").alias("i", "key"), "e", "k")
     pairs = pairs.select("_no", "e", "k", "i", F.substring_index("key", ":", 1).alias("kind"), F.expr("substr(key, instr(key, ':') + 1)").alias("canon"))
-    pairs = materialize(pairs, "pii-mentions")
+    pairs = materialize(_known_genders(materialize(pairs, "pii-mentions")), "pii-keys")
     table = assign(pairs.select("kind", "canon"), key)
-    parts = pairs.join(table, ["kind", "canon"]).groupBy("_no", "e", "k").agg(F.sort_array(F.collect_list(F.struct("i", "surrogate"))).alias("s"))
-    ready = parts.withColumn("s", F.expr("transform(s, x -> x.surrogate)")).select("_no", F.struct("e", F.expr(RENDER).alias("to")).alias("pair"))
-    maps = ready.groupBy("_no").agg(F.map_from_entries(F.collect_list("pair")).alias("_map"))
+    parts = pairs.join(table, ["kind", "canon"]).groupBy("_no", "e", "k").agg(F.sort_array(F.collect_list(F.struct("i", "surrogate", "canon"))).alias("s"))
+    bare = F.expr("IF(k = 'name', transform(s, x -> struct(x.canon AS word, x.surrogate AS `to`)), array())").alias("bare")
+    ready = parts.select("_no", "e", "k", bare, F.expr("transform(s, x -> x.surrogate)").alias("s")).select("_no", F.struct("e", F.expr(RENDER).alias("to")).alias("pair"), "bare")
+    # a word that is a given name here and a surname there has one surrogate where it stands bare
+    one = "array_sort(flatten(collect_list(bare)), (x, y) -> CASE WHEN x < y THEN -1 WHEN x > y THEN 1 ELSE 0 END)"
+    maps = ready.groupBy("_no").agg(F.map_from_entries(F.collect_list("pair")).alias("_map"), F.expr(one).alias("bare"))
+    maps = maps.select("_no", "_map", F.expr("map_from_entries(filter(bare, (x, i) -> i = 0 OR bare[i - 1].word <> x.word))").alias("_bare"))
     pieces = F.split(F.col("_row.text"), ENTITY, -1)
     new = some.join(maps, "_no").withColumn("_parts", pieces)
+    words = f"""transform(_parts, p -> struct(split(p, {quoted(NAME_WORD)}, -1) AS gaps, regexp_extract_all(p, {quoted(NAME_WORD)}, 0) AS words))"""
+    spoken = f"""transform({words}, q -> {BARE.replace('gaps', 'q.gaps').replace('words', 'q.words')})"""
+    new = new.withColumn("_parts", F.expr(f"IF(size(_bare) > 0, {spoken}, _parts)"))
     text = F.expr("concat(array_join(zip_with(slice(_parts, 1, size(_found)), _found, (p, e) -> concat(p, _map[e])), ''), _parts[size(_found)])")
     columns = lambda body: [body.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns]
     done = new.select(*columns(text), F.size("_found").alias("n_entities"))

@@ -194,6 +194,45 @@ def test_more_addresses_than_letters(spark):
     assert len({r["surrogate"] for r in got}) == 150 and not {r["surrogate"] for r in got} & {r["canon"] for r in got}
 
 
+def test_names_refer_alike(spark):
+    """A name after a neutral form of address goes by its gender elsewhere, and bare words of a name in the same text go along."""
+    texts = ["Ms Jane Smith-Jones spoke. Later Jane and Smith-Jones’s friend O'Neil left; janet stayed.", "Dr Jane Smith-Jones again", "Jane alone is no entity", "Prof. Kim O'Neil, O'Neil's own"]
+    got = {r[0]: r[1] for r in pii.replace_entities(spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")).collect()}
+    m = re.fullmatch(r"Ms (\w+) (\w+) spoke. Later (\w+) and (\w+)’s friend O'Neil left; janet stayed.", got[0])
+    assert m and m[1] == m[3] != "Jane" and m[2] == m[4] and m[1].endswith("na")
+    assert got[1] == f"Dr {m[1]} {m[2]} again" and got[2] == texts[2]
+    k = re.fullmatch(r"Prof. (\w+) (\w+), (\w+)'s own", got[3])
+    assert k and k[2] == k[3]
+
+
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_bank_numbers_keep_their_check(spark):
+    texts = ["DE44 5001 0517 5407 3249 31", "GB29NWBK60161331926819", "FR14 2004 1010 0505 0001 3M02 606", "DE00 5001 0517 5407 3249 31"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    for r in pii.replace_entities(df).collect():
+        old, new = (t.replace(" ", "") for t in (texts[r[0]], r["text"]))
+        assert new != old and new[:2] == old[:2] and len(new) == len(old) and mod97(new) == mod97(old)
+
+
+def test_numbers_grow_when_taken(spark, monkeypatch):
+    """More numbers of a form than it has surrogates: 80,000 for five digits."""
+    keys = spark.range(95_000).select(F.lit("phone").alias("kind"), F.lpad(F.col("id").cast("string"), 5, "0").alias("canon"))
+    got = pii.assign(keys).agg(F.count(F.lit(1)), F.count_distinct("surrogate"), F.max(F.length("surrogate"))).first()
+    assert got[0] == got[1] == 95_000 and got[2] > 5
+    with pytest.raises(ValueError, match="no free surrogate"):
+        monkeypatch.setattr(pii, "ATTEMPTS", 0)
+        pii.assign(keys.limit(3000))
+
+
+def test_repeated_and_long_texts(spark):
+    long = "mail a.b@c.example.com " + "word " * 200_000 + "a.b@c.example.com"
+    got = [r["text"] for r in pii.replace_entities(spark.createDataFrame([(1, long), (1, long), (2, "a.b@c.example.com")], "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    assert got[0] == got[1] and got[0].split()[1] == got[0].split()[-1] == got[2] != "a.b@c.example.com" and len(got[0].split()) == 200_003
+
+
 def test_pii_of_nothing(no_docs):
     assert pii.replace_entities(no_docs).count() == 0
 
