@@ -90,6 +90,35 @@ class Ranges:
         return mix(self.raw(start, end))
 
 
+def word_hashes(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words (runs of bytes other than space, \\t to \\r) of texts that stand end to end."""
+    gap = (b == 32) | ((b >= 9) & (b <= 13))
+    n = len(b)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    before = np.ones(n, bool)
+    before[1:] = gap[:-1]
+    before |= edge[:n]
+    after = np.ones(n, bool)
+    after[:-1] = gap[1:]
+    after |= edge[1 : n + 1]
+    start, end = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(start):  # a long text some PART bytes at a time, cut between words
+        stop = max(at + 1, int(np.searchsorted(end, start[at] + PART, side="right")))
+        lo = start[at]
+        out.append(Ranges(b[lo : end[stop - 1]]).of(start[at:stop] - lo, end[at:stop] - lo))
+        at = stop
+    return start, np.concatenate(out) + mix((end - start).astype(np.uint64))
+
+
+def windows(word: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of `size` words."""
+    n = max(0, len(word) - size + 1)
+    turn = mix(np.uint64(7919) * np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
+    return mix(sum((word[k : n + k] * turn[k] for k in range(size)), np.zeros(n, np.uint64)))
+
+
 def parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive rows of a string column, null as empty, some PART bytes each."""
     column = column.fill_null("") if column.null_count else column

@@ -411,10 +411,12 @@ def test_blocks():
     page = """<!DOCTYPE html><head><title>T</title><script>var a="<p>no</p>";</script></head><body class="nav-open"><nav>Menu</nav><header>Site</header>
       <article><h1>One &amp; two</h1><p>a <b>bo</b>ld<br>line<!-- no --><div class="ad-slot">Buy</div><p>un<i>closed<p>c&#8364;<section id="comments"><p>Reader</p></section></article>
       <aside>Side</aside><div class="cookie-notice">Cookies</div><form>Go</form><footer>Foot</footer>"""
-    main, rest = html.blocks(page)
+    main, rest, gone = html.blocks(page)
     assert " ".join(main) == "One & two a bold line unclosed c€" and rest == []
+    assert gone == ["Menu", "Site", "Buy", "Reader", "Side", "Cookies", "Go", "Foot"]
     assert html.blocks("plain a < b &lt; c")[1] == ["plain a < b < c"]
-    assert html.blocks("") == ([], []) and html.blocks("<p>x<nav>y")[1] == ["x"]
+    assert html.blocks("") == ([], [], []) and html.blocks("<p>x<nav>y")[1:] == (["x"], ["y"])
+    assert html.blocks('<p>one <span class="ad">two</span> three')[1:] == (["one", "three"], ["two"])
 
 
 def test_hosts_boilerplate(spark):
@@ -426,6 +428,50 @@ def test_hosts_boilerplate(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def brute_text(pages, run, share):
+    """The same rule by comparing all runs of a host's streams with each other."""
+    every = []
+    for _, url, page in pages:
+        host = re.search(html.HOST, url or "")
+        every.append((host[1].lower() if host else "", [[w for x in part for w in x.split(" ")] for part in html.blocks(page or "")], html.blocks(page or "")))
+    out = []
+    for host, words, of in every:
+        mine = {tuple(map(tuple, w)) for h, w, _ in every if h == host}
+
+        def known(window, kinds, mine=mine):
+            on = [sum(window in [c[k][j : j + run] for j in range(len(c[k]) - run + 1)] for c in mine) for k in kinds]
+            return any(n > 1 and n * 100 >= share * len(mine) for n in on)
+
+        k = 0 if of[0] else 1
+        stream = tuple(words[k])
+        starts = [j for j in range(len(stream) - run + 1) if known(stream[j : j + run], (2,) if k == 0 else (1, 2))]
+        out.append(" ".join(html.unique(of[k], starts, run)))
+    return out
+
+
+def test_pages_by_brute_force(spark):
+    rng = random.Random(9)
+    pool = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(3)) for _ in range(rng.randrange(2, 12))) for _ in range(12)]
+    pages = []
+    for k in range(60):
+        part = lambda tag: "".join(f"<{tag}>{rng.choice(pool)}</{tag}>" for _ in range(rng.randrange(0, 4)))
+        body = part("p") + f"<nav>{part('li')}</nav>" + (f"<article>{part('p')}{part('p')}</article>" if rng.random() < 0.5 else part("p")) + f"<footer>{part('p')}</footer>"
+        pages.append((k, f"http://{rng.choice(['a.x', 'A.x', 'b.y'])}/{k}" if k % 13 else None, body))
+    pages += [pages[3], (97, "http://a.x/l", "<p>" + "z " * 40 + "</p>"), (98, "http://a.x/n", None), (99, "http://a.x/e", "")]
+    for run, share in ((3, 10), (4, 40)):
+        got = Counter((r["page_id"], r["text"]) for r in html.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3), run, share).collect())
+        assert got == Counter((p[0], t) for p, t in zip(pages, brute_text(pages, run, share), strict=True))
+        assert sum(n for (_, t), n in got.items() if not t) > 2
+
+
+def test_menus_inside_articles_go(spark):
+    """A block of main text goes where the host has it in its menus, not where articles share it."""
+    menu, said = "Home News Sport Weather Video Travel Culture Sounds", "a sentence that all articles of this host have in common"
+    rows = [(k, f"http://h.x/{k}", f"<nav>{menu}</nav><article><p>{menu}</p><p>text {k}</p><p>{said}</p></article>") for k in range(4)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {k: f"text {k} {said}" for k in range(4)}
+
+
 def test_copies_and_quotations_stay(spark):
     """A page and its copy are one page of the host; a phrase that pages share is not cut out of a block."""
     quote = "to be or not to be that is the question"
