@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 #: Bytes of a batch that goes to a Python worker while a scratch table is made.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -54,16 +56,6 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the scratch tables that df reads alone and that nothing needs any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        for k, (spark, known) in enumerate(_scratch):
-            if known.split("://", 1)[-1].lstrip("/") == path.split(":", 1)[-1].lstrip("/"):
-                _delete(spark, known)
-                del _scratch[k]
-                break
-
-
 def release(spark: SparkSession) -> None:
     """Let the cleaner drop shuffle files that nothing refers to any more: a long query keeps no more on
     disk than the step it is in needs."""
@@ -87,6 +79,34 @@ def bytes_of(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def trimmed(run: Callable) -> Callable:
+    """A function of batches for mapInArrow that gives the memory it freed back to the system in its end: workers live on,
+    and what one task needed is not kept from what runs next to it."""
+
+    def trimming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # no such call but in glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return trimming
+
+
+class Places:
+    """A set of numbers below 2 ** bits as a table of bits, of one size whatever it holds."""
+
+    def __init__(self, numbers: np.ndarray, bits: int = 24):
+        table = np.zeros(1 << bits, bool)
+        table[numbers] = True
+        self.table = np.packbits(table, bitorder="little")
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        return (self.table[numbers >> 3] >> (numbers & 7).astype(np.uint8)) & 1 == 1
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -31,9 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from survista.llm import rolling
-from survista.llm.common import bytes_of, materialize, slices
-from survista.llm.rolling import Ranges, mix, parts
+from survista.llm.common import Places, bytes_of, materialize, slices, trimmed
+from survista.llm.rolling import mix, parts, windows, word_hashes
 
 #: Frequent tokens that the order knows of at most: a bound on what is broadcast (16 bytes each). The order
 #: decides on cost alone, never on results.
@@ -56,44 +55,18 @@ COLUMNS = 4096
 FEW = 500_000
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the words of texts that stand end to end, A-Z in lower case."""
-    b = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    gap = (b == 32) | ((b >= 9) & (b <= 13))
-    n = len(b)
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    before = np.ones(n, bool)
-    before[1:] = gap[:-1]
-    before |= edge[:n]
-    after = np.ones(n, bool)
-    after[:-1] = gap[1:]
-    after |= edge[1 : n + 1]
-    start, end = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
-    out, at = [np.zeros(0, np.uint64)], 0
-    while at < len(start):  # a long text some PART bytes at a time, cut between words
-        stop = max(at + 1, int(np.searchsorted(end, start[at] + rolling.PART, side="right")))
-        lo = start[at]
-        out.append(Ranges(b[lo : end[stop - 1]]).of(start[at:stop] - lo, end[at:stop] - lo))
-        at = stop
-    return start, np.concatenate(out) + mix((end - start).astype(np.uint64))
-
-
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, A-Z in lower case, words by WORD."""
-    turn = [mix(np.uint64([7919 * (k + 1)]))[0] | np.uint64(1) for k in range(words)]
     for _, data, offsets in parts(column):
-        start, word = word_hashes(data, offsets)
+        start, word = word_hashes(np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8), offsets)
         first = np.searchsorted(start, offsets)
-        n = max(0, len(word) - words + 1)
-        whole = mix(sum((word[k : n + k] * turn[k] for k in range(words)), np.zeros(n, np.uint64)))
+        whole = windows(word, words)
         for i in range(len(offsets) - 1):
             a, z = int(first[i]), int(first[i + 1])
             if z - a >= words:
                 yield np.unique(whole[a : z - words + 1])
             elif z > a:
-                few = word[a:z]
-                yield mix(sum((few[k : k + 1] * turn[k] for k in range(z - a)), np.full(1, z - a, np.uint64)))
+                yield mix(windows(word[a:z], z - a) + np.uint64(z - a))
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -213,7 +186,7 @@ def _signed(words: int, marked):
         for b in batches:
             if marks is not None:
                 place = b.column("place")
-                hit = marks[place.fill_null(0).to_numpy()] | place.is_null().to_numpy(zero_copy_only=False)
+                hit = marks.has(place.fill_null(0).to_numpy()) | place.is_null().to_numpy(zero_copy_only=False)
                 b = b.filter(pa.array(hit))
             for part in slices(b, bytes_of(b.column("text"))):
                 texts = part.column("text")
@@ -234,7 +207,7 @@ def _place(doc_id):
 def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, tag: str) -> DataFrame:
     """class, text (packed), size of the wanted classes, each from one document that has its set.
 
-    Which ids may be among them is told by a table of bits, 16 MB whatever the corpus; where so many are wanted
+    Which ids may be among them is told by a table of bits, 2 MB whatever the corpus; where so many are wanted
     that it would spare little, all texts are read.
     """
     spark = docs.sparkSession
@@ -242,10 +215,9 @@ def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int,
     places = wanted.where("place IS NOT NULL").select("place").distinct()
     marks = None
     if places.count() <= MARKS:
-        marks = np.zeros(1 << 24, bool)
-        marks[places.toArrow()["place"].to_numpy()] = True
+        marks = Places(places.toArrow()["place"].to_numpy())
     marked = spark.sparkContext.broadcast(marks)
-    signed = docs.where("text IS NOT NULL").select("text", _place(F.col("doc_id")).alias("place")).mapInArrow(_signed(words, marked), "sig binary, text binary, size bigint")
+    signed = docs.where("text IS NOT NULL").select("text", _place(F.col("doc_id")).alias("place")).mapInArrow(trimmed(_signed(words, marked)), "sig binary, text binary, size bigint")
     return materialize(signed.join(wanted.select("sig", "class"), "sig").dropDuplicates(["class"]).select("class", "text", "size"), f"{tag}-texts")
 
 
@@ -457,7 +429,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     """doc_id, n_shingles, component_id for every row of docs."""
     spark, block = docs.sparkSession, block or BLOCK
     kind = docs.schema["doc_id"].dataType.simpleString()
-    survey = docs.select("doc_id", "text").mapInArrow(_survey(words), f"doc_id {kind}, n bigint, sig binary, token bigint, times bigint")
+    survey = docs.select("doc_id", "text").mapInArrow(trimmed(_survey(words)), f"doc_id {kind}, n bigint, sig binary, token bigint, times bigint")
     survey = materialize(survey, "jaccard-survey")
     mine = survey.where("sig IS NOT NULL").select("doc_id", "n", "sig")
     # at most KNOWN rows, whatever the corpus
@@ -468,7 +440,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     classes = mine.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n")).withColumn("class", F.monotonically_increasing_id())
     classes = materialize(classes, "jaccard-classes")
 
-    prefixes = docs.select("text").where("text IS NOT NULL").mapInArrow(_prefixes(words, percent, known), "sig binary, l int, tokens array<bigint>, hot int, shares bigint")
+    prefixes = docs.select("text").where("text IS NOT NULL").mapInArrow(trimmed(_prefixes(words, percent, known)), "sig binary, l int, tokens array<bigint>, hot int, shares bigint")
     # what copies were made from shares more of its tokens, with more documents, than a copy does; rank and l travel as one number
     rank = F.expr("-16 * cast(least(16 * shares / n, 1e15) AS bigint) + l")
     listed = prefixes.dropDuplicates(["sig"]).join(classes.select("sig", "class", "n"), "sig").select("class", rank.alias("rank"), "hot", F.posexplode("tokens").alias("at", "token"), F.size("tokens").alias("p"))
@@ -485,9 +457,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     placed = groups.join(blocks_of(groups, block).where("blocks > 1"), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.select("hub", F.lit(-1).cast("long").alias("i"), _part("blocks", 0).alias("j"), F.lit(1).cast("long").alias("side"), "class")
     hub_rows = placed.select("hub", "i", "j").distinct().select("hub", "i", "j", F.lit(0).cast("long").alias("side"), F.col("hub").alias("class"))
-    open_ = materialize(met(placed.unionByName(hub_rows), facts).mapInArrow(_screen(percent), MEETING), "jaccard-open")
+    open_ = materialize(met(placed.unionByName(hub_rows), facts).mapInArrow(trimmed(_screen(percent)), MEETING), "jaccard-open")
     texts = texts_of(docs, classes, open_.select("class"), words, "jaccard-hub")
-    with_hub = materialize(met(open_, texts).mapInArrow(_verify(words, percent), "hub bigint, a bigint, b bigint"), "jaccard-hub-links")
+    with_hub = materialize(met(open_, texts).mapInArrow(trimmed(_verify(words, percent)), "hub bigint, a bigint, b bigint"), "jaccard-hub-links")
 
     # the others meet all of the group but the hub; one that stands on both sides of a meeting is sent once
     linked = with_hub.select("hub", F.col("b").alias("class"), F.lit(True).alias("linked")).distinct()
@@ -501,11 +473,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     first = first.select("hub", "i", "j", F.expr("IF(j = own_j, 2L, 0L)").alias("side"), "class")
     second = rest.select("hub", F.explode(one).alias("i"), F.col("own_j").alias("j"), "own_i", "alone", "class").where("NOT (alone AND i = own_i)")
     second = second.select("hub", "i", "j", F.lit(1).cast("long").alias("side"), "class")
-    open_ = materialize(met(first.unionByName(second), facts).mapInArrow(_screen(percent), MEETING), "jaccard-rest-open")
+    open_ = materialize(met(first.unionByName(second), facts).mapInArrow(trimmed(_screen(percent)), MEETING), "jaccard-rest-open")
     links = with_hub.select("a", "b")
     if not open_.isEmpty():
         texts = texts_of(docs, classes, open_.select("class"), words, "jaccard-rest")
-        links = links.unionByName(materialize(met(open_, texts).mapInArrow(_verify(words, percent), "hub bigint, a bigint, b bigint"), "jaccard-rest-links").select("a", "b"))
+        links = links.unionByName(materialize(met(open_, texts).mapInArrow(trimmed(_verify(words, percent)), "hub bigint, a bigint, b bigint"), "jaccard-rest-links").select("a", "b"))
     if links.isEmpty():
         of = classes.select("sig", F.col("first_id").alias("component_id"))
     else:

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from survista.llm.common import bytes_of, materialize, slices
+from survista.llm.common import bytes_of, materialize, slices, trimmed
 
 CAPACITY = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words a worker remembers before it starts over.
-REMEMBERED = 600_000
+#: Words and parts of words a worker remembers before it starts over: some 150 bytes each.
+REMEMBERED = 400_000
 #: Pieces packed together in a round, on the average.
 DEALT = 50_000
 #: A deal with a gap of g bins gives up its (g + 1) * LOOSENED emptiest ones, as much as may mix with what others give up.
@@ -54,22 +54,20 @@ class Words:
         self.plain = regex.compile(r"[\x21-\x7e\xc0-ɏ]+").fullmatch
         self.model = self.whole.model
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
         #: bytes as the model's alphabet shows them: printable ones as they are, others from 256 on
         self.shown = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
 
     def part(self, piece: str) -> bytes:
-        got = self.parts.get(piece)
+        got = self.words.get(piece)  # in lower case and of one part, so the ids of a word alike
         if got is None:
-            if len(self.parts) >= REMEMBERED:
-                self.parts.clear()
             text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
-            got = self.parts[piece] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(text))
+            got = self.words[piece] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(text))
         return got
 
     def word(self, word: str) -> bytes:
+        """The ids of a word not seen yet."""
         if self.plain(word) and "<|" not in word:
             got = b"".join(map(self.part, self.pieces(word.lower())))
         else:
@@ -135,7 +133,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
                 [f.name for f in out.fields],
             )
 
-    done = src.mapInArrow(run, out)
+    done = src.mapInArrow(trimmed(run), out)
     return done.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f.name).alias(c) for f, c in zip(out.fields[len(kept) :], PIECE, strict=True)])
 
 
@@ -242,7 +240,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, dealt: int = DEALT, rounds: i
         deals = max(1, -(-n // dealt))
         # small deals, so that a partition's rows fit its memory whatever the table's size
         dealt_out = loose.withColumn("deal", F.pmod(F.xxhash64("piece_no", F.lit(k)), F.lit(deals)).cast("long")).repartition(deals, "deal")
-        placed = materialize(dealt_out.mapInArrow(_packer(capacity, base), PLACED), f"pack-{k}")
+        placed = materialize(dealt_out.mapInArrow(trimmed(_packer(capacity, base)), PLACED), f"pack-{k}")
         k, base = k + 1, base + deals
         bins, least = placed.where("again").agg(F.count_distinct("sequence_id"), F.ceil(F.sum("length") / capacity)).first()
         # no gap left, one partition alone, or nothing gained: else every round has fewer bins to exchange

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from survista.llm.common import bytes_of, materialize, slices
+from survista.llm.common import bytes_of, materialize, slices, trimmed
 from survista.llm.rolling import Ranges, mix, parts
 
 LENGTH = 400
@@ -220,7 +220,7 @@ def _strings(length: int, chunk: int):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
     """doc, spans: the repeated byte ranges of each distinct text (doc: its digest), not merged. docs: doc, text."""
-    found = docs.mapInArrow(_anchors(length, gram), RUNS)
+    found = docs.mapInArrow(trimmed(_anchors(length, gram)), RUNS)
     same = Window.partitionBy("gram", "content")
     found = found.withColumn("no", F.row_number().over(same.orderBy("doc", "start"))).withColumn("equal", F.sum("times").over(same))
     found = found.withColumn("all", F.sum("times").over(Window.partitionBy("gram")))
@@ -230,12 +230,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
     wanted = found.where("equal < `all` AND no = 1").groupBy("doc").agg(F.collect_list(F.struct("gram", "start", "strings", "before")).alias("wanted"))
     # one document for each text: copies would find each other again
     one = docs.join(wanted, "doc").select("doc", "text", "wanted").dropDuplicates(["doc"])
-    open_runs = one.mapInArrow(_contexts(length), OPEN)
+    open_runs = one.mapInArrow(trimmed(_contexts(length)), OPEN)
     open_runs = materialize(open_runs.withColumn("run", F.monotonically_increasing_id()), "repeats-open")
     alike = Window.partitionBy("gram", "chunk", "content")
-    chunks = open_runs.select("run", "gram", "before", "bytes").mapInArrow(_chunks(length, chunk), "run bigint, gram bigint, chunk int, content bigint")
+    chunks = open_runs.select("run", "gram", "before", "bytes").mapInArrow(trimmed(_chunks(length, chunk)), "run bigint, gram bigint, chunk int, content bigint")
     chunks = chunks.withColumn("a", F.min("run").over(alike)).withColumn("b", F.max("run").over(alike)).where("a < b").groupBy("run").agg(F.collect_list("chunk").alias("chunks"))
-    strings = open_runs.join(chunks, "run").select("doc", "run", "gram", "start", "before", "bytes", "chunks").mapInArrow(_strings(length, chunk), "doc binary, run bigint, gram bigint, content bigint, start bigint")
+    strings = open_runs.join(chunks, "run").select("doc", "run", "gram", "start", "before", "bytes", "chunks").mapInArrow(trimmed(_strings(length, chunk)), "doc binary, run bigint, gram bigint, content bigint, start bigint")
     alike = Window.partitionBy("gram", "content")
     strings = strings.withColumn("a", F.min("run").over(alike)).withColumn("b", F.max("run").over(alike)).where("a < b")
     single = strings.select("doc", F.struct(F.col("start").alias("lo"), (F.col("start") + length).alias("hi")).alias("span"))
@@ -272,7 +272,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 [b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, gone, count)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
             )
 
-    return keyed.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, {CUT}")
+    return keyed.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(trimmed(run), f"doc_id {kind}, {CUT}")
 
 
 def op8_repeated_substrings(spark, sf_dir: str) -> DataFrame:
