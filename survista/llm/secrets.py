@@ -1,17 +1,19 @@
 r"""Secret scans with recursive decoding.
 
 A text is the first layer of a worklist. Each layer is scanned for secrets, then searched for encoded
-runs: percent escapes, \u and &#...; escapes, base64, and base64 of gzip or zlib data. A decoded run is
+runs: percent escapes, \u and &#...; escapes, base64, and gzip or zlib data or UTF-16 in it. A decoded run is
 a new layer, whose characters carry the span of the text they came from; the list is worked off until
-no layer brings a new one. A layer already seen for the same part of the text (a digest is kept) is not
+no layer brings a new one, however deep. A layer already seen for the same part of the text (a digest is kept) is not
 unwrapped again, which ends cycles; decoding only shrinks a run except for compressed data, which is
 scanned in windows of MOST_INFLATED bytes. A base64 run is decoded at each of its four alignments, over
 line breaks, and each printable stretch of what it holds is a layer, so neighbours from its
-alphabet or binary bytes hide nothing.
+alphabet or binary bytes hide nothing. A run of 16 letters is the shortest that holds a secret (12 bytes).
 
 Defined results: null text is empty and has no spans; the base spans are those of the undecoded
-text; spans found in decoded layers are added where the text has no span of that kind there;
-repeated rows are scanned alike; an empty table gives an empty table; other columns are ignored.
+text; of the spans found in decoded layers those are added that lie in no other span of their kind, so ties (one
+secret by two ways) are one span, and secrets of one compressed run are as well;
+repeated rows are scanned alike; a very long text is scanned whole; an empty table gives an empty table; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,12 +22,15 @@ import base64
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from survista.llm.common import bytes_of, slices
+
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww](?:[Oo][Rr])?[Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -44,6 +49,8 @@ BREAK = re.compile(r"[\x20\t]*(?:\r?\n|\\r\\n|\\n)[\x20\t]*")
 BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{BREAK.pattern}[A-Za-z0-9+/_-]+)*")
 URL_SAFE = str.maketrans("-_", "+/")
 STRETCH = re.compile(rb"(?:[\t\r\n\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
+#: Printable ASCII in two bytes each, either first.
+WIDE = re.compile(rb"(?:[\t\r\n\x20-\x7e]\x00){12,}|(?:\x00[\t\r\n\x20-\x7e]){12,}")
 #: Headers of gzip and zlib data.
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 
@@ -100,15 +107,13 @@ def _escaped(layer: str, pattern: re.Pattern) -> tuple[str, list[tuple[int, int,
     return "".join(parts), pieces
 
 
-def _through(pieces: list[tuple[int, int, int, int]], start: int, end: int) -> tuple[int, int]:
-    """The span of the outer text that characters start..end of a decoded layer came from."""
-    lo = hi = None
-    for a, b, x, y in pieces:
-        if a < end and b > start:
-            plain = b - a == y - x
-            s, e = (x + max(0, start - a), x + min(b, end) - a) if plain else (x, y)
-            lo, hi = s if lo is None else min(lo, s), e if hi is None else max(hi, e)
-    return (lo, hi) if lo is not None else (0, 0)
+def _through(pieces: list[tuple[int, int, int, int]], starts: list[int], start: int, end: int) -> tuple[int, int]:
+    """The span of the outer text that characters start..end of a decoded layer came from. Pieces are in order on both sides."""
+    first, last = pieces[max(0, bisect_right(starts, start) - 1)], pieces[max(0, bisect_left(starts, max(end, start + 1)) - 1)]
+    a, b, x, y = first
+    lo = x + max(0, start - a) if b - a == y - x else x
+    a, b, x, y = last
+    return lo, x + min(b, end) - a if b - a == y - x else y
 
 
 def _inflated(raw: bytes, at: int) -> Iterator[bytes]:
@@ -132,9 +137,9 @@ def _inflated(raw: bytes, at: int) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def _texts(raw: bytes) -> Iterator[tuple[str, int, int, bool]]:
-    """(text, start, end, plain) of the printable stretches of raw, and of those of compressed data in it,
-    which stand for all of raw from their header on."""
+def _texts(raw: bytes) -> Iterator[tuple[str, int, int, int]]:
+    """(text, start, end, bytes a character) of the printable stretches of raw, and of those of compressed data in it (0 bytes
+    a character), which stand for all of raw from their header on."""
     work: list[tuple[Iterator[bytes], int]] = [(iter([raw]), -1)]
     while work:
         windows, at = work[-1]
@@ -144,7 +149,11 @@ def _texts(raw: bytes) -> Iterator[tuple[str, int, int, bool]]:
             continue
         for m in STRETCH.finditer(got):
             if m.end() - m.start() >= LEAST:
-                yield (m[0].decode("utf-8", "replace"), m.start(), m.end(), True) if at < 0 else (m[0].decode("utf-8", "replace"), at, len(raw), False)
+                yield (m[0].decode("utf-8", "replace"), m.start(), m.end(), 1) if at < 0 else (m[0].decode("utf-8", "replace"), at, len(raw), 0)
+        if b"\0" in got:
+            for m in WIDE.finditer(got):
+                text = m[0].replace(b"\0", b"").decode()
+                yield (text, m.start(), m.end(), 2) if at < 0 else (text, at, len(raw), 0)
         work += [(_inflated(got, m.start()), m.start() if at < 0 else at) for m in PACKED.finditer(got)]
 
 
@@ -156,11 +165,11 @@ def _blob(run: str) -> Iterator[tuple[str, Callable[[int, int], tuple[int, int]]
         part = part[: len(part) - (len(part) % 4 == 1)]
         raw = base64.b64decode(part + "=" * (-len(part) % 4))
         chars = lambda s, e, o=shift, n=len(core): (o + s * 4 // 3, min(n, o - (-e * 4 // 3)))
-        for got, start, end, plain in _texts(raw):
-            if not plain:
+        for got, start, end, wide in _texts(raw):
+            if not wide:
                 yield got, lambda s, e, x=chars(start, end): x
             elif got.isascii():
-                yield got, lambda s, e, a=start, f=chars: f(a + s, a + e)
+                yield got, lambda s, e, a=start, f=chars, w=wide: f(a + w * s, a + w * e)
             else:
                 yield got, lambda s, e, a=start, g=got, f=chars: f(a + len(g[:s].encode()), a + len(g[:e].encode()))
 
@@ -169,11 +178,9 @@ def _inner(layer: str) -> Iterator[tuple[str, Callable[[int, int], tuple[int, in
     """The layers encoded in a layer, and maps of their spans onto it."""
     for pattern, sign in ((PERCENT, "%"), (ESCAPE, ("\\u", "\\x", "&#"))):
         if any(s in layer for s in sign) and (got := _escaped(layer, pattern)):
-            yield got[0], lambda s, e, p=got[1]: _through(p, s, e)
+            yield got[0], lambda s, e, p=got[1], q=[x[0] for x in got[1]]: _through(p, q, s, e)
     for m in BASE64.finditer(layer):
         run = m[0]
-        if run.isalpha() and (run.islower() or run.istitle()) or HEX.fullmatch(run):
-            continue  # a word, or a digest
         if not BREAK.search(run):
             for got, f in _blob(run):
                 yield got, lambda s, e, a=m.start(), f=f: tuple(a + x for x in f(s, e))
@@ -188,7 +195,7 @@ def _inner(layer: str) -> Iterator[tuple[str, Callable[[int, int], tuple[int, in
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans of a text, each sorted by start, then kind."""
     base = sorted(scan(text), key=lambda s: (s[0], s[2], s[1]))
-    found = set(base)
+    decoded: set[tuple[int, int, int]] = set()
     digest = lambda s: hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
     # a layer: its text, and a map of its spans onto those of the text
     work = [(text, lambda s, e: (s, e))]
@@ -204,12 +211,19 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
             seen.add(d)
             if d[0] not in hits:
                 hits[d[0]] = scan(got)
-            for s, e, kind in hits[d[0]]:
-                a, b = back(s, e)
-                if not any(k == kind and x < b and a < y for x, y, k in found):
-                    found.add((a, b, kind))
+            decoded.update((*back(s, e), kind) for s, e, kind in hits[d[0]])
             work.append((got, back))
-    return base, sorted(found, key=lambda s: (s[0], s[2], s[1]))
+    return base, sorted({*base, *_outermost(decoded, base)}, key=lambda s: (s[0], s[2], s[1]))
+
+
+def _outermost(decoded: set[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that lie in no other of their kind."""
+    out, reach = [], [-1] * len(KINDS)
+    for s, e, kind in sorted({*decoded, *base}, key=lambda x: (x[0], -x[1])) if decoded else ():
+        if e > reach[kind]:
+            reach[kind] = e
+            out.append((s, e, kind))
+    return out
 
 
 def joined(found: list[tuple[int, int, int]]) -> str:
@@ -224,7 +238,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, bytes_of(whole.column(1)))):
             counts, base, every = ([], [], []), [], []
             for text in b.column(1):
                 first, all_found = spans(text.as_py() or "")
