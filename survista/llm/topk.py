@@ -6,11 +6,14 @@ the lower one, all impacts are at least 0, as MaxScore wants them. Terms are put
 bounds. The non-essential ones are those which together cannot lift a vector to the k-th best score so
 far: every vector that can still enter must have impact in an essential term, so the essential postings are
 traversed, and the others are probed only for vectors that stay competitive with what is left of the
-bounds. Shards and blocks of queries meet in groups of bounded size; the k best of each shard are merged.
+bounds. Shards and blocks of queries meet in groups of bounded size. All queries meet the first shard before the others: the
+k-th best score there is one to beat in every other shard, which then sends only what may still enter; what the shards
+send is merged.
 
 Defined results: vectors that are null, or hold null or non-finite components, and rows without id take no
 part; vectors of different length have no product; a query's own row is left out, a repeated row is
-not; equal scores go to the smaller id; fewer than k candidates are all returned; no query, no rows.
+not; equal scores go to the smaller id; fewer than k candidates are all returned; no query or an empty table, no rows;
+repeated rows are candidates of their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 
 from survista.llm.common import materialize
 
+#: Vectors of a shard, and queries of a block, at most; and their bytes, on the average.
 SHARD = 8192
-QUERIES = 1024
+QUERIES = 8192
+BYTES = 8 << 20
 STEP = 8
 FOUND = "query_row bigint, query_id bigint, vec_id bigint, score double"
 
@@ -40,7 +45,8 @@ def search(postings: np.ndarray, rows: np.ndarray, ids: np.ndarray, q: np.ndarra
     return _search(postings, rows, ids, q, own, k, high, low)
 
 
-def _search(postings, rows, ids, q, own, k, high, low):
+def _search(postings, rows, ids, q, own, k, high, low, known=-np.inf):
+    """known: a score that k other candidates have at least."""
     upper, least = np.maximum(q * high, q * low), np.minimum(q * high, q * low)
     order = np.argsort(least - upper, kind="stable")  # widest range of impacts first
     upper, width = upper[order], (upper - least)[order]
@@ -49,7 +55,7 @@ def _search(postings, rows, ids, q, own, k, high, low):
     head = min(n, 4 * STEP * k)
     first = q @ postings[:, :head]
     first[rows[:head] == own] = -np.inf
-    beat = -np.inf if head <= k else np.partition(first, -k)[-k]
+    beat = max(known, -np.inf if head <= k else np.partition(first, -k)[-k])
     if beat > -np.inf:
         # non-essential: the narrowest terms that together stay under what must be gained over all lower bounds
         need = beat - least.sum()
@@ -86,13 +92,31 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
     """query_row, query_id, rank, vec_id, score. Both inputs: row (bigint, the same for a vector wherever it
     stands), vec_id bigint, vector array<double> without nulls."""
-    n, m = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
+    size = F.coalesce(F.max(F.size("vector")), F.lit(1))
+    (n, wide), m = vectors.agg(F.count(F.lit(1)), size).first(), queries.count()
+    most = max(64, BYTES // (8 * max(1, wide)))
+    shards, blocks = max(1, -(-n // min(shard, most))), max(1, -(-m // min(block, most)))
     dim = F.size("vector").alias("dim")
     part = lambda parts: F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    v = vectors.select("row", "vec_id", "vector", dim, part(shards).alias("shard"), every(blocks).alias("block"))
-    q = queries.select("row", "vec_id", "vector", dim, every(shards).alias("shard"), part(blocks).alias("block"))
+    v = vectors.select("row", "vec_id", "vector", dim, part(shards).alias("shard"))
+    q = queries.select("row", "vec_id", "vector", dim, part(blocks).alias("block"))
+    # shard 0 first: what it finds tells the others what to beat
+    first = _met(v.where("shard = 0"), q.withColumn("known", F.lit(float("-inf"))), k, [0], blocks)
+    found = first
+    if shards > 1:
+        first = materialize(first, "topk-first")
+        beat = first.groupBy("query_row").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("known")).where(F.col("c") >= k)
+        q = q.join(beat.select(F.col("query_row").alias("row"), "known"), "row", "left").withColumn("known", F.coalesce("known", F.lit(float("-inf"))))
+        found = first.unionByName(_met(v.where("shard > 0"), q, k, range(1, shards), blocks))
+    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc())
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _met(v: DataFrame, q: DataFrame, k: int, shards, blocks: int) -> DataFrame:
+    """What each block of queries finds in each of the shards: the k best at most, all not under what is known."""
+    v = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    q = q.withColumn("shard", F.explode(F.sequence(F.lit(shards[0]), F.lit(shards[-1]))))
+    q = q.toDF(*[f"_{c}" for c in q.columns]).select(*[F.col(f"_{c}").alias(c) for c in q.columns])  # columns apart from those of v
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list, list, list] = ([], [], [], [])
@@ -100,8 +124,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, bl
             postings = np.ascontiguousarray(_matrix(left["vector"]).T)
             rows, ids = left["row"].to_numpy(), left["vec_id"].to_numpy()
             high, low = (postings.max(axis=1), postings.min(axis=1)) if len(postings) else (np.zeros(0), np.zeros(0))
-            for own, name, q in zip(right["row"].to_pylist(), right["vec_id"].to_pylist(), _matrix(right["vector"]), strict=True):
-                got, score = _search(postings, rows, ids, q, own, k, high, low) if len(q) else _plain(rows, ids, own, k)
+            for own, name, known, q in zip(right["row"].to_pylist(), right["vec_id"].to_pylist(), right["known"].to_pylist(), _matrix(right["vector"]), strict=True):
+                got, score = _search(postings, rows, ids, q, own, k, high, low, known) if len(q) else _plain(rows, ids, own, k)
                 out[0].extend([own] * len(got))
                 out[1].extend([name] * len(got))
                 out[2].extend(got.tolist())
@@ -110,9 +134,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, bl
         return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["query_row", "query_id", "vec_id", "score"])
 
     by = ["dim", "shard", "block"]
-    found = v.groupBy(*by).cogroup(q.groupBy(*by)).applyInArrow(run, FOUND)
-    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc())
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return v.groupBy(*by).cogroup(q.groupBy(*by)).applyInArrow(run, FOUND)
 
 
 def _plain(rows: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -36,6 +36,13 @@ def test_top_k_by_brute_force(spark):
             assert have[n] == [(j, -s) for s, j in all_scores[:4]]
 
 
+def test_top_k_of_nothing_and_of_more_columns(spark):
+    v = spark.createDataFrame([(0, 1, [1.0, 2.0], "x"), (1, 2, [3.0, 4.0], "y"), (2, 2, [3.0, 4.0], "z")], "row bigint, vec_id bigint, vector array<double>, score string")
+    got = sorted((r["query_row"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(v, v.where("vec_id = 1"), 5).collect())
+    assert got == [(0, 1, 2, 11.0), (0, 2, 2, 11.0)]
+    assert topk.top_k(v.where("false"), v, 5).count() == 0 and topk.top_k(v, v.where("false"), 5).count() == 0
+
+
 def test_top_k_needs_no_more_of_partition_than_numpy_promises(monkeypatch):
     """Only the place asked for is in order."""
 
