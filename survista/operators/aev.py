@@ -30,9 +30,11 @@ SCHEMA = "ord bigint, group string, name string, A double, E double, V double"
 
 @dataclass(frozen=True)
 class Aev:
-    """Records (A, E, V) with labels, in order: a frame of ord, group, name, A, E, V."""
+    """Records (A, E, V) with labels, in order: a frame of ord, group, name, A, E, V. `of` is the frame of a batch that it is a part
+    of, and its number there."""
 
     df: DataFrame
+    of: tuple[DataFrame, int] | None = None
 
     def __add__(self, other: Aev) -> Aev:
         """Record by record; labels must agree."""
@@ -280,33 +282,88 @@ def times(*factors: Column | None) -> Column:
 
 def accumulate(rows: DataFrame, scope: Scope, m: Measure, step: int) -> DataFrame:
     """ord, A, E, V at overdispersion 1."""
-    kinds = scope.kinds
+    return accumulate_many(rows, scope, [(m, None)], step)
+
+
+def has_closed_form(m: Measure) -> bool:
+    return m.static and E.affine_in_t(m.mortality.as_node()) is not None
+
+
+def accumulate_many(rows: DataFrame, scope: Scope, measures: list[tuple[Measure, int | None]], step: int) -> DataFrame:
+    """ord, A, E, V at overdispersion 1, of several measures in one pass: a measure with the last ord that it is for (None:
+    all). All have a closed form, or none."""
     end = scope.at(F.col("tau"))
-    death = F.when(F.col("died"), times(m.s(end), m.w(end)))
-    zero = ieee.lit(0.0)
-    same = m.zero_or_one(kinds)
-    pair = E.affine_in_t(m.mortality.as_node()) if m.static else None
-    if pair is not None:
-        a, c = (number(n, scope) for n in pair)
-        span = (F.col("tau") - F.col("nu")).cast("double") * PER_CLICK
-        level = pair[1].op == "lit" and pair[1].value == 0.0
-        rows = rows.withColumn("_mu", F.exp(a) * span if level else affine_integral(a, c, F.col("nu"), F.col("tau"), step))
-        s, w = m.s(scope), m.w(scope)
-        sums = [F.coalesce(F.sum(death), zero).alias("A"), F.sum(times(F.col("_mu"), s, w)).alias("E")]
-        if not same:
-            sums.append(F.sum(times(F.col("_mu"), s, w * w)).alias("V"))
-        got = rows.groupBy("ord").agg(*sums)
-    else:
+    closed = has_closed_form(measures[0][0])
+    if not closed:
         # the death is valued on the first slot's row, so that one scan gives both
-        slots = explode_slots(rows, step)
-        now = scope.at(F.col("t"))
-        slots = slots.withColumn("_mu", F.exp(m.log_mu(now)) * (F.col("width").cast("double") * PER_CLICK))
+        rows = explode_slots(rows, step)
+    now = scope if closed else scope.at(F.col("t"))
+    deaths, lives, squares = [], [], []
+    for m, _ in measures:
+        if closed:
+            pair = E.affine_in_t(m.mortality.as_node())
+            a, c = (number(n, scope) for n in pair)
+            level = pair[1].op == "lit" and pair[1].value == 0.0
+            mu = F.exp(a) * ((F.col("tau") - F.col("nu")).cast("double") * PER_CLICK) if level else affine_integral(a, c, F.col("nu"), F.col("tau"), step)
+        else:
+            mu = F.exp(m.log_mu(now)) * (F.col("width").cast("double") * PER_CLICK)
         s, w = m.s(now), m.w(now)
-        sums = [F.coalesce(F.sum(F.when((F.col("k") == 0), death)), zero).alias("A"), F.sum(times(F.col("_mu"), s, w)).alias("E")]
-        if not same:
-            sums.append(F.sum(times(F.col("_mu"), s, w * w)).alias("V"))
-        got = slots.groupBy("ord").agg(*sums)
-    return got.withColumn("V", F.col("E")) if same else got
+        deaths.append(F.when(F.col("died") if closed else F.col("died") & (F.col("k") == 0), times(m.s(end), m.w(end))))
+        lives.append((mu, s, w))
+        squares.append(m.zero_or_one(scope.kinds))
+
+    def choose(columns: list[Column]) -> Column:
+        out = columns[-1]
+        for (_, last), c in reversed(list(zip(measures[:-1], columns[:-1], strict=True))):
+            out = F.when(F.col("ord") <= last, c).otherwise(out)
+        return out
+
+    rows = rows.withColumn("_mu", choose([mu for mu, _, _ in lives]))
+    mu = F.col("_mu")
+    sums = [F.coalesce(F.sum(choose(deaths)), ieee.lit(0.0)).alias("A"), F.sum(choose([times(mu, s, w) for _, s, w in lives])).alias("E")]
+    if all(squares):
+        return rows.groupBy("ord").agg(*sums).withColumn("V", F.col("E"))
+    v = choose([times(mu, s, w if same or w is None else w * w) for (_, s, w), same in zip(lives, squares, strict=True)])
+    return rows.groupBy("ord").agg(*sums, F.sum(v).alias("V"))
+
+
+@dataclass(frozen=True)
+class Spec:
+    """An A/E analysis made ready: elements, measure, overdispersion and step."""
+
+    elements: list[Include]
+    measure: Measure
+    omega: float
+    step: int
+
+
+def spec(data: ExpData, mortality, include=None, weight=None, val_relevance=None, val_distance=None, breakdown=None, settings: Settings | None = None, overdispersion=None, time_scale=None) -> Spec:
+    omega, step = resolve(settings, overdispersion, time_scale)
+    return Spec(elements_of(include, breakdown), measure(data, mortality, weight, val_relevance, val_distance), omega, step)
+
+
+def run_together(data: ExpData, specs: list[Spec]) -> DataFrame:
+    """no (of the spec, from 0), ord, group, name, A, E, V of several analyses: one pass over the lives for those of one
+    step with a closed form, and one for those of one step without."""
+    spark = data.df.sparkSession
+    passes: dict[tuple, list[int]] = {}
+    for k, x in enumerate(specs):
+        passes.setdefault((x.step, has_closed_form(x.measure)), []).append(k)
+    sums, labels = None, []
+    for at, ((step, _), mine) in enumerate(passes.items()):
+        elements, measures, needed = [], [], set()
+        for k in mine:
+            labels += [(k, n + 1, e.group_name, e.name, specs[k].omega, at, len(elements) + n + 1) for n, e in enumerate(specs[k].elements)]
+            elements += specs[k].elements
+            measures.append((specs[k].measure, len(elements)))
+            needed |= set(specs[k].measure.fields)
+        got = accumulate_many(clipped(data, elements, needed), data.scope(), measures, step).select(F.lit(at).alias("_pass"), F.col("ord").alias("_ord"), "A", "E", "V")
+        sums = got if sums is None else sums.unionByName(got)
+    names = spark.createDataFrame(labels, "no int, ord bigint, group string, name string, omega double, _pass int, _ord bigint")
+    # sums have a row an element at most
+    out = names.join(F.broadcast(sums), ["_pass", "_ord"], "left")
+    zero = ieee.lit(0.0)
+    return out.select("no", "ord", "group", "name", F.coalesce("A", zero).alias("A"), F.coalesce("E", zero).alias("E"), (F.coalesce("V", zero) * F.col("omega")).alias("V"))
 
 
 def elements_of(include, breakdown) -> list[Include]:
@@ -318,22 +375,8 @@ def elements_of(include, breakdown) -> list[Include]:
     return [e if population is None else replace(Include(population.terms + e.terms), name=e.name, group_name=e.group_name) for e in breakdown]
 
 
-def labelled(spark: SparkSession, sums: DataFrame, elements: list[Include], omega: float) -> Aev:
-    """Every element once, those without exposure with zeros."""
-    rows = [(k + 1, e.group_name, e.name) for k, e in enumerate(elements)]
-    labels = spark.createDataFrame(rows, "ord bigint, group string, name string")
-    # sums have a row an element at most
-    out = labels.join(F.broadcast(sums), "ord", "left")
-    zero = ieee.lit(0.0)
-    return Aev(out.select("ord", "group", "name", F.coalesce("A", zero).alias("A"), F.coalesce("E", zero).alias("E"), (F.coalesce("V", zero) * ieee.lit(omega)).alias("V")))
-
-
 def aev(data: ExpData, mortality, include=None, weight=None, val_relevance=None, val_distance=None, breakdown=None, settings: Settings | None = None, overdispersion=None, time_scale=None) -> Aev:
-    omega, step = resolve(settings, overdispersion, time_scale)
-    m = measure(data, mortality, weight, val_relevance, val_distance)
-    elements = elements_of(include, breakdown)
-    rows = clipped(data, elements, m.fields)
-    return labelled(data.df.sparkSession, accumulate(rows, data.scope(), m, step), elements, omega)
+    return Aev(run_together(data, [spec(data, mortality, include, weight, val_relevance, val_distance, breakdown, settings, overdispersion, time_scale)]).drop("no"))
 
 
 def kind_of(data: ExpData, n: E.Node) -> str:

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from survista.functions.special import chi_squared_quantile
-from survista.operators.aev import Aev, aev, measure
+from survista.operators.aev import Aev, aev, clipped, elements_of, measure, run_together, spec
 from survista.operators.covariates import Model
-from survista.operators.fit import ITERATIONS, TOLERANCE, Fit, fit, scale_of
+from survista.operators.fit import ITERATIONS, TOLERANCE, Fit, Table, fit, scale_of, table_of
 from survista.operators.include import Includes
 from survista.operators.settings import Settings, resolve
+from survista.plans import expr as E
 from survista.sources.data import ExpData
 
 
@@ -40,7 +41,8 @@ def is_model_comparison(x) -> bool:
 
 
 def compare_models(data: ExpData, models: list[Model], include=None, weight=None, val_relevance=None, val_distance=None, test_mortality=None, Z=None, settings: Settings | None = None, overdispersion=None, time_scale=None, tolerance: float = TOLERANCE, iterations: int = ITERATIONS) -> ModelComparison:
-    """Fit all models with one Z, which makes their likelihoods comparable."""
+    """Fit all models with one Z, which makes their likelihoods comparable. Models of one reference whose covariates are all static
+    share one aggregation of the lives, by the covariates of all."""
     if not models:
         raise ValueError("there is no model to compare")
     names = [m.name for m in models if m.name is not None]
@@ -48,13 +50,38 @@ def compare_models(data: ExpData, models: list[Model], include=None, weight=None
         raise ValueError("two models have one name")
     omega, step = resolve(settings, overdispersion, time_scale)
     scale = scale_of(data, measure(data, models[0].reference, weight, val_relevance, val_distance), include, step, test_mortality, Z)
-    fits = [fit(data, m, include, weight, val_relevance, val_distance, settings=settings, overdispersion=omega, time_scale=time_scale, tolerance=tolerance, iterations=iterations, Z=scale[0], _scale=scale) for m in models]
+    tables, shared = _shared_tables(data, models, include, weight, val_relevance, val_distance, step)
+    fits = [fit(data, m, include, weight, val_relevance, val_distance, settings=settings, overdispersion=omega, time_scale=time_scale, tolerance=tolerance, iterations=iterations, Z=scale[0], _scale=scale, _table=t) for m, t in zip(models, tables, strict=True)]
+    for t in shared:
+        t.release()
     failed = [f for f in fits if not f.converged]
     if failed:
         warnings.warn(f"{len(failed)} of {len(fits)} models failed: " + "; ".join(f"{f.name}: {f.message}" for f in failed), stacklevel=2)
     return ModelComparison(tuple(sorted(fits, key=lambda f: (not f.converged, -f.penalised if f.converged else 0.0))))
 
 
+def _shared_tables(data: ExpData, models: list[Model], include, weight, val_relevance, val_distance, step: int) -> tuple[list[Table | None], list[Table]]:
+    """Tables by model, None for those that share none; and the whole ones that they are parts of."""
+    out, shared = [None] * len(models), []
+    groups: dict[int, list[int]] = {}
+    for k, m in enumerate(models):
+        if not any(E.uses_t(n) for _, n in m.covariates.terms):
+            groups.setdefault(id(m.reference), []).append(k)
+    for mine in groups.values():
+        if len(mine) < 2:
+            continue
+        terms, where = [], []
+        for k in mine:
+            where.append([*range(len(terms), len(terms) + len(models[k].covariates))])
+            terms += [n for _, n in models[k].covariates.terms]
+        what = measure(data, models[mine[0]].reference, weight, val_relevance, val_distance)
+        whole = table_of(clipped(data, elements_of(include, None), what.fields.union(*map(E.fields, terms))), data, what, terms, step)
+        shared.append(whole)
+        for k, at in zip(mine, where, strict=True):
+            out[k] = whole.part(at)
+    return out, shared
+
+
 def best_fit(c: ModelComparison) -> Fit:
     if not c.fits or not c.fits[0].converged:
         raise ValueError("no model converged")
@@ -81,18 +108,16 @@ def diagnose_settings(f: Fit) -> dict:
 
 
 def diagnose(data: ExpData, fits, breakdown: dict[str, Includes] | Includes, **changes) -> Diagnosis:
-    """A / E on the mortality of every fit that converged, over every breakdown, as one union of plans."""
+    """A / E on the mortality of every fit that converged, over every breakdown, from one pass over the lives."""
     fits = [f for f in (fits.fits if isinstance(fits, ModelComparison) else [fits] if isinstance(fits, Fit) else fits) if f.converged]
     if not fits:
         raise ValueError("no fit converged")
     many = breakdown if isinstance(breakdown, dict) else {"breakdown": breakdown}
-    out = None
-    for f in fits:
-        for name, b in many.items():
-            part = aev(data, f.mortality, breakdown=b, **(diagnose_settings(f) | changes)).df
-            part = part.select(F.lit(f.name).cast("string").alias("model"), F.lit(name).alias("breakdown"), "*")
-            out = part if out is None else out.unionByName(part)
-    return Diagnosis(out)
+    pairs = [(f, name, b) for f in fits for name, b in many.items()]
+    specs = [spec(data, f.mortality, breakdown=b, **(diagnose_settings(f) | changes)) for f, _, b in pairs]
+    label = lambda of: F.get(F.array(*[F.lit(v).cast("string") for v in of]), F.col("no"))
+    got = run_together(data, specs).select(label([f.name for f, _, _ in pairs]).alias("model"), label([n for _, n, _ in pairs]).alias("breakdown"), "ord", "group", "name", "A", "E", "V")
+    return Diagnosis(got)
 
 
 @dataclass(frozen=True)

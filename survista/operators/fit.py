@@ -62,6 +62,17 @@ class Table:
     k: int
     rows: np.ndarray | None = None
     df: DataFrame | None = None
+    cached: DataFrame | None = None
+
+    def part(self, at: list[int]) -> Table:
+        """The table of some of its covariates; its rows need not be distinct then."""
+        if self.rows is not None:
+            return Table(len(at), rows=self.rows[:, [*at, *range(self.k, self.k + 4)]])
+        return Table(len(at), df=self.df.select(*[F.col(f"x{j}").alias(f"x{n}") for n, j in enumerate(at)], "m1", "m2", "d", "dl"))
+
+    def release(self) -> None:
+        if self.cached is not None:
+            self.cached.unpersist()
 
     def walk(self, beta: np.ndarray) -> Totals:
         k = self.k
@@ -179,6 +190,7 @@ def table_of(rows: DataFrame, data: ExpData, m: Measure, terms: list[E.Node], st
         df = rows.withColumns(cols)
         df = df.withColumns({"m1": times(F.col("_mu"), s1, w1), "m2": times(F.col("_mu"), s1, None if w1 is None else w1 * w1), "d": F.when(F.col("died"), deaths).otherwise(0.0), "dl": F.when(F.col("died"), death_log).otherwise(0.0)})
     else:
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         slots = explode_slots(rows, step)
         now = scope.at(F.col("t"))
         s1, w1 = weight(now)
@@ -187,13 +199,19 @@ def table_of(rows: DataFrame, data: ExpData, m: Measure, terms: list[E.Node], st
         live = live.select(*[f"x{j}" for j in range(k)], times(F.col("_mu"), s1, w1).alias("m1"), times(F.col("_mu"), s1, None if w1 is None else w1 * w1).alias("m2"), ieee.lit(0.0).alias("d"), ieee.lit(0.0).alias("dl"))
         dead = rows.where("died").select(*[number(n, end).alias(f"x{j}") for j, n in enumerate(terms)], ieee.lit(0.0).alias("m1"), ieee.lit(0.0).alias("m2"), deaths.alias("d"), death_log.alias("dl"))
         df = live.unionByName(dead)
+        if varying:
+            n = rows.agg(F.sum(F.floor((F.col("tau") - F.col("nu") - 1) / F.lit(step)) + 1 + F.col("died").cast("int"))).first()[0]
+            return _small(df, k, rows) if (n or 0) <= DRIVER else Table(k, df=df, cached=rows)
     xs = [f"x{j}" for j in range(k)]
     df = df.groupBy(*xs).agg(*[F.sum(c).alias(c) for c in ("m1", "m2", "d", "dl")]).persist(StorageLevel.MEMORY_AND_DISK)
-    if df.count() <= DRIVER:
-        got = np.array([[float("nan") if v is None else v for v in r] for r in df.collect()], float).reshape(-1, k + 4)
-        df.unpersist()
-        return Table(k, rows=got)
-    return Table(k, df=df)
+    return _small(df, k, df) if df.count() <= DRIVER else Table(k, df=df, cached=df)
+
+
+def _small(df: DataFrame, k: int, cached: DataFrame) -> Table:
+    """The table on the driver: DRIVER rows at most."""
+    got = df.toPandas().to_numpy(float).reshape(-1, k + 4)
+    cached.unpersist()
+    return Table(k, rows=got)
 
 
 def verify_disjoint(table: Table) -> None:
@@ -221,24 +239,24 @@ MESSAGES = {
 
 
 def newton(walk, k: int, omega: float, z: float, tolerance: float = TOLERANCE, iterations: int = ITERATIONS) -> dict:
-    """Maximise (a - e) / (omega z) from 0. walk: coefficients to Totals."""
+    """Maximise (a - e) / (omega z) from 0. walk: coefficients to Totals. Iterations count from 1, the walk at 0."""
     beta = np.zeros(k)
     now = walk(beta)
     scale = omega * z
     out = {"status": "did_not_converge", "iterations": iterations, "detail": None}
     for n in range(iterations):
         if not now.finite:
-            return out | {"status": "not_finite", "beta": beta, "totals": now, "iterations": n}
+            return out | {"status": "not_finite", "beta": beta, "totals": now, "iterations": n + 1}
         gradient = now.sa - now.se
         low = cholesky(now.information)
         if isinstance(low, Dependent):
-            return out | {"status": "not_identifiable", "beta": beta, "totals": now, "iterations": n, "detail": low}
+            return out | {"status": "not_identifiable", "beta": beta, "totals": now, "iterations": n + 1, "detail": low}
         step = solve(low, gradient)
         decrement = float(gradient @ step)
         if decrement / (2 * scale) <= tolerance:
             inverse = solve_matrix(low)
             spread = inverse @ now.squared
-            return out | {"status": "converged", "beta": beta, "totals": now, "iterations": n, "variance": omega * spread @ inverse, "penalty": float(np.trace(spread)) / z}
+            return out | {"status": "converged", "beta": beta, "totals": now, "iterations": n + 1, "variance": omega * spread @ inverse, "penalty": float(np.trace(spread)) / z}
         length, accepted = 1.0, None
         for _ in range(HALVINGS + 1):
             trial = walk(beta + length * step)
@@ -248,7 +266,7 @@ def newton(walk, k: int, omega: float, z: float, tolerance: float = TOLERANCE, i
                 break
             length /= 2
         if accepted is None:
-            return out | {"status": "step_collapsed", "beta": beta, "totals": now, "iterations": n}
+            return out | {"status": "step_collapsed", "beta": beta, "totals": now, "iterations": n + 1}
         beta, now = beta + length * step, accepted
     return out | {"beta": beta, "totals": now}
 
@@ -279,20 +297,21 @@ def scale_of(data: ExpData, m: Measure, include, step: int, test_mortality, z) -
     return r["V"] / r["E"], unit["A"], unit["E"]
 
 
-def fit(data: ExpData, model: Model, include=None, weight=None, val_relevance=None, val_distance=None, test_mortality=None, Z=None, settings: Settings | None = None, overdispersion=None, time_scale=None, tolerance: float = TOLERANCE, iterations: int = ITERATIONS, _scale=None) -> Fit:
+def fit(data: ExpData, model: Model, include=None, weight=None, val_relevance=None, val_distance=None, test_mortality=None, Z=None, settings: Settings | None = None, overdispersion=None, time_scale=None, tolerance: float = TOLERANCE, iterations: int = ITERATIONS, _scale=None, _table: Table | None = None) -> Fit:
     omega, step = resolve(settings, overdispersion, time_scale)
     m = measure(data, model.reference, weight, val_relevance, val_distance)
     z, deaths, exposure = _scale or scale_of(data, m, include, step, test_mortality, Z)
     terms = [n for _, n in model.covariates.terms]
-    rows = clipped(data, elements_of(include, None), m.fields.union(*map(E.fields, terms)))
-    table = table_of(rows, data, m, terms, step)
+    table = _table
+    if table is None:
+        rows = clipped(data, elements_of(include, None), m.fields.union(*map(E.fields, terms)))
+        table = table_of(rows, data, m, terms, step)
     try:
         if model.covariates.disjoint:
             verify_disjoint(table)
         got = newton(table.walk, len(terms), omega, z, tolerance, iterations)
     finally:
-        if table.df is not None:
-            table.df.unpersist()
+        table.release()
     message = MESSAGES.get(got["status"], "")
     if got["detail"] is not None:
         message += f": {model.covariates.names[got['detail'].at]}"

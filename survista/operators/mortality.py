@@ -127,7 +127,8 @@ class Table(Mortality):
 
     def column(self, scope: Scope) -> Column:
         periods, ages = self.grid.shape
-        table = F.array(*[F.lit(v) for v in self.grid.ravel().tolist()])
+        # one constant, folded to an array before it runs, whatever the table's size; repr() gives a double back exactly
+        table = F.split(F.lit(",".join(map(repr, self.grid.ravel().tolist()))), ",").cast("array<double>")
         birth, t = scope.field("birth").column, scope.t
         off = birth - F.lit(self.t0.clicks - self.x0.clicks)
         c, wc = F.floor(off / F.lit(float(CLICKS))).cast("int"), F.pmod(off, F.lit(CLICKS)).cast("double") * PER_CLICK
