@@ -499,3 +499,22 @@ def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=85)
+
+
+def oracle(words: int = 4, percent: int = 85) -> str:
+    """Shingles joined with each other, and links followed until nothing new is reached."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE split AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) >= {words} THEN list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i:i + {words - 1}], ' ')))
+                         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM split),
+tokens AS (SELECT r, unnest(s) AS t FROM sets),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM tokens a JOIN tokens b ON a.t = b.t AND a.r < b.r GROUP BY a.r, b.r),
+links AS (SELECT a, b FROM shared JOIN sets x ON x.r = a JOIN sets y ON y.r = b WHERE 100 * n >= {percent} * (len(x.s) + len(y.s) - n)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT r, r AS o FROM sets UNION SELECT reach.r, edges.b FROM reach JOIN edges ON edges.a = reach.o)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE min(o.doc_id) END AS component_id
+FROM sets s JOIN reach USING (r) JOIN sets o ON o.r = reach.o GROUP BY s.r, s.doc_id, s.s
+"""

@@ -20,6 +20,8 @@ QUERIES = {
 ORACLE = {
     "op1_quality_rules": quality.oracle(),
     "op2_top_k": topk.ORACLE,
+    "op3_jaccard_join": neardup.oracle(),
     "op5_chat_format": chat.ORACLE,
+    "op8_repeated_substrings": substrings.oracle(),
     "op10_mixing": mixing.ORACLE,
 }

@@ -278,3 +278,25 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def op8_repeated_substrings(spark, sf_dir: str) -> DataFrame:
     cut = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+
+
+#: A character of UTF-8 in hexadecimal digits.
+_CHARACTER = "(?:[0-7].|(?:C[2-9A-F]|D.)[89AB].|(?:E0[AB].|E[1-9A-CEF][89AB].|ED[89].)[89AB].|(?:F0[9AB].|F[123][89AB].|F48.)[89AB].[89AB].)"
+
+
+def oracle(length: int = LENGTH, chunk: int = 400) -> str:
+    """Every string of `length` bytes by its digest. Bytes are worked on as hexadecimal digits, in chunks of their starts."""
+    return f"""
+WITH raw AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+cut AS (SELECT r, k * {chunk} AS p, substr(h, 1 + {2 * chunk} * k, {2 * (chunk + length - 1)}) AS part FROM (SELECT r, h, unnest(range(0, greatest(0, (len(h) // 2 - {length} + {chunk}) // {chunk}))) AS k FROM raw)),
+strings AS (SELECT r, p + i AS s, md5(substr(part, 1 + 2 * i, {2 * length})) AS d FROM (SELECT r, p, part, unnest(range(0, least({chunk}, len(part) // 2 - {length - 1}))) AS i FROM cut)),
+twice AS (SELECT d FROM strings GROUP BY d HAVING count(*) > 1),
+hit AS (SELECT r, s, lag(s) OVER o AS before, lead(s) OVER o AS after FROM strings JOIN twice USING (d) WINDOW o AS (PARTITION BY r ORDER BY s)),
+gone AS (SELECT r, sum(least({length}, coalesce(after - s, {length})))::BIGINT AS n_removed, count(*) FILTER (before IS NULL OR s - before > {length}) AS n_spans FROM hit GROUP BY r),
+edges AS (SELECT r, s AS lo, coalesce(before + {length}, 0) AS hi FROM hit UNION ALL SELECT r, len(h) // 2, coalesce((SELECT max(s) + {length} FROM hit WHERE hit.r = raw.r), 0) FROM raw),
+kept AS (SELECT r, string_agg(substr(h, 1 + 2 * hi, 2 * (lo - hi)), '' ORDER BY lo) AS h FROM edges JOIN raw USING (r) WHERE lo > hi GROUP BY r),
+shown AS (SELECT r, h, array_to_string(list_transform(regexp_extract_all(h, '{_CHARACTER}|E[0-9A-F][89AB].|F[0-4][89AB].(?:[89AB].)?|..'), lambda x: CASE WHEN regexp_full_match(x, '{_CHARACTER}') THEN x ELSE 'EFBFBD' END), '') AS t FROM kept)
+SELECT raw.doc_id, (len(raw.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(shown.h, ''))) AS kept_sha256, decode(unhex(coalesce(shown.t, ''))) AS text
+FROM raw LEFT JOIN gone USING (r) LEFT JOIN shown USING (r)
+"""
