@@ -30,7 +30,8 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d)(?!\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
+#: Not the digits behind a decimal point.
+CARD = r"(?<!\d)(?<!\d\.)\d(?:[ -]?\d){12,18}(?!\d)"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 #: Forms of address that tell a gender, or none.
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"]
@@ -214,5 +215,14 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     return none.unionByName(done) if len(set(docs.columns)) == len(docs.columns) and "n_entities" not in docs.columns else none.union(done)
 
 
+def without_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """docs with entities in `text` replaced, all columns as they were; `n_chars`, where there is one, follows a new text."""
+    mine = [f"_c{i}" for i in range(len(docs.columns))]
+    new = replace_entities(docs, key).toDF(*mine, "_n")
+    text = F.col(mine[docs.columns.index("text")])
+    follow = lambda m, c: F.when(F.col("_n") > 0, F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col(m)) if c == "n_chars" else F.col(m)
+    return new.select(*[follow(m, c).alias(c) for m, c in zip(mine, docs.columns, strict=True)])
+
+
 def op6_pii_surrogates(spark, sf_dir: str) -> DataFrame:
     return replace_entities(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -227,6 +228,30 @@ def test_numbers_grow_when_taken(spark, monkeypatch):
         pii.assign(keys.limit(3000))
 
 
+def test_mentions_map_one_to_one(spark):
+    """Many entities of all kinds: mentions agree, different entities stay different, forms stay, originals go."""
+    rng = random.Random(6)
+    digit = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    make = {
+        "mail": lambda: f"{rng.choice(['ann', 'bob', 'éva'])}.{digit(2)}@m{digit(1)}.example.com", "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), "ssn": lambda: f"{digit(3)}-{digit(2)}-{digit(4)}",
+        "phone": lambda: f"+4{digit(1)} {rng.randrange(2, 10)}{digit(2)} {digit(3)} {digit(4)}", "card": lambda: f"{rng.randrange(3, 7)}{digit(3)} {digit(4)} {digit(4)} {digit(4)}",
+    }
+    pool = [(k, f()) for k, f in make.items() for _ in range(40)]
+    texts = [" ; ".join(e for _, e in rng.sample(pool, 6)) for _ in range(150)]
+    kind = {e: k for k, e in pool}
+    got = {r[0]: r[1] for r in pii.replace_entities(spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")).collect()}
+    to = {}
+    form = lambda e: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", e)))
+    for k, t in enumerate(texts):
+        for old, new in zip(t.split(" ; "), got[k].split(" ; "), strict=True):
+            assert to.setdefault(old, new) == new and new not in kind, (old, new)
+            assert kind[old] in ("ip", "mail") or form(old) == form(new), (old, new)
+    for k in make:
+        canon = (lambda e: re.sub(r"\D", "", e)[-10:]) if k == "phone" else (lambda e: e)
+        mine = {canon(o): canon(n) for o, n in to.items() if kind[o] == k}
+        assert len(set(mine.values())) == len(mine) > 20, k
+
+
 def test_repeated_and_long_texts(spark):
     long = "mail a.b@c.example.com " + "word " * 200_000 + "a.b@c.example.com"
     got = [r["text"] for r in pii.replace_entities(spark.createDataFrame([(1, long), (1, long), (2, "a.b@c.example.com")], "doc_id bigint, text string")).orderBy("doc_id").collect()]
