@@ -7,13 +7,12 @@ documents. A stage's result is written and read again as the docs of the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from survista.llm.common import materialize
 from survista.llm.mixing import mixed_documents
 from survista.llm.neardup import first_of_each
 from survista.llm.packing import packed
-from survista.llm.pii import replace_entities
+from survista.llm.pii import without_entities
 from survista.llm.quality import good_documents
 
 
@@ -29,8 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by surrogates; n_chars follows the text."""
-    new = replace_entities(docs)
-    return new.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    return without_entities(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
