@@ -15,8 +15,8 @@ passage nor a periodic text gathers its occurrences in one task. Documents are t
 their text: equal texts have equal results, and count as places of their own.
 
 Defined results: null text is empty; texts under LENGTH bytes lose nothing; repeated rows repeat each
-other; an empty table gives an empty table; a cut inside a character leaves its bytes cut; other columns
-are ignored.
+other; an empty table gives an empty table; a cut inside a character leaves its bytes cut (in `text` of the query U+FFFD stands
+for them); a very long text is worked on in segments; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from survista.llm.common import bytes_of, materialize, slices, trimmed
+from survista.llm.common import Places, bytes_of, materialize, slices, trimmed
 from survista.llm.rolling import Ranges, mix, parts
 
 LENGTH = 400
+#: Texts marked at most, 4 bytes each on their way.
+MARKS = 1 << 22
 GRAM = 200
 CHUNK = 25
 #: Bytes of a longer text worked on at once; the low bits of a key hold the place within.
@@ -92,6 +94,30 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], reach[np.append(new[1:], len(lo)) - 1]
 
 
+def place(doc):
+    """One of 2 ** 24 places of a text's digest."""
+    return F.conv(F.hex(F.substring(doc, 1, 3)), 16, 10).cast("int").alias("place")
+
+
+def places_of(docs: DataFrame):
+    """A table of bits, 2 MB, that tells which texts may be among docs; none where so many are that it would spare little."""
+    marks, places = None, docs.select(place(F.col("doc"))).distinct()
+    if places.count() <= MARKS:
+        marks = Places(places.toArrow()["place"].to_numpy())
+    return docs.sparkSession.sparkContext.broadcast(marks)
+
+
+def _among(marked):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows that may be among those marked; the last column is their place."""
+        for b in batches:
+            if marked.value is not None:
+                b = b.filter(pa.array(marked.value.has(b.column("place").to_numpy())))
+            yield b.drop_columns(["place"])
+
+    return run
+
+
 SPAN = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 RUNS = "doc binary, gram bigint, content bigint, start bigint, strings int, before int, times int, spans array<struct<lo:bigint,hi:bigint>>"
 
@@ -229,7 +255,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
     local = found.where("spans IS NOT NULL").select("doc", F.explode("spans").alias("span"))
     wanted = found.where("equal < `all` AND no = 1").groupBy("doc").agg(F.collect_list(F.struct("gram", "start", "strings", "before")).alias("wanted"))
     # one document for each text: copies would find each other again
-    one = docs.join(wanted, "doc").select("doc", "text", "wanted").dropDuplicates(["doc"])
+    wanted = materialize(wanted, "repeats-wanted")
+    some = docs.select("doc", "text", place(F.col("doc"))).mapInArrow(trimmed(_among(places_of(wanted))), "doc binary, text string")
+    one = some.join(wanted, "doc").select("doc", "text", "wanted").dropDuplicates(["doc"])
     open_runs = one.mapInArrow(trimmed(_contexts(length)), OPEN)
     open_runs = materialize(open_runs.withColumn("run", F.monotonically_increasing_id()), "repeats-open")
     alike = Window.partitionBy("gram", "chunk", "content")
@@ -251,28 +279,44 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("doc"))
-    spans = repeated_spans(keyed.select("doc", "text").where(F.octet_length("text") >= length), length)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spans = materialize(repeated_spans(keyed.select("doc", "text").where(F.octet_length("text") >= length), length), "repeats-spans")
+    marked = places_of(spans)
+
+    def cut(b: pa.RecordBatch, los: np.ndarray, his: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
+        size, gone, count, kept = [], [], [], []
+        for k, text in enumerate(b.column("text")):
+            raw = text.as_py().encode()
+            lo, hi = merged(los[edges[k] : edges[k + 1]], his[edges[k] : edges[k + 1]])
+            ends = zip([0, *hi.tolist()], [*lo.tolist(), len(raw)], strict=True)
+            size.append(len(raw))
+            gone.append(int((hi - lo).sum()))
+            count.append(len(lo))
+            kept.append(b"".join([raw[x:y] for x, y in ends]) if len(lo) else raw)
+        return pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, gone, count)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+        )
+
+    def with_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for whole in batches for x in slices(whole, bytes_of(whole.column("text")))):
-            size, gone, count, kept = [], [], [], []
             spans = b.column("spans")
             edges = np.append(0, np.cumsum(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
             flat = spans.flatten()
-            los, his = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for k, text in enumerate(b.column("text")):
-                raw = text.as_py().encode()
-                lo, hi = merged(los[edges[k] : edges[k + 1]], his[edges[k] : edges[k + 1]])
-                ends = zip([0, *hi.tolist()], [*lo.tolist(), len(raw)], strict=True)
-                size.append(len(raw))
-                gone.append(int((hi - lo).sum()))
-                count.append(len(lo))
-                kept.append(b"".join([raw[x:y] for x, y in ends]) if len(lo) else raw)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, gone, count)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
-            )
-
-    return keyed.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(trimmed(run), f"doc_id {kind}, {CUT}")
+            yield cut(b, *(flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)), edges)
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        for whole in batches:
+            whole = whole.filter(pa.array(~marked.value.has(whole.column("place").to_numpy())))
+            for b in slices(whole, bytes_of(whole.column("text"))):
+                yield cut(b, none, none, np.zeros(len(b) + 1, np.int64))
+
+    # texts that lose nothing are not shuffled
+    some = keyed.select("doc_id", "text", "doc", place(F.col("doc"))).mapInArrow(trimmed(_among(marked)), f"doc_id {kind}, text string, doc binary")
+    found = some.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(trimmed(with_spans), f"doc_id {kind}, {CUT}")
+    if marked.value is None:
+        return found
+    rest = keyed.select("doc_id", "text", place(F.col("doc"))).mapInArrow(trimmed(without), f"doc_id {kind}, {CUT}")
+    return found.unionByName(rest)
 
 
 def op8_repeated_substrings(spark, sf_dir: str) -> DataFrame:
