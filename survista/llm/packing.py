@@ -41,6 +41,17 @@ LOOSENED = 8
 BINS = 1 << 24
 
 
+class _Seen(dict):
+    """Ids by word; those of a word not seen yet are made."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        return self.make(word)
+
+
 class Words:
     """Token ids of texts, as little-endian 4-byte integers, by a table of words."""
 
@@ -53,7 +64,7 @@ class Words:
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.plain = regex.compile(r"[\x21-\x7e\xc0-ɏ]+").fullmatch
         self.model = self.whole.model
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = _Seen(self.word)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
         #: bytes as the model's alphabet shows them: printable ones as they are, others from 256 on
@@ -68,7 +79,9 @@ class Words:
 
     def word(self, word: str) -> bytes:
         """The ids of a word not seen yet."""
-        if self.plain(word) and "<|" not in word:
+        if word.isalpha() and word.isascii():
+            got = self.part(word.lower())
+        elif self.plain(word) and "<|" not in word:
             got = b"".join(map(self.part, self.pieces(word.lower())))
         else:
             got = b"".join(i.to_bytes(4, "little") for i in self.whole.encode(word, add_special_tokens=False).ids)
@@ -80,12 +93,7 @@ class Words:
             return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
         if len(self.words) >= REMEMBERED:
             self.words.clear()
-        words = text.split()
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            known = self.words
-            return b"".join([known.get(w) or self.word(w) for w in words])
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 _WORDS: dict[str, Words] = {}
