@@ -53,7 +53,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
     _scratch.append((spark, path))
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables, as materialize() gave them, that nothing reads any more: what was made of them is written itself."""
+    for df in tables:
+        found = [x for x in _scratch if x[1] == df.scratch_path]
+        for spark, path in found:
+            _delete(spark, path)
+            _scratch.remove((spark, path))
 
 
 def release(spark: SparkSession) -> None:

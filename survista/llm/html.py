@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from survista.llm.common import Places, bytes_of, materialize, slices, trimmed
+from survista.llm.common import Places, bytes_of, discard, materialize, slices, trimmed
 from survista.llm.rolling import mix, parts, windows, word_hashes
 
 #: Tokens of a repeated run at least.
@@ -183,6 +183,7 @@ def extract(pages: DataFrame, run: int = RUN, share: int = SHARE) -> DataFrame:
     hosts = counts.where("kind < 0").select("host", F.col("on").alias("contents"))
     repeated = counts.where("kind >= 0").join(hosts, "host").where(F.col("on") * 100 >= F.col("contents") * share)
     repeated = materialize(repeated.groupBy("host", "name").agg(F.max("kind").alias("kind")), "html-repeated")
+    discard(counts)
     place = F.col("name").bitwiseXOR(F.col("host")).bitwiseAND(F.lit(PLACES - 1)).cast("int")
     places, marks = repeated.select(place.alias("p")).distinct(), None
     if places.count() <= MARKS:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from survista.llm.common import materialize, n_words, prefix_sum
+from survista.llm.common import discard, materialize, n_words, prefix_sum
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -94,6 +94,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = "mix
     placed = prefix_sum(sized.withColumn("bucket", F.substring("row_key", 1, digits)), ["source"], "bucket", ["row_key", "doc_id", "size", "no_id"], "size", "start")
     placed = placed.join(per_source.withColumnRenamed("source", "_name").drop("weight", "slots", "low"), F.col("source").eqNullSafe(F.col("_name"))).drop("_name", "bucket")
     placed = materialize(placed.withColumn("row_no", F.monotonically_increasing_id()), "mix-places")
+    discard(sized)
     # block k of a source holds its words from k * size div blocks on
     edge = "({} * source_size) div blocks"
     of = "(cast(({0} + 1) AS decimal(38,0)) * blocks - 1) div source_size"

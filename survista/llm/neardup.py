@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from survista.llm.common import Places, bytes_of, materialize, slices, trimmed
+from survista.llm.common import Places, bytes_of, discard, materialize, slices, trimmed
 from survista.llm.rolling import mix, parts, windows, word_hashes
 
 #: Frequent tokens that the order knows of at most: a bound on what is broadcast (16 bytes each). The order
@@ -218,7 +218,9 @@ def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int,
         marks = Places(places.toArrow()["place"].to_numpy())
     marked = spark.sparkContext.broadcast(marks)
     signed = docs.where("text IS NOT NULL").select("text", _place(F.col("doc_id")).alias("place")).mapInArrow(trimmed(_signed(words, marked)), "sig binary, text binary, size bigint")
-    return materialize(signed.join(wanted.select("sig", "class"), "sig").dropDuplicates(["class"]).select("class", "text", "size"), f"{tag}-texts")
+    texts = materialize(signed.join(wanted.select("sig", "class"), "sig").dropDuplicates(["class"]).select("class", "text", "size"), f"{tag}-texts")
+    discard(wanted)
+    return texts
 
 
 def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -449,9 +451,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     postings = materialize(rare.unionByName(listed.where("at >= p - hot").select("class", "rank", "token")), "jaccard-postings")
     hubs = postings.groupBy("token").agg(F.min(F.struct("rank", "class")).alias("first"), F.count(F.lit(1)).alias("df")).where("df > 1").select("token", F.col("first.class").alias("hub"))
     named = postings.join(hubs, "token").groupBy("class").agg(F.expr("cast(pmod(min(rank), 16) AS int)").alias("l"), F.collect_list("token").alias("tokens"), F.collect_set("hub").alias("hubs"))
-    facts = materialize(named.join(classes.select("class", "n"), "class"), "jaccard-facts")
-    groups = facts.select("class", "n", F.explode("hubs").alias("hub")).where("class <> hub")
-    facts = facts.drop("hubs")
+    known_of = materialize(named.join(classes.select("class", "n"), "class"), "jaccard-facts")
+    discard(postings)
+    groups = known_of.select("class", "n", F.explode("hubs").alias("hub")).where("class <> hub")
+    facts = known_of.drop("hubs")
 
     # every class meets its hub: block j of the group, and the hub on the other side
     placed = groups.join(blocks_of(groups, block).where("blocks > 1"), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -460,6 +463,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     open_ = materialize(met(placed.unionByName(hub_rows), facts).mapInArrow(trimmed(_screen(percent)), MEETING), "jaccard-open")
     texts = texts_of(docs, classes, open_.select("class"), words, "jaccard-hub")
     with_hub = materialize(met(open_, texts).mapInArrow(trimmed(_verify(words, percent)), "hub bigint, a bigint, b bigint"), "jaccard-hub-links")
+    discard(open_, texts)
 
     # the others meet all of the group but the hub; one that stands on both sides of a meeting is sent once
     linked = with_hub.select("hub", F.col("b").alias("class"), F.lit(True).alias("linked")).distinct()
@@ -467,17 +471,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     alone = rest.where("alone")
     left = blocks_of(alone, block).withColumnRenamed("blocks", "i_blocks").join(blocks_of(rest, block, least=2).withColumnRenamed("blocks", "j_blocks"), "hub")
     left = materialize(left, "jaccard-left")
-    rest = rest.join(left, "hub").withColumns({"own_i": _part("i_blocks", 1), "own_j": _part("j_blocks", 0)})
+    both = rest.join(left, "hub").withColumns({"own_i": _part("i_blocks", 1), "own_j": _part("j_blocks", 0)})
     one, other = (F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1) for c in ("i_blocks", "j_blocks"))
-    first = rest.where("alone").select("hub", F.col("own_i").alias("i"), F.explode(other).alias("j"), "own_j", "class")
+    first = both.where("alone").select("hub", F.col("own_i").alias("i"), F.explode(other).alias("j"), "own_j", "class")
     first = first.select("hub", "i", "j", F.expr("IF(j = own_j, 2L, 0L)").alias("side"), "class")
-    second = rest.select("hub", F.explode(one).alias("i"), F.col("own_j").alias("j"), "own_i", "alone", "class").where("NOT (alone AND i = own_i)")
+    second = both.select("hub", F.explode(one).alias("i"), F.col("own_j").alias("j"), "own_i", "alone", "class").where("NOT (alone AND i = own_i)")
     second = second.select("hub", "i", "j", F.lit(1).cast("long").alias("side"), "class")
     open_ = materialize(met(first.unionByName(second), facts).mapInArrow(trimmed(_screen(percent)), MEETING), "jaccard-rest-open")
+    discard(known_of, rest, left)
     links = with_hub.select("a", "b")
     if not open_.isEmpty():
         texts = texts_of(docs, classes, open_.select("class"), words, "jaccard-rest")
         links = links.unionByName(materialize(met(open_, texts).mapInArrow(trimmed(_verify(words, percent)), "hub bigint, a bigint, b bigint"), "jaccard-rest-links").select("a", "b"))
+        discard(texts)
+    discard(open_)
     if links.isEmpty():
         of = classes.select("sig", F.col("first_id").alias("component_id"))
     else:

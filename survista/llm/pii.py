@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from survista.llm.common import materialize
+from survista.llm.common import discard, materialize
 
 KEY = "survista"
 
@@ -194,7 +194,9 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     keyed = some.select("_no", F.explode(F.array_distinct("_found")).alias("e")).withColumn("k", F.expr(KIND)).withColumn("keys", F.expr(KEYS))
     pairs = keyed.select("_no", F.posexplode("keys").alias("i", "key"), "e", "k")
     pairs = pairs.select("_no", "e", "k", "i", F.substring_index("key", ":", 1).alias("kind"), F.expr("substr(key, instr(key, ':') + 1)").alias("canon"))
-    pairs = materialize(_known_genders(materialize(pairs, "pii-mentions")), "pii-keys")
+    mentions = materialize(pairs, "pii-mentions")
+    pairs = materialize(_known_genders(mentions), "pii-keys")
+    discard(mentions)
     table = assign(pairs.select("kind", "canon"), key)
     parts = pairs.join(table, ["kind", "canon"]).groupBy("_no", "e", "k").agg(F.sort_array(F.collect_list(F.struct("i", "surrogate", "canon"))).alias("s"))
     bare = F.expr("IF(k = 'name', transform(s, x -> struct(x.canon AS word, x.surrogate AS `to`)), array())").alias("bare")

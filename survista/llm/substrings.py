@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from survista.llm.common import Places, bytes_of, materialize, slices, trimmed
+from survista.llm.common import Places, bytes_of, discard, materialize, slices, trimmed
 from survista.llm.rolling import Ranges, mix, parts
 
 LENGTH = 400
@@ -268,7 +268,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
     strings = strings.withColumn("a", F.min("run").over(alike)).withColumn("b", F.max("run").over(alike)).where("a < b")
     single = strings.select("doc", F.struct(F.col("start").alias("lo"), (F.col("start") + length).alias("hi")).alias("span"))
     every = whole.unionByName(local).unionByName(single)
-    return every.groupBy("doc").agg(F.collect_list("span").alias("spans"))
+    spans = materialize(every.groupBy("doc").agg(F.collect_list("span").alias("spans")), "repeats-spans")
+    discard(found, wanted, open_runs)
+    return spans
 
 
 CUT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
@@ -279,7 +281,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("doc"))
-    spans = materialize(repeated_spans(keyed.select("doc", "text").where(F.octet_length("text") >= length), length), "repeats-spans")
+    spans = repeated_spans(keyed.select("doc", "text").where(F.octet_length("text") >= length), length)
     marked = places_of(spans)
 
     def cut(b: pa.RecordBatch, los: np.ndarray, his: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
