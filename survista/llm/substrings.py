@@ -147,7 +147,7 @@ def _anchors(length: int, gram: int):
             m = len(own)
             lo = start[twice][by]
             hi = lo + size[twice][by] - 1 + length
-            found = [merged(lo[i:k], hi[i:k]) for i, k in zip(at, np.append(at[1:], len(lo)), strict=True)]
+            found = [merged(lo[i:k], hi[i:k]) for i, k in zip(at, np.append(at, len(lo))[1:], strict=True)]
             edges = np.append(0, np.cumsum([len(x) for x, _ in found])).astype(np.int32)
             ends = [pa.array(np.concatenate([f[k] for f in found] or [np.zeros(0)]).astype(np.int64)) for k in (0, 1)]
             spans = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(ends, ["lo", "hi"]))

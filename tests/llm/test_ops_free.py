@@ -455,6 +455,15 @@ def test_cuts_by_brute_force(spark, texts, segment, part, monkeypatch):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]], texts[r["doc_id"]][:50]
 
 
+def test_cuts_beside_other_columns(spark):
+    rng = random.Random(12)
+    one, other = ("".join(rng.choice("abcdefgh é") for _ in range(500)) for _ in range(2))
+    rows = [(1, one, "x", 5), (2, other + one, "y", 6), (2, other + one, "y", 6), (3, "q" * 3000, None, 7), (None, None, None, None), (4, "solo " + other[:390], None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, spans string, n_bytes bigint")
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.without_repeats(df).collect())
+    assert got == Counter((r[0], *w) for r, w in zip(rows, brute_cut([r[1] for r in rows], 400), strict=True))
+
+
 def test_runs_over_segments():
     rng = random.Random(2)
     data = np.array([rng.randrange(97, 100) for _ in range(5000)], np.uint8)

@@ -55,6 +55,12 @@ def test_good_documents_keep_columns(docs, no_docs):
     assert quality.good_documents(no_docs).count() == 0
 
 
+def test_long_text_is_counted_whole(spark):
+    words = [f"w{k % 50_000}" for k in range(120_000)]
+    (r,) = quality.counts(spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string")).collect()
+    assert (r["n_words"], r["n_distinct"], r["n_repeat_words"]) == (120_000, 50_000, 120_000)
+
+
 def brute_targets(sizes, epochs=3, weights=(5, 2, 1)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[k % 3] for k, s in enumerate(names)}
@@ -119,6 +125,15 @@ def test_slots_are_spread(spark, no_docs):
             assert abs(got - 60 * r["slots"] / n) <= 10
 
 
+def test_ties_and_repeated_rows(spark, no_docs):
+    """Rows of one doc_id and size are documents of their own; reruns agree whatever the order of rows."""
+    rows = [(k % 3, "a b c d", None, "s", None) for k in range(12)] + [(7, "x y " * 400, None, "big", None)] * 2 + [(None, "n o", None, None, None)] * 5
+    show = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["source"] or "", r["taken"]) for r in mixing.mix(df).collect())
+    first = show(spark.createDataFrame(rows, no_docs.schema))
+    assert len(first) == len(rows) and first == show(spark.createDataFrame(rows[::-1], no_docs.schema).repartition(4))
+    assert all(t <= 3 * n for _, _, n, _, t in first)
+
+
 def test_mix_edges(spark, no_docs):
     assert mixing.mix(no_docs).count() == 0
     empty = spark.createDataFrame([(1, None, None, None, None), (2, "", None, "a", None)], no_docs.schema)
