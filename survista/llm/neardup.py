@@ -45,6 +45,8 @@ VERIFY = 64
 #: Classes and tokens of a block, on the average; a task holds two blocks.
 BLOCK = 512
 TOKENS = 1 << 19
+#: Parts of a group of more than one block.
+SALTS = 64
 #: Tokens of the sets held at once while texts are read.
 HELD = 1 << 19
 #: Documents marked at most, 4 bytes each on their way.
@@ -416,7 +418,7 @@ def blocks_of(groups: DataFrame, block: int, least: int = 1) -> DataFrame:
 
 
 def _part(blocks: str, seed: int):
-    return F.pmod(F.xxhash64("class", F.lit(seed)), F.col(blocks)).cast("long")
+    return F.pmod(F.xxhash64("class", F.lit(seed)), F.expr(blocks)).cast("long")
 
 
 def met(meetings: DataFrame, facts: DataFrame) -> DataFrame:
@@ -457,8 +459,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
     facts = known_of.drop("hubs")
 
     # every class meets its hub: block j of the group, and the hub on the other side
-    placed = groups.join(blocks_of(groups, block).where("blocks > 1"), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.select("hub", F.lit(-1).cast("long").alias("i"), _part("blocks", 0).alias("j"), F.lit(1).cast("long").alias("side"), "class")
+    # large groups are dealt in SALTS parts for what is looked up by hub
+    salt = _part(str(SALTS), 2).alias("salt")
+    large = blocks_of(groups, block).where("blocks > 1").select("hub", "blocks", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
+    groups = groups.select("hub", "class", "n", salt).join(large, ["hub", "salt"], "left").select("hub", "class", "n", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    groups = materialize(groups, "jaccard-groups")
+    placed = groups.select("hub", F.lit(-1).cast("long").alias("i"), _part("blocks", 0).alias("j"), F.lit(1).cast("long").alias("side"), "class")
     hub_rows = placed.select("hub", "i", "j").distinct().select("hub", "i", "j", F.lit(0).cast("long").alias("side"), F.col("hub").alias("class"))
     open_ = materialize(met(placed.unionByName(hub_rows), facts).mapInArrow(trimmed(_screen(percent)), MEETING), "jaccard-open")
     texts = texts_of(docs, classes, open_.select("class"), words, "jaccard-hub")
@@ -467,18 +473,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: i
 
     # the others meet all of the group but the hub; one that stands on both sides of a meeting is sent once
     linked = with_hub.select("hub", F.col("b").alias("class"), F.lit(True).alias("linked")).distinct()
-    rest = materialize(groups.join(linked, ["hub", "class"], "left").select("hub", "class", "n", F.col("linked").isNull().alias("alone")), "jaccard-rest")
+    rest = materialize(groups.join(linked, ["hub", "class"], "left").select("hub", "class", "n", "blocks", F.col("linked").isNull().alias("alone")), "jaccard-rest")
     alone = rest.where("alone")
     left = blocks_of(alone, block).withColumnRenamed("blocks", "i_blocks").join(blocks_of(rest, block, least=2).withColumnRenamed("blocks", "j_blocks"), "hub")
-    left = materialize(left, "jaccard-left")
-    both = rest.join(left, "hub").withColumns({"own_i": _part("i_blocks", 1), "own_j": _part("j_blocks", 0)})
+    salts = f"IF(blocks > 1, {SALTS}, 1)"
+    left = left.join(alone.groupBy("hub").agg(F.expr(f"max({salts})").alias("salts")), "hub")
+    left = materialize(left.select("hub", "i_blocks", "j_blocks", F.explode(F.expr("sequence(0L, salts - 1L)")).alias("salt")), "jaccard-left")
+    both = rest.withColumn("salt", _part(salts, 2)).join(left, ["hub", "salt"]).withColumns({"own_i": _part("i_blocks", 1), "own_j": _part("j_blocks", 0)})
     one, other = (F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1) for c in ("i_blocks", "j_blocks"))
     first = both.where("alone").select("hub", F.col("own_i").alias("i"), F.explode(other).alias("j"), "own_j", "class")
     first = first.select("hub", "i", "j", F.expr("IF(j = own_j, 2L, 0L)").alias("side"), "class")
     second = both.select("hub", F.explode(one).alias("i"), F.col("own_j").alias("j"), "own_i", "alone", "class").where("NOT (alone AND i = own_i)")
     second = second.select("hub", "i", "j", F.lit(1).cast("long").alias("side"), "class")
     open_ = materialize(met(first.unionByName(second), facts).mapInArrow(trimmed(_screen(percent)), MEETING), "jaccard-rest-open")
-    discard(known_of, rest, left)
+    discard(known_of, groups, rest, left)
     links = with_hub.select("a", "b")
     if not open_.isEmpty():
         texts = texts_of(docs, classes, open_.select("class"), words, "jaccard-rest")
