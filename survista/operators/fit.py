@@ -33,8 +33,9 @@ TOLERANCE = 1e-6
 ITERATIONS = 25
 HALVINGS = 30
 ARMIJO = 1e-4
-#: Rows of a table that the driver walks, 8 bytes a cell.
+#: Rows of a table that the driver walks, and cells of one of slots, 8 bytes each: 128 MB.
 DRIVER = 200_000
+CELLS = 1 << 24
 
 
 class NotDisjoint(ValueError):
@@ -201,17 +202,17 @@ def table_of(rows: DataFrame, data: ExpData, m: Measure, terms: list[E.Node], st
         df = live.unionByName(dead)
         if varying:
             n = rows.agg(F.sum(F.floor((F.col("tau") - F.col("nu") - 1) / F.lit(step)) + 1 + F.col("died").cast("int"))).first()[0]
-            return _small(df, k, rows) if (n or 0) <= DRIVER else Table(k, df=df, cached=rows)
+            return _small(df, k, rows) if (n or 0) * (k + 4) <= CELLS else Table(k, df=df, cached=rows)
     xs = [f"x{j}" for j in range(k)]
     df = df.groupBy(*xs).agg(*[F.sum(c).alias(c) for c in ("m1", "m2", "d", "dl")]).persist(StorageLevel.MEMORY_AND_DISK)
     return _small(df, k, df) if df.count() <= DRIVER else Table(k, df=df, cached=df)
 
 
 def _small(df: DataFrame, k: int, cached: DataFrame) -> Table:
-    """The table on the driver: DRIVER rows at most."""
-    got = df.toPandas().to_numpy(float).reshape(-1, k + 4)
+    """The table on the driver: DRIVER rows, or CELLS cells, at most. Missing values are NaN."""
+    got = df.toArrow()
     cached.unpersist()
-    return Table(k, rows=got)
+    return Table(k, rows=np.column_stack([c.to_numpy() for c in got.columns]) if got.num_rows else np.zeros((0, k + 4)))
 
 
 def verify_disjoint(table: Table) -> None:

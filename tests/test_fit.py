@@ -51,6 +51,37 @@ def test_groups_and_truth(many):
         assert abs(g.coef()[name] - want) < 4 * se
 
 
+def test_walks_on_the_driver_and_apart_agree(many, monkeypatch):
+    """Slots collected, or listed anew by each walk; models that share a table, kept on the driver or not."""
+    models = [S.model(G, S.covariates(one=1.0), "a"), S.model(G, S.covariates(one=1.0, male=i.male), "b"), S.model(G, S.covariates(one=1.0, age=x - 75), "c")]
+    run = lambda: S.compare_models(many, models, weight=i.pension / 1000, test_mortality=G, overdispersion=1.5)
+    near = run()
+    monkeypatch.setattr("survista.operators.fit.CELLS", 0)
+    monkeypatch.setattr("survista.operators.fit.DRIVER", 0)
+    for f, g in zip(near.fits, run().fits, strict=True):
+        assert f.name == g.name and f.iterations == g.iterations > 1 and f.penalised == pytest.approx(g.penalised, rel=1e-9)
+        assert f.coefficients == pytest.approx(g.coefficients, rel=1e-8) and f.vcov() == pytest.approx(g.vcov(), rel=1e-7)
+
+
+def test_simulation_solved_and_walked_agree(spark):
+    """The slot of death by the geometric series, and slot by slot, over all steps and slopes."""
+    df = S.as_times(spark.range(400).selectExpr("id AS uid", "cast((1920 + id % 60) * 534360 AS bigint) AS birth", "cast((2010 + (id % 7) / 7) * 534360 AS bigint) AS E2R_start"), ["birth", "E2R_start"])
+    for slope, step in ((0.1, 1), (-0.2, 1 / 4), (0.0, 1 / 12), (1e-14, 1 / 60)):
+        solved = S.gompertz_mortality(-1.5, slope, 75, 0.0, 2015)
+        walked = S.mortality(solved.as_node() + 0.0 * t * t)
+        show = lambda m, step=step: sorted(map(tuple, S.simulate(m, df, 2010, 2016, seed=3, time_scale=step).df.select("uid", "E2R_end", "E2R_died").collect()))
+        got = show(solved)
+        assert got == show(walked) and 20 < sum(r[2] for r in got) < 400
+
+
+def test_batch_is_checked_before_it_runs(many, monkeypatch):
+    monkeypatch.setattr("survista.operators.fit.table_of", lambda *a: pytest.fail("it ran"))
+    good = S.element("fit", S.model(G, S.covariates(one=1.0)))
+    for bad in (S.element("fit", "no model"), S.element("aev", "x +"), S.element("fit", S.model(G, S.covariates(one=1.0)), Z=1.0, overdispersion=-1)):
+        with pytest.raises(ValueError):
+            S.batch(many, {"a": good, "b": bad}, test_mortality=G, overdispersion=1)
+
+
 def test_time_varying_and_static_agree(many):
     """The same model once by the closed form, once by slots."""
     a = S.fit(many, S.model(G, S.covariates(one=1.0, male=i.male)), weight=i.pension / 1000, test_mortality=G, overdispersion=1)
