@@ -9,7 +9,8 @@ suffixes of one name are an interval of the host's suffix array whose common pre
 that spans two distinct page contents at least, and SHARE percent of the host's, is boilerplate where its suffixes
 stand outside main text, and a longer repeated substring is a chain of such suffixes. A block goes as a whole where these
 runs cover all its tokens: an open block by runs of open or left out text, a main block only by runs that
-stand in left out text elsewhere. Main text alone is no evidence, so copies of an article keep it.
+stand in the left out text of most contents of the host (MAIN_SHARE percent, MAIN_PAGES at least), as menus and footers do and
+adverts that quote articles do not. Main text alone is no evidence, so copies of an article keep it.
 
 Names are dealt by host and name, contents counted after a first count of distinct ones, so that no host and no run is one
 task's. Which names are boilerplate is told to the second pass over the pages by a table of bits of bounded size, and checked exactly after it.
@@ -38,6 +39,8 @@ from survista.llm.rolling import mix, parts, windows, word_hashes
 RUN = 8
 #: Percent of a host's distinct page contents, two at least, that boilerplate stands on.
 SHARE = 10
+#: For a block of main text: percent of the contents that have the run in left out text, and how many at least.
+MAIN_SHARE, MAIN_PAGES = 50, 5
 #: Places of the table of bits, and names beyond which it would spare little and is left out.
 PLACES, MARKS = 1 << 24, 1 << 22
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
@@ -182,7 +185,8 @@ def extract(pages: DataFrame, run: int = RUN, share: int = SHARE) -> DataFrame:
     counts = materialize(seen.groupBy("host", "name", "kind").agg(F.count(F.lit(1)).alias("on")).where("kind < 0 OR `on` > 1"), "html-counts")
     hosts = counts.where("kind < 0").select("host", F.col("on").alias("contents"))
     repeated = counts.where("kind >= 0").join(hosts, "host").where(F.col("on") * 100 >= F.col("contents") * share)
-    repeated = materialize(repeated.groupBy("host", "name").agg(F.max("kind").alias("kind")), "html-repeated")
+    strong = (F.col("kind") == 1) & (F.col("on") >= MAIN_PAGES) & (F.col("on") * 100 >= F.col("contents") * MAIN_SHARE)
+    repeated = materialize(repeated.groupBy("host", "name").agg(F.max(strong).alias("strong")), "html-repeated")
     discard(counts)
     place = F.col("name").bitwiseXOR(F.col("host")).bitwiseAND(F.lit(PLACES - 1)).cast("int")
     places, marks = repeated.select(place.alias("p")).distinct(), None
@@ -211,7 +215,7 @@ def extract(pages: DataFrame, run: int = RUN, share: int = SHARE) -> DataFrame:
     )
     parsed = materialize(parsed.withColumn("page_no", F.monotonically_increasing_id()), "html-blocks")
     hits = parsed.where(F.size("hits") > 0).select("page_no", "host", "main", F.explode("hits").alias("h")).select("page_no", "host", "main", "h.at", "h.name")
-    covered = hits.join(repeated, ["host", "name"]).where("kind = 1 OR NOT main").groupBy("page_no").agg(F.sort_array(F.collect_list("at")).alias("starts"))
+    covered = hits.join(repeated, ["host", "name"]).where("strong OR NOT main").groupBy("page_no").agg(F.sort_array(F.collect_list("at")).alias("starts"))
     left = parsed.where(F.size("hits") > 0).select("page_no", "page_id", "url", "blocks").join(covered, "page_no", "left")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

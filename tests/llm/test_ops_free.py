@@ -530,7 +530,8 @@ def brute_text(pages, run, share):
 
         def known(window, kinds, mine=mine):
             on = [sum(window in [c[k][j : j + run] for j in range(len(c[k]) - run + 1)] for c in mine) for k in kinds]
-            return any(n > 1 and n * 100 >= share * len(mine) for n in on)
+            least, part = (html.MAIN_PAGES, max(share, html.MAIN_SHARE)) if kinds == (2,) else (2, share)
+            return any(n >= least and n * 100 >= part * len(mine) for n in on)
 
         k = 0 if of[0] else 1
         stream = tuple(words[k])
@@ -539,7 +540,9 @@ def brute_text(pages, run, share):
     return out
 
 
-def test_pages_by_brute_force(spark):
+def test_pages_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(html, "MAIN_PAGES", 3)
+    monkeypatch.setattr(html, "MAIN_SHARE", 15)
     rng = random.Random(9)
     pool = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(3)) for _ in range(rng.randrange(2, 12))) for _ in range(12)]
     pages = []
@@ -557,9 +560,9 @@ def test_pages_by_brute_force(spark):
 def test_menus_inside_articles_go(spark):
     """A block of main text goes where the host has it in its menus, not where articles share it."""
     menu, said = "Home News Sport Weather Video Travel Culture Sounds", "a sentence that all articles of this host have in common"
-    rows = [(k, f"http://h.x/{k}", f"<nav>{menu}</nav><article><p>{menu}</p><p>text {k}</p><p>{said}</p></article>") for k in range(4)]
+    rows = [(k, f"http://h.x/{k}", f"<nav>{menu}</nav><div class='ad'>{said if k < 2 else k}</div><article><p>{menu}</p><p>text {k}</p><p>{said}</p></article>") for k in range(6)]
     got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert got == {k: f"text {k} {said}" for k in range(4)}
+    assert got == {k: f"text {k} {said}" for k in range(6)}
 
 
 def test_copies_and_quotations_stay(spark):
