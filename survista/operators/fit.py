@@ -33,6 +33,8 @@ TOLERANCE = 1e-6
 ITERATIONS = 25
 HALVINGS = 30
 ARMIJO = 1e-4
+#: Differences of likelihoods below this share of their terms are rounding.
+ROUNDING = 1e-9
 #: Rows of a table that the driver walks, and cells of one of slots, 8 bytes each: 128 MB.
 DRIVER = 200_000
 CELLS = 1 << 24
@@ -261,8 +263,7 @@ def newton(walk, k: int, omega: float, z: float, tolerance: float = TOLERANCE, i
         length, accepted = 1.0, None
         for _ in range(HALVINGS + 1):
             trial = walk(beta + length * step)
-            gain = (trial.a - trial.e) - (now.a - now.e)
-            if trial.finite and gain >= ARMIJO * length * decrement:
+            if trial.finite and _raises(now, trial, step, length, decrement):
                 accepted = trial
                 break
             length /= 2
@@ -272,6 +273,15 @@ def newton(walk, k: int, omega: float, z: float, tolerance: float = TOLERANCE, i
     return out | {"beta": beta, "totals": now}
 
 
+def _raises(now: Totals, trial: Totals, step: np.ndarray, length: float, decrement: float) -> bool:
+    """Whether the likelihood gains by Armijo's rule. Near the maximum the gain drowns in the rounding of two large sums; there the slope
+    at the trial tells, as by Hager and Zhang: the mean of the slopes at both ends is the gain over the length."""
+    gain = (trial.a - trial.e) - (now.a - now.e)
+    if abs(gain) > ROUNDING * (abs(now.a) + now.e):
+        return gain >= ARMIJO * length * decrement
+    return float((trial.sa - trial.se) @ step) >= (2 * ARMIJO - 1) * decrement
+
+
 def solve_matrix(low: np.ndarray) -> np.ndarray:
     return np.column_stack([solve(low, e) for e in np.eye(len(low))])
 

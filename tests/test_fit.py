@@ -11,7 +11,7 @@ import survista as S
 from survista.functions.linalg import Dependent, cholesky, solve
 from survista.operators import chart
 from survista.operators.batch import FitFailure
-from survista.operators.fit import NotDisjoint, Table
+from survista.operators.fit import NotDisjoint, Table, newton
 from survista.operators.simulate import hash_uniform
 from survista.plans.expr import i, t, x
 
@@ -219,3 +219,40 @@ def test_stream(spark, tmp_path):
     got = {r["ord"]: (r["A"], r["E"], r["V"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = records(S.aev(d, G, breakdown=S.includes(S.include(i.male), S.include(~i.male)), overdispersion=2))
     assert [got[1], got[2]] == [pytest.approx(w) for w in want]
+
+
+SIZES = [3.0**k for k in range(0, 20)]
+
+
+def given_tables(monkeypatch, table: Table) -> None:
+    """Fits take this table in place of one made of lives."""
+    for where in ("fit", "compare"):
+        monkeypatch.setattr(f"survista.operators.{where}.clipped", lambda *a: None)
+        monkeypatch.setattr(f"survista.operators.{where}.table_of", lambda *a: table)
+        monkeypatch.setattr(f"survista.operators.{where}.scale_of", lambda *a: (1.0, 1.0, 1.0))
+
+
+LEVEL = S.model(G, S.covariates(one=1.0), "level")
+
+
+def grouped(size: float, groups: int, seed: int, squared: float = 1.0) -> tuple[Table, np.ndarray]:
+    """The table of disjoint groups that cover, and their log A / E."""
+    rng = np.random.default_rng(seed)
+    e = size * rng.uniform(50, 200, groups)
+    a = np.ceil(e * np.exp(rng.uniform(-0.3, 0.8, groups)))
+    return Table(groups, rows=np.column_stack([np.eye(groups), e, squared * e, a, -2.1 * a])), np.log(a / e)
+
+
+def test_one_step_more_when_its_gain_drowns_in_rounding():
+    for seed, size in enumerate(SIZES * 4):
+        table, want = grouped(size, 1, seed)
+        got = newton(table.walk, 1, 1.0, 1.0, tolerance=1e-14)
+        assert got["status"] == "converged" and got["beta"] == pytest.approx(want, abs=1e-7)
+
+
+def test_batch_of_many_lives(many, monkeypatch):
+    for seed, size in enumerate(SIZES):
+        table, want = grouped(size, 1, seed)
+        given_tables(monkeypatch, table)
+        f = S.batch(many, {"level": S.element("fit", LEVEL)}, test_mortality=G, overdispersion=1.5, tolerance=1e-14)["level"]
+        assert f.converged and f.coefficients == pytest.approx(want, abs=1e-7) and f.variance[0, 0] == pytest.approx(1.5 / table.rows[0, 3])
