@@ -256,3 +256,20 @@ def test_batch_of_many_lives(many, monkeypatch):
         given_tables(monkeypatch, table)
         f = S.batch(many, {"level": S.element("fit", LEVEL)}, test_mortality=G, overdispersion=1.5, tolerance=1e-14)["level"]
         assert f.converged and f.coefficients == pytest.approx(want, abs=1e-7) and f.variance[0, 0] == pytest.approx(1.5 / table.rows[0, 3])
+
+
+def compared(size: float, seed: int, k: int) -> tuple[Table, np.ndarray, list]:
+    """The table that a level and k groups share, their log A / E, and the models."""
+    table, want = grouped(size, k, seed)
+    marks = [S.covariates(**{f"g{n}": i.pension > n}) for n in range(k)]
+    models = [LEVEL, S.model(G, sum(marks[1:], marks[0]), "groups")]
+    return Table(k + 1, rows=np.column_stack([np.ones(k), table.rows])), want, models
+
+
+def test_best_of_models_of_many_lives(many, monkeypatch):
+    for seed, size in enumerate(SIZES):
+        table, want, models = compared(size, seed, 2)
+        given_tables(monkeypatch, table)
+        c = S.compare_models(many, models, test_mortality=G, overdispersion=1, tolerance=1e-14)
+        f = S.best_fit(c)
+        assert all(f.converged for f in c.fits) and (f.name == "level" or f.coefficients == pytest.approx(want, abs=1e-7))
