@@ -273,3 +273,11 @@ def test_best_of_models_of_many_lives(many, monkeypatch):
         c = S.compare_models(many, models, test_mortality=G, overdispersion=1, tolerance=1e-14)
         f = S.best_fit(c)
         assert all(f.converged for f in c.fits) and (f.name == "level" or f.coefficients == pytest.approx(want, abs=1e-7))
+
+
+def test_disjoint_groups_of_many_lives():
+    for seed, size in enumerate(SIZES):
+        table, want = grouped(size, 5, seed)
+        got = newton(table.walk, 5, 1.0, 1.0, tolerance=1e-14)
+        assert got["status"] == "converged" and got["beta"] == pytest.approx(want, abs=1e-7)
+        assert np.diag(got["variance"]) == pytest.approx(1 / table.rows[:, 7])
