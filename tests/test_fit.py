@@ -281,3 +281,10 @@ def test_disjoint_groups_of_many_lives():
         got = newton(table.walk, 5, 1.0, 1.0, tolerance=1e-14)
         assert got["status"] == "converged" and got["beta"] == pytest.approx(want, abs=1e-7)
         assert np.diag(got["variance"]) == pytest.approx(1 / table.rows[:, 7])
+
+
+def test_weighted_groups_of_many_lives():
+    for seed, size in enumerate(SIZES):
+        table, want = grouped(size, 5, seed, squared=150.0)
+        got = newton(table.walk, 5, 1.5, 160.0, tolerance=1e-14)
+        assert got["status"] == "converged" and got["beta"] == pytest.approx(want, abs=1e-6) and got["penalty"] == pytest.approx(5 * 150 / 160)
