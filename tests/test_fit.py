@@ -288,3 +288,11 @@ def test_weighted_groups_of_many_lives():
         table, want = grouped(size, 5, seed, squared=150.0)
         got = newton(table.walk, 5, 1.5, 160.0, tolerance=1e-14)
         assert got["status"] == "converged" and got["beta"] == pytest.approx(want, abs=1e-6) and got["penalty"] == pytest.approx(5 * 150 / 160)
+
+
+def test_intercept_of_many_lives(many, monkeypatch):
+    for seed, size in enumerate(SIZES):
+        table, want = grouped(size, 1, seed + 200)
+        given_tables(monkeypatch, table)
+        f = S.fit(many, LEVEL, test_mortality=G, overdispersion=1.5, tolerance=1e-14)
+        assert f.converged and f.coefficients == pytest.approx(want, abs=1e-7) and f.variance[0, 0] == pytest.approx(1.5 / table.rows[0, 3])
