@@ -296,3 +296,12 @@ def test_intercept_of_many_lives(many, monkeypatch):
         given_tables(monkeypatch, table)
         f = S.fit(many, LEVEL, test_mortality=G, overdispersion=1.5, tolerance=1e-14)
         assert f.converged and f.coefficients == pytest.approx(want, abs=1e-7) and f.variance[0, 0] == pytest.approx(1.5 / table.rows[0, 3])
+
+
+def test_diagnosis_of_many_lives(many, monkeypatch):
+    for seed, size in enumerate(SIZES):
+        with monkeypatch.context() as m:
+            given_tables(m, grouped(size, 1, seed + 100)[0])
+            f = S.fit(many, LEVEL, test_mortality=G, overdispersion=1, tolerance=1e-14)
+        assert f.converged
+    assert len(records(S.diagnose(many, f, {"all": S.includes(S.include(i.pension > 0))}).of("level", "all"))) == 1
