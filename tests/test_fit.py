@@ -305,3 +305,11 @@ def test_diagnosis_of_many_lives(many, monkeypatch):
             f = S.fit(many, LEVEL, test_mortality=G, overdispersion=1, tolerance=1e-14)
         assert f.converged
     assert len(records(S.diagnose(many, f, {"all": S.includes(S.include(i.pension > 0))}).of("level", "all"))) == 1
+
+
+def test_ranks_of_many_lives(many, monkeypatch):
+    for seed, size in enumerate(SIZES):
+        table, _, models = compared(size, seed, 5)
+        given_tables(monkeypatch, table)
+        ranked = S.compare_models(many, models, test_mortality=G, overdispersion=1, tolerance=1e-14).summary()
+        assert [(r["rank"], r["status"]) for r in ranked] == [(1, "converged"), (2, "converged")] and ranked[0]["L_P"] >= ranked[1]["L_P"]
